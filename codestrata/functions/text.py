@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ SPACE_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u200
 NON_SPACE = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def built_once(build: Callable) -> Callable:
+    """Keep large column expressions of a session instead of building them per query."""
+    known: dict = {}
+
+    @wraps(build)
+    def cached(*arguments):
+        context = SparkContext._active_spark_context
+        key = (None if context is None else context.applicationId, arguments)
+        if key not in known:
+            known[key] = build(*arguments)
+        return known[key]
+
+    return cached
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``use``.
 

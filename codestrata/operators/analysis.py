@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import blocks, paths, script, text
-from ..functions.text import bind, matches, occurrences, whole_words
+from ..functions.text import bind, built_once, matches, occurrences, whole_words
 from ..params import Params, Thresholds
 
 METADATA = {
@@ -126,18 +126,11 @@ def read_text(files: DataFrame) -> DataFrame:
         paths.language(path).alias("language"),
         is_script.alias("is_script"),
         F.when(~is_script, text.lines_of(content)).alias("lines"),
-        F.when(
-            is_script,
-            bind(
-                script.pieces(content),
-                lambda parts: F.struct(
-                    script.without_comments(parts).alias("bare"), script.code_only(parts).alias("code")
-                ),
-            ),
-        ).alias("source"),
+        F.when(is_script, source_column()).alias("source"),
     )
 
 
+@built_once
 def import_sources() -> Column:
     language, lines = F.col("language"), F.col("lines")
     return (
@@ -147,6 +140,37 @@ def import_sources() -> Column:
     )
 
 
+@built_once
+def calls_column() -> Column:
+    bare, code = F.col("source.bare"), F.col("source.code")
+    return F.when(
+        F.col("is_script"),
+        bind(
+            script.import_bindings(bare),
+            lambda bindings: script.request_calls(text.lines_of(code), F.lit(1), bindings),
+        ),
+    ).otherwise(F.array().cast(f"array<{script.CALL_TYPE}>"))
+
+
+@built_once
+def tags_column() -> Column:
+    path, content, code = F.col("path"), F.col("content"), F.col("source.code")
+    return F.when(
+        F.col("is_script"), script.responsibilities(path, content, code, F.size("api_calls") > 0)
+    ).otherwise(_heuristic_tags(path, F.col("language"), content))
+
+
+@built_once
+def source_column() -> Column:
+    return bind(
+        script.pieces(F.col("content")),
+        lambda parts: F.struct(
+            script.without_comments(parts).alias("bare"), script.code_only(parts).alias("code")
+        ),
+    )
+
+
+@built_once
 def functions_column() -> Column:
     language, lines = F.col("language"), F.col("lines")
     code, bare = F.col("source.code"), F.col("source.bare")
@@ -171,13 +195,6 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
     content, language, lines = F.col("content"), F.col("language"), F.col("lines")
     is_script, bare, code = F.col("is_script"), F.col("source.bare"), F.col("source.code")
 
-    calls = F.when(
-        is_script,
-        bind(
-            script.import_bindings(bare),
-            lambda bindings: script.request_calls(text.lines_of(code), F.lit(1), bindings),
-        ),
-    ).otherwise(F.array().cast(f"array<{script.CALL_TYPE}>"))
     measured = read_text(files).select(
         "repo",
         "path",
@@ -199,16 +216,13 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
         .alias("export_count"),
         F.when(is_script, script.hook_count(script.call_names(code))).otherwise(0).alias("hook_count"),
         F.when(is_script, script.returns_markup(code)).otherwise(F.lit(False)).alias("has_markup"),
-        calls.alias("api_calls"),
+        calls_column().alias("api_calls"),
         functions_column().alias("functions"),
         F.sha2(content, 256).alias("content_hash"),
     )
     tagged = measured.select(
         *[c for c in measured.columns if c not in ("lines", "source", "content")],
-        F.when(
-            is_script,
-            script.responsibilities(F.col("path"), content, code, F.size("api_calls") > 0),
-        ).otherwise(_heuristic_tags(F.col("path"), language, content)).alias("responsibilities"),
+        tags_column().alias("responsibilities"),
         (is_script & content.rlike(r"(?<!\w)style=\{\{")).alias("inline_styles"),
     )
     total = F.aggregate("functions", F.lit(0), lambda acc, fn: acc + fn["complexity"])
@@ -232,6 +246,7 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+@built_once
 def signals(limits: Thresholds) -> Column:
     """Signals of a file: file-level rules first, then those of each function."""
     lines, todos, tags = F.col("line_count"), F.col("todo_count"), F.col("responsibilities")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import paths
-from ..functions.text import lookup, lookup_lists, pascal_case
-from ..params import Params
+from ..functions.text import built_once, lookup, lookup_lists, pascal_case
+from ..params import Params, Thresholds
 from .analysis import SIGNAL_TYPE, is_complex
 from .duplicates import duplicate_groups
 
@@ -23,6 +23,7 @@ DRAFT = [
 ]
 
 
+@built_once
 def primary_symbol() -> Column:
     """Name shown for a file: first component, else longest named function, else the file name."""
     functions = F.col("functions")
@@ -66,20 +67,10 @@ def _draft(order: int, kind: str, subject: Column, strength: Column | int, evide
     )
 
 
-def file_drafts(files: DataFrame, params: Params = Params()) -> DataFrame:
-    """Drafts of the seven file rules."""
-    limits = params.thresholds
-    lines, tags, functions = F.col("line_count"), F.col("responsibilities"), F.col("functions")
-    prepared = files.filter(
-        ~(F.array_contains(tags, "testing") & (lines < fixed.SMALL_TEST_FILE_LINES))
-    ).select(
-        "*",
-        primary_symbol().alias("symbol"),
-        F.filter(functions, lambda f: is_complex(f, limits)).alias("complex_functions"),
-        F.filter(
-            functions, lambda f: f["returns_jsx"] & (f["line_count"] >= limits.large_component_lines)
-        ).alias("large_components"),
-    )
+@built_once
+def draft_array(limits: Thresholds) -> Column:
+    """All drafts of a prepared file row, in rule order."""
+    lines, tags = F.col("line_count"), F.col("responsibilities")
     symbol, complex_functions, large = F.col("symbol"), F.col("complex_functions"), F.col("large_components")
     stored = F.slice("api_calls", 1, fixed.MAX_STORED_CALLS)
     services_only = F.forall(stored, lambda c: c["kind"] == "service-call")
@@ -147,7 +138,23 @@ def file_drafts(files: DataFrame, params: Params = Params()) -> DataFrame:
             ),
         ),
     )
-    drafts = F.array_compact(F.concat(before, simplify, after))
+    return F.array_compact(F.concat(before, simplify, after))
+
+
+def file_drafts(files: DataFrame, params: Params = Params()) -> DataFrame:
+    """Drafts of the seven file rules."""
+    limits = params.thresholds
+    lines, tags, functions = F.col("line_count"), F.col("responsibilities"), F.col("functions")
+    prepared = files.filter(
+        ~(F.array_contains(tags, "testing") & (lines < fixed.SMALL_TEST_FILE_LINES))
+    ).select(
+        "*",
+        primary_symbol().alias("symbol"),
+        F.filter(functions, lambda f: is_complex(f, limits)).alias("complex_functions"),
+        F.filter(
+            functions, lambda f: f["returns_jsx"] & (f["line_count"] >= limits.large_component_lines)
+        ).alias("large_components"),
+    )
     return prepared.select(
         "repo",
         F.lit(False).alias("is_duplicate"),
@@ -163,7 +170,7 @@ def file_drafts(files: DataFrame, params: Params = Params()) -> DataFrame:
         F.lit(None).cast("string").alias("helper_name"),
         F.lit(None).cast("string").alias("helper_path"),
         F.lit(None).cast("int").alias("group_ord"),
-        F.inline(drafts),
+        F.inline(draft_array(limits)),
     ).select(*DRAFT)
 
 

@@ -362,14 +362,21 @@ def _case_spark(key: Column, values: dict) -> Column:
     return chain
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cores when it is kept in very few files."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return documents if len(documents.inputFiles()) >= cores else documents.repartition(cores, "doc_id")
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of the derived corpus: ``repo, path, content``."""
-    return _render(spark.read.parquet(f"{sf_dir}/documents.parquet"), edited=False)
+    return _render(_documents(spark, sf_dir), edited=False)
 
 
 def edited_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus after edits: one file in seven removed, one grown, one cleaned."""
-    return _render(spark.read.parquet(f"{sf_dir}/documents.parquet"), edited=True)
+    return _render(_documents(spark, sf_dir), edited=True)
 
 
 def _numbers(documents: DataFrame) -> DataFrame:
@@ -394,11 +401,7 @@ def _fill(template: Column, d: dict[str, Column]) -> Column:
 def _render(documents: DataFrame, edited: bool) -> DataFrame:
     rows = _numbers(documents)
     k, g, doc_id = F.col("k"), F.col("g"), F.col("doc_id")
-    text = F.regexp_replace("text", CLEAN, "~")
     newline = F.lit("\n")
-    mark = F.when(k.isin(0, 1, 2), F.lit("# ")).when((k == 10) & g.isin(1, 2), F.lit("# ")).otherwise(F.lit("// "))
-    before = _case_spark(k, {kind: pair[0] for kind, pair in STATEMENT.items()})
-    after = _case_spark(k, {kind: pair[1] for kind, pair in STATEMENT.items()})
     slot = lambda c: c.cast("string")
     numbers = {
         "id": slot(doc_id),
@@ -408,15 +411,16 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         "gp": slot((doc_id - 1) % GROUPS),
         "r": slot(F.col("r")),
     }
+    clean, mark, before, after = F.col("clean"), F.col("mark"), F.col("before"), F.col("after")
     texts = {
         "extra": _case_spark(g, EXTRA_DEPENDENCIES),
         "blocks": F.repeat(_case_spark(k, BLOCKS), F.col("n").cast("int")),
-        "comments": F.concat(mark, F.replace(text, newline, F.concat(newline, mark))),
-        "statements": F.concat(before, F.replace(text, newline, F.concat(after, newline, before)), after),
+        "comments": F.concat(mark, F.replace(clean, newline, F.concat(newline, mark))),
+        "statements": F.concat(before, F.replace(clean, newline, F.concat(after, newline, before)), after),
         "markup": F.concat(
-            F.lit(MARKUP[0]), F.replace(text, newline, F.lit(MARKUP[1] + "\n" + MARKUP[0])), F.lit(MARKUP[1])
+            F.lit(MARKUP[0]), F.replace(clean, newline, F.lit(MARKUP[1] + "\n" + MARKUP[0])), F.lit(MARKUP[1])
         ),
-        "flat": F.replace(text, newline, F.lit(" ")),
+        "flat": F.replace(clean, newline, F.lit(" ")),
     }
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, low, high, path_template, template in FILES:
@@ -430,12 +434,6 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         .when(manifest, F.lit(APP_MANIFEST))
         .otherwise(content)
     )
-    repo = F.concat(F.lit("repo"), F.col("r").cast("string"))
-    body = _fill(_fill(content, numbers), texts)
-    if edited:
-        grown = F.concat(F.repeat(F.lit("// more\n"), 25), body)
-        cleaned = F.replace(body, F.lit("TODO"), F.lit("DONE"))
-        body = F.when(doc_id % 7 == 1, grown).when(doc_id % 7 == 2, cleaned).otherwise(body)
 
     # Manifests may repeat within a repository; the lowest document id stays.
     # At most REPOS * GROUPS ids survive, so the kept ids are a bounded broadcast.
@@ -443,10 +441,32 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
     plain = rows.filter(~manifest)
     if edited:
         plain = plain.filter(doc_id % 7 != 0)
-    files = plain.unionByName(rows.filter(manifest).join(F.broadcast(kept), "doc_id", "left_semi"))
-    return files.select(repo.alias("repo"), _fill(path, numbers).alias("path"), body.alias("content")).unionByName(
-        _root_files(rows)
-    )
+    chosen = plain.unionByName(rows.filter(manifest).join(F.broadcast(kept), "doc_id", "left_semi"))
+    python_like = k.isin(0, 1, 2) | ((k == 10) & g.isin(1, 2))
+    files = chosen.select(
+        "doc_id", "k", "g", "r", "b", "n",
+        F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"),
+        _fill(path, numbers).alias("path"),
+        _fill(content, numbers).alias("content"),
+        F.regexp_replace("text", CLEAN, "~").alias("clean"),
+        F.when(python_like, F.lit("# ")).otherwise(F.lit("// ")).alias("mark"),
+        _case_spark(k, {kind: pair[0] for kind, pair in STATEMENT.items()}).alias("before"),
+        _case_spark(k, {kind: pair[1] for kind, pair in STATEMENT.items()}).alias("after"),
+    )
+    for name, value in texts.items():
+        mark_text = F.lit("{" + name + "}")
+        files = files.withColumn(
+            "content",
+            F.when(F.contains("content", mark_text), F.replace("content", mark_text, value)).otherwise(
+                F.col("content")
+            ),
+        )
+    body = F.col("content")
+    if edited:
+        grown = F.concat(F.repeat(F.lit("// more\n"), 25), body)
+        cleaned = F.replace(body, F.lit("TODO"), F.lit("DONE"))
+        body = F.when(doc_id % 7 == 1, grown).when(doc_id % 7 == 2, cleaned).otherwise(body)
+    return files.select("repo", "path", body.alias("content")).unionByName(_root_files(rows))
 
 
 def _root_files(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import duplicates, outputs, ranking, relations, rules
 from ..operators.analysis import file_metrics
 from ..params import Params
 from ..sources import manifests as project_sources
-from ..sources.files import select_sources
+from ..sources.files import select_sources, settings_files
 from ..sources.stores import materialize, write_brief_lines, write_scan
 
 
@@ -28,32 +28,52 @@ class Scan:
     params: Params
 
 
-def analysed_files(listing: DataFrame, params: Params = Params()) -> DataFrame:
-    """Metric rows with their relations, computed once and stored.
+@dataclass
+class Corpus:
+    """A corpus with the small tables that steer its scan.
+
+    File contents are read twice in all: once for the settings files (a small
+    result) and once for the metrics. Everything else reads paths.
+    """
+
+    listing: DataFrame
+    names: DataFrame
+    settings: DataFrame
+    manifests: DataFrame
+    workspaces: DataFrame
+
+
+def prepare(listing: DataFrame) -> Corpus:
+    names = listing.select("repo", "path")
+    settings = materialize(settings_files(listing), "settings")
+    manifests = project_sources.parse_manifests(settings)
+    workspaces = materialize(project_sources.workspaces(names, manifests), "workspaces")
+    return Corpus(listing, names, settings, manifests, workspaces)
+
+
+def analysed_files(corpus: Corpus, params: Params = Params()) -> DataFrame:
+    """Metric rows with their relations.
 
-    This is the only step that reads file contents. Everything after it works
-    on the stored rows, which are a small fraction of the text.
+    Metrics are stored first, because the relations read them more than once.
     """
-    manifests = project_sources.parse_manifests(listing)
-    workspaces = project_sources.workspaces(listing, manifests)
-    metrics = materialize(file_metrics(select_sources(listing, params), params), "metrics")
-    return relations.relate(metrics, listing, workspaces)
+    selected = select_sources(corpus.listing, params, corpus.settings)
+    metrics = materialize(file_metrics(selected, params), "metrics")
+    return relations.relate(metrics, corpus.names, corpus.workspaces)
 
 
 def scan(listing: DataFrame, params: Params = Params()) -> Scan:
-    manifests = project_sources.parse_manifests(listing)
-    workspaces = project_sources.workspaces(listing, manifests)
-    files = materialize(analysed_files(listing, params), "files")
-    groups = duplicates.duplicate_groups(files)
+    corpus = prepare(listing)
+    files = materialize(analysed_files(corpus, params), "files")
+    groups = materialize(duplicates.duplicate_groups(files), "groups")
     drafts = rules.file_drafts(files, params).unionByName(rules.duplicate_drafts(groups))
-    ranked = ranking.ranked_opportunities(rules.score(drafts), files, params)
+    ranked = materialize(ranking.ranked_opportunities(rules.score(drafts), files, params), "ranked")
     members = duplicates.duplicate_members(files, groups)
     return Scan(
         listing=listing,
         files=files,
-        workspaces=workspaces,
-        manifests=manifests,
-        project=project_sources.projects(listing, files, manifests, workspaces),
+        workspaces=corpus.workspaces,
+        manifests=corpus.manifests,
+        project=project_sources.projects(corpus.names, files, corpus.manifests, corpus.workspaces),
         groups=groups,
         members=members,
         ranked=ranked,

@@ -66,6 +66,12 @@ def ignore_rules(listing: DataFrame, file_name: str = ".gitignore") -> DataFrame
     )
 
 
+def settings_files(listing: DataFrame, file_name: str = ".gitignore", manifest: str = "package.json") -> DataFrame:
+    """The few files whose text steers a scan: root ignore files and manifests."""
+    path = F.col("path")
+    return listing.filter((path == file_name) | (paths.base_name(path) == manifest))
+
+
 def _rule(line: Column) -> Column:
     negated = line.startswith("!")
     body = F.regexp_replace(line, r"^!", "")
@@ -101,15 +107,18 @@ def is_ignored(path: Column, rules: Column) -> Column:
     )
 
 
-def select_sources(listing: DataFrame, params: Params = Params()) -> DataFrame:
-    """Rows of the listing that are analysed: included, not excluded, not ignored."""
+def select_sources(listing: DataFrame, params: Params = Params(), settings: DataFrame | None = None) -> DataFrame:
+    """Rows of the listing that are analysed: included, not excluded, not ignored.
+
+    ``settings`` are the rows of ``settings_files`` if they are already stored.
+    """
     path = F.col("path")
     candidates = listing.filter(
         path.rlike(include_pattern(params.base_path)) & ~path.rlike(exclude_pattern(params.exclude))
     )
     # One rule row per repository, so every file meets at most one row; the size
     # of the rule side decides at run time whether it is sent to all tasks.
-    kept = candidates.join(ignore_rules(listing), "repo", "left").filter(
+    kept = candidates.join(ignore_rules(listing if settings is None else settings), "repo", "left").filter(
         F.col("rules").isNull() | ~is_ignored(path, F.col("rules"))
     )
     return kept.drop("rules")
