@@ -170,9 +170,9 @@ def _finish_heuristic(bodies: str) -> str:
   SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY start_line) - 1 AS fn_ord,
          name, start_line, end_line, end_line - start_line + 1 AS line_count, parameter_count, is_async,
          first_try IS NOT NULL AS has_try, coalesce(end_line - first_try + 1, 0) AS try_lines,
-         {count('body', CONDITIONS)} AS conditional_count, coalesce(max_depth, 0) AS max_depth,
+         {count('body', CONDITIONS)} AS conditional_count, CAST(coalesce(max_depth, 0) AS BIGINT) AS max_depth,
          1 + {count('body', CONDITIONS)} + {count('body', r'&&|\|\||\band\b|\bor\b')} AS complexity,
-         0 AS hook_count, {count('body', HTTP)} AS api_call_count, false AS returns_jsx,
+         CAST(0 AS BIGINT) AS hook_count, {count('body', HTTP)} AS api_call_count, false AS returns_jsx,
          CASE WHEN end_line - start_line + 1 >= 8 THEN {NORMAL} END AS body_hash,
          contains(body, 'XMLHttpRequest') AS blob_request, {found('body', fixed.BLOB_READER_TYPE)} AS blob_type
   FROM {bodies}"""
@@ -363,7 +363,7 @@ def _script_functions(spans: str, lines: str, calls: str) -> str:
   SELECT h.repo, h.path, h.fn_ord, h.name, h.start_line, h.end_line, h.end_line - h.start_line + 1 AS line_count,
     CASE WHEN head LIKE '%=>' AND NOT regexp_matches(head, '\\)[^)]*=>$') THEN 1
          ELSE len(list_filter(string_split({inner}, ','), lambda p: regexp_matches(p, '\\S'))) END AS parameter_count,
-    h.is_async, {found('body', TRY)} AS has_try, coalesce(t.try_lines, 0) AS try_lines,
+    h.is_async, {found('body', TRY)} AS has_try, CAST(coalesce(t.try_lines, 0) AS BIGINT) AS try_lines,
     {count('body', BRANCH)} + {count('body', TERNARY)} AS conditional_count, coalesce(d.max_depth, 0) AS max_depth,
     1 + {count('body', DECISION)} + {count('body', TERNARY)} + {count('body', CATCH)} + {count('body', LOGICAL)} AS complexity,
     coalesce(c.hook_count, 0) AS hook_count, coalesce(c.api_call_count, 0) AS api_call_count,

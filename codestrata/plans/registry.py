@@ -82,7 +82,7 @@ def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("text")
     return _table(spark, sf_dir, "documents").select(
         "doc_id", text.line_count(body).alias("line_count"),
-        text.marker_count(F.regexp_replace(body, "[^ -~\n]", "~")).alias("marker_count"),
+        text.marker_count(body).alias("marker_count"),
     )
 
 
@@ -259,9 +259,8 @@ def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal normalised texts across sources, straight from the documents table."""
-    cleaned = F.regexp_replace("text", "[^ -~\n]", "~")
     hashed = _table(spark, sf_dir, "documents").select(
-        "source", "doc_id", text.body_hash(cleaned, True).alias("body_hash")
+        "source", "doc_id", text.body_hash(F.col("text"), True).alias("body_hash")
     )
     per_source = hashed.groupBy("body_hash", "source").agg(
         F.count("*").alias("members"), F.min("doc_id").alias("first_doc")
