@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import lookup, pascal_case, snake_case
+from .text import bind, lookup, pascal_case, snake_case
 
 
 def posix(path: Column) -> Column:
@@ -101,7 +101,7 @@ def resolve(base_directory: Column, specifier: Column) -> Column:
             F.struct(F.array_append(acc["kept"], p).alias("kept"), acc["inside"].alias("inside"))
         ),
     )
-    return F.when(walked["inside"], F.array_join(walked["kept"], "/"))
+    return bind(walked, lambda w: F.when(w["inside"], F.array_join(w["kept"], "/")))
 
 
 def ancestors(folder: Column) -> Column:

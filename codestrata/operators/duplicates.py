@@ -19,7 +19,11 @@ NAMED = ["repo", "body_hash"]
 
 
 def hashed_functions(files: DataFrame) -> DataFrame:
-    """One row per function with a body hash, with the facts of its file."""
+    """One row per function with a body hash, with the facts of its file.
+
+    The outer form of explode is used for computed arrays: the inner form makes
+    the optimizer add a size filter that computes the array a second time.
+    """
     fn = F.col("fn")
     keep = F.filter(
         "functions", lambda f: f["body_hash"].isNotNull() & (f["line_count"] >= fixed.MIN_HASHED_LINES)
@@ -28,8 +32,8 @@ def hashed_functions(files: DataFrame) -> DataFrame:
         "repo", "path", "language", "workspace", "line_count", "complexity_score", "dependent_count",
         F.size("signals").alias("signal_count"), "has_tests_nearby",
         F.arrays_overlap("responsibilities", F.array(*[F.lit(t) for t in fixed.SENSITIVE_TAGS])).alias("sensitive"),
-        F.explode(keep).alias("fn"),
-    ).select(
+        F.explode_outer(keep).alias("fn"),
+    ).filter(fn.isNotNull()).select(
         "*", fn["body_hash"].alias("body_hash"), fn["fn_ord"].alias("fn_ord"), fn["name"].alias("name"),
         fn["start_line"].alias("start_line"), fn["line_count"].alias("body_lines"),
         fn["blob_request"].alias("blob_request"), fn["blob_type"].alias("blob_type"),

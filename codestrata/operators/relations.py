@@ -36,7 +36,7 @@ def covered_stems(listing: DataFrame) -> DataFrame:
             key(folder, suffixed),
         )
     )
-    return listing.select("repo", F.inline(keys)).distinct()
+    return listing.select("repo", F.inline_outer(keys)).filter(F.col("stem").isNotNull()).distinct()
 
 
 def nearby_tests(files: DataFrame, listing: DataFrame) -> DataFrame:

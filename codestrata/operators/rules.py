@@ -170,8 +170,8 @@ def file_drafts(files: DataFrame, params: Params = Params()) -> DataFrame:
         F.lit(None).cast("string").alias("helper_name"),
         F.lit(None).cast("string").alias("helper_path"),
         F.lit(None).cast("int").alias("group_ord"),
-        F.inline(draft_array(limits)),
-    ).select(*DRAFT)
+        F.inline_outer(draft_array(limits)),
+    ).filter(F.col("type").isNotNull()).select(*DRAFT)
 
 
 def duplicate_drafts(groups: DataFrame) -> DataFrame:

@@ -443,10 +443,13 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         plain = plain.filter(doc_id % 7 != 0)
     chosen = plain.unionByName(rows.filter(manifest).join(F.broadcast(kept), "doc_id", "left_semi"))
     python_like = k.isin(0, 1, 2) | ((k == 10) & g.isin(1, 2))
-    files = chosen.select(
-        "doc_id", "k", "g", "r", "b", "n",
-        F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"),
-        _fill(path, numbers).alias("path"),
+    # Paths come out of a one-element generator, so that the long expression
+    # behind them is not copied into every filter and join of a query.
+    keys = F.struct(
+        F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"), _fill(path, numbers).alias("path")
+    )
+    files = chosen.select("*", F.inline_outer(F.array(keys))).select(
+        "doc_id", "k", "g", "r", "b", "n", "repo", "path",
         _fill(content, numbers).alias("content"),
         F.regexp_replace("text", CLEAN, "~").alias("clean"),
         F.when(python_like, F.lit("# ")).otherwise(F.lit("// ")).alias("mark"),

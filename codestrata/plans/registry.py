@@ -103,6 +103,11 @@ def responsibility_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select("repo", "path", "language", _joined("responsibilities").alias("tags"))
 
 
+def _unnest(rows: DataFrame, items: Column, required: str) -> DataFrame:
+    """One row per array element; the outer form keeps the array from being computed twice."""
+    return rows.select("repo", "path", F.inline_outer(items)).filter(F.col(required).isNotNull())
+
+
 FUNCTION_COLUMNS = [
     "fn_ord", "name", "start_line", "end_line", "line_count", "parameter_count", "is_async", "has_try", "try_lines",
     "conditional_count", "max_depth", "complexity", "hook_count", "api_call_count", "returns_jsx", "body_hash",
@@ -111,7 +116,7 @@ FUNCTION_COLUMNS = [
 
 def _functions(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
     parsed = _parsed(spark, sf_dir).filter(F.col("language").isin(*languages))
-    return parsed.select("repo", "path", F.inline(analysis.functions_column())).select("repo", "path", *FUNCTION_COLUMNS)
+    return _unnest(parsed, analysis.functions_column(), "name").select("repo", "path", *FUNCTION_COLUMNS)
 
 
 @register
@@ -131,7 +136,7 @@ def js_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def js_api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _parsed(spark, sf_dir).filter("is_script").select("repo", "path", F.inline(analysis.calls_column()))
+    calls = _unnest(_parsed(spark, sf_dir).filter("is_script"), analysis.calls_column(), "kind")
     return calls.select("repo", "path", "expression", "kind", "line", "import_source")
 
 
@@ -155,13 +160,13 @@ def complex_functions_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.slice(
         F.filter("functions", lambda f: analysis.is_complex(f, PARAMS.thresholds)), 1, fixed.COMPLEX_FUNCTIONS_PER_FILE
     )
-    return _metrics(spark, sf_dir).select("repo", "path", F.inline(chosen)).select(
+    return _unnest(_metrics(spark, sf_dir), chosen, "name").select(
         "repo", "path", "fn_ord", "name", "start_line", "line_count", "complexity"
     )
 
 
 def _file_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select("repo", "path", F.inline("signals")).select(
+    return _unnest(_metrics(spark, sf_dir), F.col("signals"), "type").select(
         "repo", "path", "type", "message", "severity", F.coalesce("line", F.lit(0)).alias("line")
     )
 
@@ -207,19 +212,21 @@ def nearby_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("repo", "path", analysis.import_sources().alias("import_sources"))
+    """Import statements, stored like the metrics of a scan, since two relations read them."""
+    found = _parsed(spark, sf_dir).select("repo", "path", analysis.import_sources().alias("import_sources"))
+    return stores.materialize(found, "imports")
 
 
 @register
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _selected(spark, sf_dir).select("repo", "path")
-    return relations.import_edges(_imports(spark, sf_dir), files)
+    imports = _imports(spark, sf_dir)
+    return relations.import_edges(imports, imports.select("repo", "path"))
 
 
 @register
 def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _selected(spark, sf_dir).select("repo", "path")
-    return relations.dependents(_imports(spark, sf_dir), files)
+    imports = _imports(spark, sf_dir)
+    return relations.dependents(imports, imports.select("repo", "path"))
 
 
 @register
