@@ -206,7 +206,7 @@ def brief_lines(chosen: DataFrame, files_of: DataFrame, members: DataFrame, file
         listed(91, bullet(F.col("tests_to_add"))),
         constant(101, _bullets(fixed.BRIEF_ACCEPTANCE)),
     )
-    from_row = chosen.select("repo", "id", F.inline(own))
+    from_row = chosen.select("repo", "id", F.inline_outer(own))
 
     evidence = opportunity_signals(chosen, members, REPORT_EVIDENCE).select(
         "repo", "id", F.lit(23).alias("section"), F.lpad(F.col("ord").cast("string"), 6, "0").alias("item"),
@@ -234,7 +234,7 @@ def brief_lines(chosen: DataFrame, files_of: DataFrame, members: DataFrame, file
     per_file = known.select(
         "repo",
         "id",
-        F.inline(
+        F.inline_outer(
             F.array(
                 F.struct(F.lit(31).alias("section"), F.col("path").alias("item"), context.alias("line")),
                 F.struct(F.lit(81).alias("section"), F.col("path").alias("item"), quoted(F.col("path")).alias("line")),

@@ -380,6 +380,9 @@ BLOCKS["brief_rows"] = (
   UNION ALL SELECT repo, id, 23, lpad(CAST(ord AS VARCHAR), 6, '0'), """
     + EVIDENCE_LINE
     + """ FROM evidence JOIN (SELECT repo, id FROM chosen) USING (repo, id) WHERE ord <= 6
+  UNION ALL SELECT repo, id, 23, '', """
+    + q("- " + fixed.EVIDENCE_FALLBACK)
+    + """ FROM chosen ANTI JOIN evidence USING (repo, id)
   UNION ALL SELECT repo, id, 24, '', 'Suggested helper: `' || helper_name || ' in ' || helper_path || '`' FROM chosen WHERE helper_name IS NOT NULL
   UNION ALL SELECT repo, id, 31, path, '- `' || path || '`: ' || language || ', workspace/framework: ' || place FROM known_files
   UNION ALL SELECT repo, id, 41, lpad(CAST(n AS VARCHAR), 6, '0'), '- ' || step FROM (

@@ -48,5 +48,5 @@ def difference(df, con, text: str) -> str:
         only_right = [r for r in right if r not in set(left)][:3]
         return f"{len(left)} rows and {len(right)} rows; spark only {only_left}; oracle only {only_right}"
     types = dict(df.dtypes)
-    wrong = {c: t for c, t in types.items() if t not in ("bigint", "string", "boolean", "timestamp", "double")}
+    wrong = {c: t for c, t in types.items() if t not in ("bigint", "string", "boolean", "timestamp", "timestamp_ntz", "double")}
     return f"types {wrong}" if wrong else ""
