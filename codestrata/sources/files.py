@@ -79,12 +79,13 @@ def _rule(line: Column) -> Column:
     # Escape, then give the wildcards back their meaning.
     escaped = F.regexp_replace(F.regexp_replace(body, "^/", ""), r"([.+^$(){}|\\])", r"\\$1")
     deep = F.regexp_replace(F.regexp_replace(escaped, r"\*\*/", "\u0001"), r"/\*\*$", "/\u0002")
-    single = F.regexp_replace(F.regexp_replace(deep, r"\*+", "[^/]*"), r"\?", "[^/]")
+    whole = F.regexp_replace(deep, r"(^|/)\*+(/|$)", "$1[^/]\u0003$2")
+    single = F.regexp_replace(F.regexp_replace(whole, r"\*+", "[^/]*"), r"\?", "[^/]")
     wild = F.replace(F.replace(single, F.lit("\u0001"), F.lit("(.*/)?")), F.lit("\u0002"), F.lit(".+"))
-    only_folder = F.regexp_replace(wild, "/$", "/.+")
+    wild = F.replace(wild, F.lit("\u0003"), F.lit("+"))
     head = F.when(anchored, F.lit("^")).otherwise(F.lit("^(.*/)?"))
-    tail = F.when(body.endswith("/"), F.lit("$")).otherwise(F.lit("(/.+)?$"))
-    return F.struct(F.concat(head, only_folder, tail).alias("pattern"), negated.alias("negated"))
+    tail = F.when(body.endswith("/"), F.lit("$")).otherwise(F.lit("/?$"))
+    return F.struct(F.concat(head, wild, tail).alias("pattern"), negated.alias("negated"))
 
 
 def is_ignored(path: Column, rules: Column) -> Column:
@@ -94,7 +95,7 @@ def is_ignored(path: Column, rules: Column) -> Column:
         F.sequence(F.lit(1), F.size(parts)),
         lambda n: F.concat(
             F.array_join(F.slice(parts, F.lit(1), n), "/"),
-            F.when(n < F.size(parts), F.lit("/x")).otherwise(F.lit("")),
+            F.when(n < F.size(parts), F.lit("/")).otherwise(F.lit("")),
         ),
     )
     return F.exists(
