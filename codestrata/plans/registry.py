@@ -50,7 +50,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.file_metrics(_selected(spark, sf_dir), PARAMS)
+    return scan.selected_metrics(scan.prepare(corpus.listing(spark, sf_dir)), PARAMS)
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> scan.Scan:
@@ -232,7 +232,8 @@ def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def workspace_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = scan.prepare(corpus.listing(spark, sf_dir))
-    files = sources.select_sources(prepared.listing, PARAMS, prepared.settings).select("repo", "path")
+    kept = sources.drop_ignored(sources.candidates(prepared.names, PARAMS), sources.ignore_rules(prepared.settings))
+    files = kept.select("repo", "path")
     return relations.workspace_of(files, prepared.workspaces)
 
 
@@ -425,7 +426,8 @@ def advice_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = scan.prepare(corpus.listing(spark, sf_dir))
-    files = sources.select_sources(prepared.listing, PARAMS, prepared.settings).select("repo", "path")
+    kept = sources.drop_ignored(sources.candidates(prepared.names, PARAMS), sources.ignore_rules(prepared.settings))
+    files = kept.select("repo", "path")
     facts = project_sources.projects(prepared.names, files, prepared.manifests, prepared.workspaces)
     return facts.withColumn("languages", _joined("languages")).withColumn(
         "package_manager", F.coalesce("package_manager", F.lit(""))
@@ -511,9 +513,7 @@ def run_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _comparisons(spark: SparkSession, sf_dir: str) -> tuple[scan.Scan, DataFrame, DataFrame, DataFrame]:
     result = _scan(spark, sf_dir)
     after = corpus.edited_listing(spark, sf_dir)
-    current = stores.materialize(
-        analysis.file_metrics(sources.select_sources(after, PARAMS), PARAMS), "current"
-    )
+    current = stores.materialize(scan.selected_metrics(scan.prepare(after), PARAMS), "current")
     targets = stores.materialize(
         runs.snapshot(result.files_of, result.files, _runs_of_all(result.ranked)), "targets"
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import duplicates, outputs, ranking, relations, rules
 from ..operators.analysis import file_metrics
 from ..params import Params
 from ..sources import manifests as project_sources
-from ..sources.files import select_sources, settings_files
+from ..sources.files import candidates, drop_ignored, ignore_rules, settings_files
 from ..sources.stores import materialize, write_brief_lines, write_scan
 
 
@@ -56,11 +57,25 @@ def analysed_files(corpus: Corpus, params: Params = Params()) -> DataFrame:
 
     Metrics are stored first, because the relations read them more than once.
     """
-    selected = select_sources(corpus.listing, params, corpus.settings)
-    metrics = materialize(file_metrics(selected, params), "metrics")
+    metrics = materialize(selected_metrics(corpus, params), "metrics")
     return relations.relate(metrics, corpus.names, corpus.workspaces)
 
 
+def selected_metrics(corpus: Corpus, params: Params = Params()) -> DataFrame:
+    """Metrics of the files that are not ignored; contents are never shuffled.
+
+    Few ignore rules are broadcast and applied before contents are read. Too many
+    for that are applied to the much smaller metric rows instead.
+    """
+    ignore_files = corpus.settings.filter(F.col("path") == ".gitignore")
+    rule_bytes = ignore_files.agg(F.sum(F.length("content"))).first()[0] or 0
+    rules_of = ignore_rules(corpus.settings)
+    files = candidates(corpus.listing, params)
+    if rule_bytes <= params.broadcast_rule_bytes:
+        return file_metrics(drop_ignored(files, F.broadcast(rules_of)), params)
+    return drop_ignored(file_metrics(files, params), rules_of)
+
+
 def scan(listing: DataFrame, params: Params = Params()) -> Scan:
     corpus = prepare(listing)
     files = materialize(analysed_files(corpus, params), "files")

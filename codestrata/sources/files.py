@@ -108,18 +108,22 @@ def is_ignored(path: Column, rules: Column) -> Column:
     )
 
 
-def select_sources(listing: DataFrame, params: Params = Params(), settings: DataFrame | None = None) -> DataFrame:
-    """Rows of the listing that are analysed: included, not excluded, not ignored.
-
-    ``settings`` are the rows of ``settings_files`` if they are already stored.
-    """
+def candidates(listing: DataFrame, params: Params = Params()) -> DataFrame:
+    """Included and not excluded rows; a filter on the path, before any content is read."""
     path = F.col("path")
-    candidates = listing.filter(
+    return listing.filter(
         path.rlike(include_pattern(params.base_path)) & ~path.rlike(exclude_pattern(params.exclude))
     )
-    # One rule row per repository, so every file meets at most one row; the size
-    # of the rule side decides at run time whether it is sent to all tasks.
-    kept = candidates.join(ignore_rules(listing if settings is None else settings), "repo", "left").filter(
-        F.col("rules").isNull() | ~is_ignored(path, F.col("rules"))
+
+
+def drop_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Remove rows hidden by the ignore file of their repository (one rule row each)."""
+    kept = rows.join(rules, "repo", "left").filter(
+        F.col("rules").isNull() | ~is_ignored(F.col("path"), F.col("rules"))
     )
     return kept.drop("rules")
+
+
+def select_sources(listing: DataFrame, params: Params = Params()) -> DataFrame:
+    """Rows of the listing that are analysed: included, not excluded, not ignored."""
+    return drop_ignored(candidates(listing, params), ignore_rules(listing))

@@ -133,6 +133,13 @@ def test_selection(listing):
     assert {r["path"] for r in scoped} == {"src/a.py", "src/b.test.ts", "src/logs/b.py"}
 
 
+def test_many_ignore_rules_are_applied_after_the_metrics(listing):
+    df = listing({"src/a.py": NORMALIZE, "src/b.py": NORMALIZE, ".gitignore": "b.py\n"})
+    for limit in (0, 1000):
+        metrics = scan.selected_metrics(scan.prepare(df), replace(LOW, broadcast_rule_bytes=limit))
+        assert [r["path"] for r in metrics.collect()] == ["src/a.py"]
+
+
 def test_read_tree(spark, tmp_path):
     for repo in ("one", "two"):
         (tmp_path / repo / "src").mkdir(parents=True)
