@@ -97,7 +97,9 @@ def _function(head: Column, order: Column, start: Column, end: Column, body_line
 
     def build(body: Column) -> Column:
         conditionals = occurrences(body, CONDITIONS)
-        first_try = first_position(body_lines, lambda line: matches(line, TRIES))
+        first_try = F.when(
+            matches(body, TRIES), first_position(body_lines, lambda line: matches(line, TRIES))
+        ).otherwise(0)
         size = F.size(body_lines)
         return F.struct(
             order.cast("int").alias("fn_ord"),

@@ -273,54 +273,69 @@ def block_ends(facts: Column, total: Column) -> Column:
     return F.aggregate(facts, zero, step, finish)
 
 
-def nesting(code_lines: Column) -> Column:
+def line_facts(code_lines: Column) -> Column:
+    """Bracket, decision and try facts of every line of a file, and its function starts."""
+
+    def facts(line: Column, i: Column) -> Column:
+        closing = line.contains("}")
+        return F.struct(
+            (i + 1).cast("int").alias("n"),
+            bracket_delta(line).alias("delta"),
+            leading_closers(line).alias("closers"),
+            (occurrences(line, DECISION) + occurrences(line, TERNARY)).alias("decisions"),
+            (closing & matches(line, ELSE_IF)).alias("chained"),
+            (closing & matches(line, TRY_CONTINUES)).alias("continues"),
+            (line.contains("try") & matches(line, TRY)).alias("tries"),
+            line_starts(line).alias("starts"),
+        )
+
+    return F.transform(code_lines, facts)
+
+
+def nesting(facts: Column) -> Column:
     """Deepest nesting of decisions and total lines of try statements in a body."""
+    pair = "array<struct<start:int,depth:int>>"
 
-    def step(acc, line, n):
-        closers = leading_closers(line)
-        low = acc["depth"] - closers
-        chained = matches(line, ELSE_IF)
-        kept = F.when(chained, acc["open"]).otherwise(F.filter(acc["open"], lambda d: d < low))
-        decisions = occurrences(line, DECISION) + occurrences(line, TERNARY)
-        after = acc["depth"] + bracket_delta(line)
-        ending = F.when(
-            matches(line, TRY_CONTINUES), F.array().cast("array<struct<start:int,depth:int>>")
-        ).otherwise(F.filter(acc["tries"], lambda t: t["depth"] >= low))
-        ended_lines = F.aggregate(ending, F.lit(0), lambda sum_, t: sum_ + n - t["start"] + 1)
-        running = F.when(matches(line, TRY_CONTINUES), acc["tries"]).otherwise(
+    def step(acc, x):
+        low = acc["depth"] - x["closers"]
+        after = acc["depth"] + x["delta"]
+        kept = F.when(x["chained"], acc["open"]).otherwise(F.filter(acc["open"], lambda d: d < low))
+        ending = F.when(x["continues"], F.array().cast(pair)).otherwise(
+            F.filter(acc["tries"], lambda t: t["depth"] >= low)
+        )
+        ended_lines = F.aggregate(ending, F.lit(0), lambda sum_, t: sum_ + x["n"] - t["start"] + 1)
+        running = F.when(x["continues"], acc["tries"]).otherwise(
             F.filter(acc["tries"], lambda t: t["depth"] < low)
         )
-        starts_try = matches(line, TRY)
-        own_try = F.struct(n.alias("start"), low.alias("depth"))
+        own_try = F.struct(x["n"].alias("start"), low.alias("depth"))
+        decided = x["decisions"] > 0
         return F.struct(
             after.alias("depth"),
-            F.when((decisions > 0) & (after > low), F.array_append(kept, low)).otherwise(kept).alias("open"),
-            F.when(decisions > 0, F.greatest(acc["deepest"], F.size(kept) + decisions))
+            F.when(decided & (after > low), F.array_append(kept, low)).otherwise(kept).alias("open"),
+            F.when(decided, F.greatest(acc["deepest"], F.size(kept) + x["decisions"]))
             .otherwise(acc["deepest"])
             .alias("deepest"),
-            F.when(starts_try & (after > low), F.array_append(running, own_try)).otherwise(running).alias("tries"),
-            (acc["try_lines"] + ended_lines + F.when(starts_try & (after <= low), 1).otherwise(0)).alias("try_lines"),
+            F.when(x["tries"] & (after > low), F.array_append(running, own_try)).otherwise(running).alias("tries"),
+            (acc["try_lines"] + ended_lines + F.when(x["tries"] & (after <= low), 1).otherwise(0)).alias("try_lines"),
         )
 
     zero = F.struct(
         F.lit(0).alias("depth"),
         F.array().cast("array<int>").alias("open"),
         F.lit(0).alias("deepest"),
-        F.array().cast("array<struct<start:int,depth:int>>").alias("tries"),
+        F.array().cast(pair).alias("tries"),
         F.lit(0).alias("try_lines"),
     )
-    numbered = F.transform(code_lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n")))
+    last = F.element_at(facts, -1)["n"]
     return F.aggregate(
-        numbered,
+        facts,
         zero,
-        lambda acc, x: step(acc, x["line"], x["n"]),
+        step,
         lambda acc: F.struct(
             acc["deepest"].alias("deepest"),
             (
                 acc["try_lines"]
-                + F.aggregate(
-                    acc["tries"], F.lit(0), lambda sum_, t: sum_ + F.size(code_lines) - t["start"] + 1
-                )
+                + F.aggregate(acc["tries"], F.lit(0), lambda sum_, t: sum_ + last - t["start"] + 1)
             ).alias("try_lines"),
         ),
     )
@@ -355,16 +370,6 @@ def hashed_text(text: Column, bare_lines: Column) -> Column:
 
 def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -> Column:
     """Functions of one TypeScript or JavaScript file, in source order."""
-    facts = F.transform(
-        code_lines,
-        lambda line, i: F.struct(
-            (i + 1).cast("int").alias("n"),
-            bracket_delta(line).alias("delta"),
-            leading_closers(line).alias("closers"),
-            line_starts(line).alias("starts"),
-        ),
-    )
-
     def with_facts(found: Column) -> Column:
         marks = F.transform(
             found,
@@ -387,11 +392,15 @@ def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -
         return F.transform(
             heads,
             lambda f, i: bind(
-                line_slice(code_lines, f["start"], f["end"]), lambda lines: one(f, i, lines)
+                F.struct(
+                    line_slice(code_lines, f["start"], f["end"]).alias("lines"),
+                    line_slice(found, f["start"], f["end"]).alias("facts"),
+                ),
+                lambda part: one(f, i, part["lines"], part["facts"]),
             ),
         )
 
-    def one(f: Column, i: Column, lines: Column) -> Column:
+    def one(f: Column, i: Column, lines: Column, facts: Column) -> Column:
         head, size = f["head"], F.size(lines)
         anonymous = F.concat(F.lit(fixed.ANONYMOUS_PREFIX), f["start"].cast("string"))
 
@@ -426,13 +435,13 @@ def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -
             F.struct(
                 F.array_join(lines, "\n").alias("body"),
                 request_calls(lines, f["start"], bindings).alias("calls"),
-                nesting(lines).alias("nested"),
+                nesting(facts).alias("nested"),
                 hashed_text(head["text"], line_slice(bare_lines, f["start"], f["end"])).alias("text"),
             ),
             build,
         )
 
-    return bind(facts, with_facts)
+    return bind(line_facts(code_lines), with_facts)
 
 
 def responsibilities(path: Column, content: Column, code: Column, has_calls: Column) -> Column:
