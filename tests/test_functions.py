@@ -2,28 +2,26 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import blocks, paths, script, text
 
-INVOICE = '''import requests
+PARCELS = '''import httpx
 from pydantic import BaseModel
 
 
-class Invoice(BaseModel):
-    customer: str
-    amount: int
-
-
-def total(user, invoice, permissions, flags, request, audit):
-    if not user:
-        return 0
-    if permissions.get("admin"):
-        return invoice.amount
-    if flags.get("trial"):
-        if request.get("region") == "ca":
-            return invoice.amount - 10
-        return invoice.amount - 5
-    if audit.get("required") and audit.get("passed"):
-        return 0
-    response = requests.get("https://example.com/customers")
-    return response
+class Parcel(BaseModel):
+    city: str
+    grams: int
+
+
+def quote(parcel, carrier, rates, day, express, insured):
+    if parcel.grams > 900 and express:
+        for rate in rates:
+            if rate.fits(parcel):
+                return rate.price
+    if insured:
+        return 12
+    reply = httpx.get("https://example.com/rates")
+    while day > 6:
+        day -= 7
+    return reply
 '''
 OUTER = """def outer(a):
     x = 1
@@ -59,11 +57,11 @@ def functions_of(spark, build, source):
 
 
 def test_python_function_metrics(spark):
-    (fn,) = functions_of(spark, blocks.python_functions, INVOICE)
-    assert (fn["name"], fn["start_line"], fn["end_line"], fn["parameter_count"]) == ("total", 10, 23, 6)
+    (fn,) = functions_of(spark, blocks.python_functions, PARCELS)
+    assert (fn["name"], fn["start_line"], fn["end_line"], fn["parameter_count"]) == ("quote", 10, 21, 6)
     assert fn["conditional_count"] == 5
     assert fn["complexity"] == 1 + 5 + 1
-    assert fn["max_depth"] == 4  # four-space code counts double
+    assert fn["max_depth"] == 6  # four-space code counts double
     assert fn["api_call_count"] == 1
     assert fn["body_hash"] is not None and not fn["is_async"] and not fn["has_try"]
 
@@ -112,7 +110,7 @@ def test_names_and_deltas(spark):
     row = spark.range(1).select(
         text.brief_file_name(F.lit(7), F.lit("Extract Hook From Sidebar")).alias("short"),
         text.brief_file_name(F.lit(123), F.lit("Extract Hook From Sidebar")).alias("long"),
-        text.snake_case(F.lit("extractNormalizeAmountHelper")).alias("snake"),
+        text.snake_case(F.lit("extractShippingFeeHelper")).alias("snake"),
         text.pascal_case(F.lit("sign-in_form v2")).alias("pascal"),
         text.signed(F.lit(3)).alias("up"),
         text.signed(F.lit(-3)).alias("down"),
@@ -120,7 +118,7 @@ def test_names_and_deltas(spark):
     ).first()
     assert row["short"] == "07_extract_hook_from_sidebar.md"
     assert row["long"] == "123_extract_hook_from_sidebar.md"
-    assert (row["snake"], row["pascal"]) == ("extract_normalize_amount_helper", "SignInFormV2")
+    assert (row["snake"], row["pascal"]) == ("extract_shipping_fee_helper", "SignInFormV2")
     assert (row["up"], row["down"], row["none"]) == ("+3", "-3", "n/a")
 
 

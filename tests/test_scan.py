@@ -9,67 +9,61 @@ from codestrata.plans import scan
 from codestrata.sources import files as sources
 from codestrata.sources import stores
 
-NORMALIZE = """
-def normalize_amount(value, currency):
-    if value is None:
-        return 0
-    if currency == "USD":
-        return value
-    if currency == "CAD":
-        return value * 1.35
-    return value
+SHIPPING = """
+def shipping_fee(weight, zone):
+    fee = 4
+    if zone == "island":
+        fee += 6
+    if weight > 20:
+        fee += 3
+    while weight > 100:
+        weight -= 50
+    return fee
 """
+STATES = "".join(f"  const [s{n}, setS{n}] = useState({n});\n" for n in range(8))
 VIEW = """
-import React, { useEffect, useMemo, useState } from 'react';
-
-// fetch().blob() in a comment is no call
-export function Dashboard({ userId, token, region, currency, flags, onSelect }) {
-  const [items, setItems] = useState([]);
-  const [loading, setLoading] = useState(false);
-  const [error, setError] = useState(null);
-  const [query, setQuery] = useState('');
-  const [selected, setSelected] = useState(null);
-  const [modalOpen, setModalOpen] = useState(false);
-  const [sort, setSort] = useState('name');
-  const [filter, setFilter] = useState('all');
-  const [page, setPage] = useState(1);
+import React, { useEffect, useState } from 'react';
 
+// fetch() in a comment is no call
+export function OrderBoard({ shop, token }) {
+  const [rows, setRows] = useState([]);
+""" + STATES + """
   useEffect(() => {
-    async function load() {
-      const response = await fetch('/api/dashboard?user=' + userId);
-      setItems(await response.json());
+    async function pull() {
+      const reply = await fetch('/orders');
+      setRows(await reply.json());
     }
-    load();
-  }, [userId]);
-
-  function calculateStatus(item, permissions, now, fallback, options, audit) {
-    if (!item) return fallback;
-    if (item.expiry) {
-      if (item.expiry < now) {
-        if (options.allowExpired) return 'late';
+    pull();
+  }, [shop]);
+
+  function badge(order, rights, clock, other, prefs, trail) {
+    if (!order) return other;
+    for (const step of trail) {
+      if (step.late) {
+        if (prefs.strict) return 'late';
       }
     }
-    return 'active';
+    return 'open';
   }
 
-  // TODO: split this component
+  // TODO: smaller parts
   return (
-    <section style={{ padding: 20 }}>
-      {items.map((item) => (
-        <button key={item.id} onClick={() => onSelect(calculateStatus(item))}>{item.name}</button>
+    <main style={{ margin: 4 }}>
+      {rows.map((row) => (
+        <Card key={row.id} label={badge(row)} />
       ))}
-    </section>
+    </main>
   );
 }
 """
 QUIET_VIEW = """
-import { Dimensions, Text } from 'react-native';
+import { Platform, Text } from 'react-native';
 
-// fetch().blob() is not supported here.
-const { width } = Dimensions.get('window');
+// axios.get() is mentioned only
+const os = Platform.get('os');
 
-export function DimensionsOnly() {
-  return <Text>{width}</Text>;
+export function Plain() {
+  return <Text>{os}</Text>;
 }
 """
 SERVICE_VIEW = """
@@ -84,22 +78,22 @@ BLOB = """
 import { Text } from 'react-native';
 
 export default function {name}() {
-  async function readLocal(uri: string) {
-    const blob = await new Promise<Blob>((resolve, reject) => {
-      const xhr = new XMLHttpRequest();
-      xhr.onload = () => resolve(xhr.response as Blob);
-      xhr.onerror = () => reject(new TypeError('failed'));
-      xhr.responseType = 'blob';
-      xhr.open('GET', uri, true);
-      xhr.send(null);
+  async function clip(path: string) {
+    const request = new XMLHttpRequest();
+    request.open('GET', path);
+    request.responseType = 'blob';
+    const done = new Promise((ready) => {
+      request.onload = ready;
     });
-    return blob;
+    request.send();
+    await done;
+    return request.response;
   }
   return <Text>x</Text>;
 }
 """
 ROOT = '{"workspaces": ["apps/*", "packages/*"], "scripts": {"typecheck": "tsc", "test": "vitest"}, "devDependencies": {"vitest": "^3"}}'
-APP = '{"name": "@k/mobile", "dependencies": {"expo": "^54", "react": "^19"}, "scripts": {"typecheck": "tsc", "lint": "eslint ."}}'
+APP = '{"name": "@shop/mobile", "dependencies": {"expo": "^54", "react": "^19"}, "scripts": {"typecheck": "tsc", "lint": "eslint ."}}'
 MONOREPO = {
     "package.json": ROOT,
     "pnpm-lock.yaml": "x",
@@ -107,8 +101,8 @@ MONOREPO = {
     "packages/broken/package.json": "{",
     "apps/mobile/src/One.tsx": BLOB.replace("{name}", "One"),
     "apps/mobile/app/(tabs)/Two.tsx": BLOB.replace("{name}", "Two"),
-    "apps/mobile/src/components/Dashboard.tsx": VIEW,
-    "apps/mobile/src/components/DimensionsOnly.tsx": QUIET_VIEW,
+    "apps/mobile/src/components/OrderBoard.tsx": VIEW,
+    "apps/mobile/src/components/Plain.tsx": QUIET_VIEW,
     "apps/mobile/src/components/List.tsx": SERVICE_VIEW,
     "apps/mobile/src/services/items.ts": "export function loadAll() { return []; }\n",
 }
@@ -134,7 +128,7 @@ def test_selection(listing):
 
 
 def test_many_ignore_rules_are_applied_after_the_metrics(listing):
-    df = listing({"src/a.py": NORMALIZE, "src/b.py": NORMALIZE, ".gitignore": "b.py\n"})
+    df = listing({"src/a.py": SHIPPING, "src/b.py": SHIPPING, ".gitignore": "b.py\n"})
     for limit in (0, 1000):
         metrics = scan.selected_metrics(scan.prepare(df), replace(LOW, broadcast_rule_bytes=limit))
         assert [r["path"] for r in metrics.collect()] == ["src/a.py"]
@@ -150,15 +144,15 @@ def test_read_tree(spark, tmp_path):
 
 def test_component_metrics(monorepo):
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in monorepo.files.collect()}
-    view = rows["Dashboard.tsx"]
+    view = rows["OrderBoard.tsx"]
     kinds = {s["type"] for s in view["signals"]}
     assert {"too-many-hooks", "api-calls-in-ui", "inline-styles", "todo-comments", "complex-function"} <= kinds
     assert (view["hook_count"], view["component_count"], view["import_count"]) == (10, 1, 1)
     assert [c["kind"] for c in view["api_calls"]] == ["network-call"]
-    status = next(f for f in view["functions"] if f["name"] == "calculateStatus")
+    status = next(f for f in view["functions"] if f["name"] == "badge")
     assert (status["parameter_count"], status["max_depth"], status["complexity"]) == (6, 3, 5)
-    assert next(f for f in view["functions"] if f["name"] == "load")["is_async"]
-    quiet = rows["DimensionsOnly.tsx"]
+    assert next(f for f in view["functions"] if f["name"] == "pull")["is_async"]
+    quiet = rows["Plain.tsx"]
     assert "data-fetching" not in quiet["responsibilities"] and not quiet["signals"]
     assert rows["items.ts"]["dependent_count"] == 1
     assert view["workspace"] == "apps/mobile"
@@ -173,8 +167,8 @@ def test_monorepo_project_and_titles(monorepo):
     titles = [r["title"] for r in rows]
     assert [r["id"] for r in rows] == list(range(1, len(rows) + 1))
     assert "Extract Shared Local File Blob Reader" in titles
-    assert "Move Data Loading Out Of List" in titles and "Move API Calls Out Of Dashboard" in titles
-    assert titles.index("Extract Hook From Dashboard") < titles.index("Extract Shared Local File Blob Reader")
+    assert "Move Data Loading Out Of List" in titles and "Move API Calls Out Of OrderBoard" in titles
+    assert titles.index("Extract Hook From OrderBoard") < titles.index("Extract Shared Local File Blob Reader")
     assert all(1 <= r[c] <= 10 for r in rows for c in ("impact", "risk", "confidence"))
     high = sum(r["priority_label"] == "High" for r in rows)
     assert high < 0.8 * len(rows)
@@ -189,18 +183,18 @@ def test_brief_of_duplicate(monorepo):
     ordered = lines.filter(F.col("id") == blob).orderBy("section", "item").collect()
     body = "\n".join(r["line"] for r in ordered)
     assert "apps/mobile/src/lib/readLocalFileAsBlob.ts" in body
-    assert "typescript, workspace/framework: @k/mobile (expo)" in body
+    assert "typescript, workspace/framework: @shop/mobile (expo)" in body
     assert "apps/mobile/src/One.test.tsx" in body and "XMLHttpRequest" not in body
     assert len(" ".join(body.split())) / 4 <= 1500
 
 
 def test_python_duplicates(listing):
-    result = scan.scan(listing({"src/billing/invoices.py": NORMALIZE, "src/billing/payments.py": NORMALIZE}), LOW)
+    result = scan.scan(listing({"src/billing/invoices.py": SHIPPING, "src/billing/payments.py": SHIPPING}), LOW)
     row = result.ranked.filter("is_duplicate").first()
     assert (row["title"], row["impact"], row["risk"], row["confidence"], row["priority"], row["priority_label"]) == (
-        "Deduplicate normalize_amount Logic", 4, 3, 5, 17, "Low",
+        "Deduplicate shipping_fee Logic", 4, 3, 5, 17, "Low",
     )
-    assert row["helper_path"] == "src/billing/extract_normalize_amount_helper.py"
+    assert row["helper_path"] == "src/billing/extract_shipping_fee_helper.py"
     assert row["file_count"] == 2
 
 
@@ -243,7 +237,7 @@ def test_limits_and_settings(monorepo, spark):
 
 def test_thresholds_change_the_result(listing):
     strict = replace(LOW, thresholds=Thresholds(complex_function_complexity=4))
-    df = listing({"src/a.py": NORMALIZE})
+    df = listing({"src/a.py": SHIPPING})
     count = lambda p: scan.scan(df, p).ranked.filter("type = 'simplify-complex-function'").count()
     assert (count(LOW), count(strict)) == (0, 1)
 
@@ -271,7 +265,7 @@ def test_run_workflow(monorepo, spark, listing):
     assert rejected.count() == 0 and started.first()["status"] == "started"
     assert todo.first()["id"] not in {r["id"] for r in runs.next_unstarted(ranked, keys, started).collect()}
 
-    edited = {**MONOREPO, "apps/mobile/src/components/Dashboard.tsx": VIEW.replace("// TODO: split this component", "")}
+    edited = {**MONOREPO, "apps/mobile/src/components/OrderBoard.tsx": VIEW.replace("// TODO: smaller parts", "")}
     after = listing(edited)
     comparison = runs.compare(targets, analysis.file_metrics(after), after)
     row = comparison.first()
@@ -312,7 +306,7 @@ def test_payload_has_no_source_text(monorepo):
     top = monorepo.ranked.filter("id <= 5")
     rows = outputs.payload_rows(top, monorepo.files_of, monorepo.members, monorepo.files, monorepo.project).collect()
     assert {r["part"] for r in rows} == {"project", "opportunity", "signal", "file"}
-    assert not any("setLoading" in r["json"] for r in rows)
+    assert not any("setRows" in r["json"] for r in rows)
 
 
 def test_store_roundtrip_and_run_log(monorepo, spark, tmp_path):
