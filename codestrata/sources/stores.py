@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +16,14 @@ RUN_LOG_TYPE = (
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, or a new local one in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder for intermediate tables that all executors see.
+
+    In this order: the given one, ``spark.checkpoint.dir``, a subfolder of the
+    session's warehouse. Nothing is written back to the session.
+    """
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
