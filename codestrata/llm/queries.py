@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset, packing, simhash, suffix_dedup
+from . import langid, multiset, packing, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +38,15 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.withColumnRenamed("id", "doc_id")
 
 
+@register
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is held out of training."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    held_out = F.coalesce(langid.remainder("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-copy class of every document."""
