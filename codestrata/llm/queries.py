@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, multiset, packing, simhash, suffix_dedup
+from . import hnsw, langid, multiset, packing, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +62,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text."""
     return multiset.with_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register
+def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, compared within its label."""
+    found = hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), settings=hnsw.Settings(threshold=0.93))
+    return found.withColumnRenamed("id", "vec_id")
