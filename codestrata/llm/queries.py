@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, multiset, packing, simhash, suffix_dedup
+from . import hnsw, langid, multiset, packing, sentence_spans, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,23 @@ def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector, compared within its label."""
     found = hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), settings=hnsw.Settings(threshold=0.93))
     return found.withColumnRenamed("id", "vec_id")
+
+
+#: Production setting of op3: 64 shards.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+@register
+def op3_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS).withColumn("slot", F.col("slot").cast("long"))
+
+
+@register
+def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses when later runs of three sentences are removed."""
+    found = sentence_spans.remove_repeats(_table(spark, sf_dir, "documents"), run=3, min_chars=60)
+    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", F.md5("kept").alias("kept_md5"))
+
+
+ORACLE_SQL["op5_sentence_span_dedup"] = sentence_spans.oracle(run=3, min_chars=60)
