@@ -235,8 +235,8 @@ def train(
     return model
 
 
-def identify(docs: DataFrame, model: ByteCnn, text_column: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def _found(model: ByteCnn, text_column: str) -> Column:
+    """Struct of lang and score."""
     made: dict[int, dict[int, list[np.ndarray]]] = {}
 
     def run(texts: pa.Array) -> pa.Array:
@@ -244,6 +244,18 @@ def identify(docs: DataFrame, model: ByteCnn, text_column: str = "text") -> Data
             made[0] = model.tables()
         return predict(texts, model, made[0])
 
+    return F.arrow_udf(run, "struct<lang string, score double>")(text_column).alias("__found")
+
+
+def identify(docs: DataFrame, model: ByteCnn, text_column: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*kept, F.arrow_udf(run, "struct<lang string, score double>")(text_column).alias("__found"))
+    found = docs.select(*kept, _found(model, text_column))
     return found.select(*kept, F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
+
+
+def drop_unknown(docs: DataFrame, model: ByteCnn, text_column: str = "text", min_score: float = 0.3) -> DataFrame:
+    """``docs`` without texts that have no letter or no label of ``min_score`` or more."""
+    found = docs.select("*", _found(model, text_column))
+    known = (F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= min_score)
+    return found.where(known).drop("__found")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, multiset, nbest, packing, sentence_spans, sharding, simhash, suffix_dedup
+from . import hnsw, langid, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op6_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every document."""
     found = nbest.encode(_table(spark, sf_dir, "documents"), n=4)
     return found.select(F.col("id").alias("doc_id"), "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under a model learned from four fifths of them."""
+    return pitman_yor.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
