@@ -3,6 +3,8 @@
 The test tables hold prose, no source code. Every document becomes one file of
 some repository: its id picks a template, its length the number of repeated
 blocks, and its whole text goes into the file as comments, statements or markup.
+Twelve neighbouring ids are a block with one folder for its apps, four blocks are
+a repository, so the number of repositories grows with the table.
 Root files (manifest, lock file, ignore file) follow from the set of
 repositories. The same templates also give the DuckDB text of the corpus, so
 that both engines see the same files.
@@ -13,42 +15,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS, GROUPS, REPOS = 12, 5, 21
+KINDS, GROUPS, BLOCKS_PER_REPO = 12, 5, 4
 
-PYTHON_SERVICE = '''import os
-import requests
+PYTHON_SERVICE = '''import csv
 from fastapi import APIRouter
+from .colony import weigh_{g}
 from pydantic import BaseModel
-from .helpers import load_{g}
+import requests
 
-router = APIRouter()
+hives = APIRouter()
 
 
-class Payload{id}(BaseModel):
-    amount: int
+class Reading{id}(BaseModel):
+    grams: int
 
 
-@router.post("/items/{id}")
-async def create_item_{id}(payload, db, permissions, flags, audit, clock) -> dict:
-    if not payload:
-        return {}
+@hives.put("/hives/{id}/weight")
+async def record_weight_{id}(reading, scale, weather, keeper, season, journal) -> dict:
+    if season == "winter" and weather:
+        journal.skip(keeper)
 {blocks}
-    def inner_{g}(value, self):
-        while value > 0 and value < 10:
-            value += 1
-        return value
+    def settle_{g}(grams, self):
+        while grams > 40 and grams < 90:
+            grams -= 1
+        return grams
 
     try:
-        response = requests.get("https://example.com/items")
-    except ValueError:
-        response = None
+        forecast = requests.get("https://hives.example/forecast")
+    except TimeoutError:
+        forecast = None
     finally:
-        audit.close()
+        journal.seal()
 {statements}
-    return response
+    return forecast
 
 
-# TODO: review item {id}
+# TODO: recalibrate scale {id}
 {comments}
 '''
 PYTHON_TEST = '''import unittest
@@ -64,21 +66,22 @@ class TestService{prev}(unittest.TestCase):
 
 {comments}
 '''
-PYTHON_UTIL = '''from decimal import Decimal
+PYTHON_UTIL = '''from datetime import date
 
 
-def normalize_{g}(value, currency):
-    # document {id}
-    if value is None:
-        return 0
-    if currency == "USD":
-        return value
-    if currency == "CAD":
-        return value * 1.35  # rate
-    return value
+def ripeness_{v}(basket, month):
+    # orchard sheet {id}
+    score = 0
+    for fruit in basket:
+        if fruit.firm or month > 8:
+            score += 1  # firm fruit keeps
+        score -= fruit.spots
+    while score > 10:
+        score = score // 2
+    return score
 
 
-def describe_{id}(self, text):
+def label_{id}(self, text):
 {statements}
     return text
 
@@ -87,45 +90,45 @@ def describe_{id}(self, text):
 '''
 JAVA_SERVICE = '''package com.ex;
 
-import java.util.List;
+import org.springframework.web.client.RestTemplate;
 import static java.util.Map.entry;
+import java.util.List;
 import org.springframework.jdbc.core.JdbcTemplate;
-import org.springframework.web.client.RestTemplate;
 
 @RestController
 public class Svc{id} {
-  private final JdbcTemplate jdbcTemplate;
+  private final JdbcTemplate tides;
 
-  public Svc{id}(JdbcTemplate jdbcTemplate) {
-    this.jdbcTemplate = jdbcTemplate;
+  public Svc{id}(JdbcTemplate tides) {
+    this.tides = tides;
   }
 
-  int one() { return 1; }
+  int beams() { return 3; }
 
-  @GetMapping("/svc/{id}")
-  public static <T extends Audit & Clock> List<T> list{g}(@Valid Request request, Audit audit, Flags flags) throws IOException {
+  @GetMapping("/harbour/{id}")
+  public static <T extends Vessel & Pilot> List<T> berths{g}(@Valid Cargo cargo, Pilot pilot, Lantern lantern) throws IOException {
 {blocks}
     try {
-      audit.open();
-    } catch (Exception error) {
-      flags.clear();
+      pilot.signal();
+    } catch (Exception fog) {
+      lantern.dim();
     }
 {statements}
     return null;
   }
 
-  private enum Mode { A, B }
+  private enum Beam { RED, WHITE }
 
-  protected void close{id}() {
-    if (jdbcTemplate != null && flags == null || audit == null) {
-      switch (mode) {
-        case A: break;
-        default: audit.close();
+  protected void dusk{id}() {
+    if (tides != null && lantern == null || pilot == null) {
+      switch (beam) {
+        case RED: break;
+        default: pilot.rest();
       }
     }
   }
 }
-// FIXME later
+// FIXME chart depth
 {comments}
 '''
 JAVA_TEST = '''package com.ex;
@@ -135,25 +138,28 @@ import org.junit.jupiter.api.Test;
 class Svc{prev}Test {
   @Test
   void works() {
-    assertTrue(new Svc{prev}(null).one() == 1);
+    assertTrue(new Svc{prev}(null).beams() == 3);
   }
 }
 {comments}
 '''
 JAVA_DUPLICATE = '''package com.ex;
 
-/* Money helpers.
+/* Quarry helpers.
    Shared by documents. */
 public class Dup{id} {
   // TODO: merge
-  public int scale{g}(int value, String currency) {
-    if (value == 0) {
-      return 0;
+  public int haul{v}(int stones, String road) {
+    int carts = stones;
+    while (carts > 12) {
+      carts = carts - 12; // one load
     }
-    if (currency.equals("USD")) {
-      return value; // as is
+    for (int mile = 0; mile < 3; mile++) {
+      if (road.startsWith("steep")) {
+        carts = carts + mile;
+      }
     }
-    return value * 2;
+    return carts;
   }
 
   public String text{id}() {
@@ -163,53 +169,54 @@ public class Dup{id} {
 }
 {comments}
 '''
-SCRIPT_VIEW = '''import React, { useEffect, useMemo as memo, useState } from 'react';
+SCRIPT_VIEW = '''import React, { useMemo as memo, useEffect, useState } from 'react';
 import { load{next} } from '../lib/api{next}';
 import type { Item } from '../lib/api{next}';
 import * as client from '@/services/client';
 
 // fetch() in a comment is not a call
-export function View{id}({ userId, token }: { userId: string; token: string }) {
-  const [items, setItems] = useState<Item[]>([]);
-  const [error, setError] = useState(null);
-  const [page, setPage] = useState(1);
+export function View{id}({ station, clock }: { station: string; clock: string }) {
+  const [trains, setTrains] = useState<Item[]>([]);
+  const [platform, setPlatform] = useState(4);
 {blocks}
   useEffect(() => {
-    async function load() {
-      const response = await fetch(`/api/items?user=${userId}`);
-      setItems(await response.json());
+    setPlatform(2);
+    async function poll() {
+      const board = await fetch(`/rail/${station}/departures`);
+      setTrains(await board.json());
     }
-    setError(null);
-    void load();
+    void poll();
     return undefined;
-  }, [userId]);
-
-  const visible = memo(() => {
-    return items
-      .filter((item) => item.open || item.status === token)
-      .map((item) => item.name);
-  }, [items, token]);
-
-  function pick(item, flags, now, fallback, options, audit) {
-    if (!item) return fallback;
-    if (item.expiry) {
-      if (item.expiry < now) {
-        if (options.allow) return 'late';
-        return 'expired';
+  }, [station]);
+
+  const late = memo(() => {
+    return trains
+      .filter((train) => train.delay > 5 || train.cancelled === clock)
+      .map((train) => train.line);
+  }, [trains, clock]);
+
+  function announce(train, speaker, volume, language, repeats, chime) {
+    while (repeats > 3) repeats = repeats - 1;
+    if (train.night) {
+      if (volume > 7) {
+        if (chime) return 'soft';
+        return 'dim';
       }
     }
-    return flags ? audit : options ?? now;
+    return speaker ? language : chime ?? volume;
   }
 
   return (
-    <section style={{ padding: 20 }} className="view">
-      {visible.map((item) => (
-        <button key={item} onClick={() => client.save(item, pick)}>
-          {item}
-        </button>
-      ))}
+    <main style={{ margin: 4 }} className="board">
+      <ul>
+        {late.map((line) => (
+          <li key={line} onClick={() => client.save(line, announce)}>
+            {line}
+          </li>
+        ))}
+      </ul>
 {markup}
-    </section>
+    </main>
   );
 }
 '''
@@ -229,15 +236,16 @@ export const load{id} = async (page: number, size: number) => {
   return answer.data && answer.data.items ? answer.data.items : [];
 };
 
-export function scale{g}(value, currency) {
+export function damp{v}(signal, gain) {
   // shared
-  if (value === 0) {
-    return 0;
-  }
-  for (const rate of rates) {
-    value = value * rate;
+  let level = gain;
+  for (const echo of signal) {
+    level = level - echo;
+    if (level < 0) {
+      level = 0;
+    }
   }
-  return value;
+  return level;
 }
 
 export class Reader {
@@ -295,8 +303,8 @@ PLAIN_PYTHON = '''def generated(self, value):
 
 {comments}
 '''
-APP_MANIFEST = '{"name": "@r{r}/app{g}", "version": "{id}.0.0", "description": "{flat}", "dependencies": {"react": "^19.0.0"{extra}}, "devDependencies": {"zod": "^3.{g}.0"}, "scripts": {"typecheck": "tsc", "lint": "eslint .", "start": "node ."}}\n'
-BROKEN_MANIFEST = '{"name": "@r{r}/app{g}", "description": "{flat}", "dependencies": \n'
+APP_MANIFEST = '{"name": "@r{r}/app{block}", "version": "{id}.0.0", "description": "{flat}", "dependencies": {"react": "^19.0.0"{extra}}, "devDependencies": {"zod": "^3.{g}.0"}, "scripts": {"typecheck": "tsc", "lint": "eslint .", "start": "node ."}}\n'
+BROKEN_MANIFEST = '{"name": "@r{r}/app{block}", "description": "{flat}", "dependencies": \n'
 ROOT_MANIFEST_LIST = '{"private": true, "workspaces": ["apps/*", "packages/*/"], "scripts": {"build": "tsc -b", "test": "vitest run"}, "devDependencies": {"vitest": "^3.0.0"}}\n'
 ROOT_MANIFEST_OBJECT = '{"private": true, "workspaces": {"packages": ["apps/*"]}, "dependencies": {"express": "^5.0.0"}, "devDependencies": {"jest": "^29.0.0", "zod": "^2.0.0"}, "scripts": {"lint": "eslint ."}}\n'
 IGNORE_FILE = '''# generated code
@@ -317,9 +325,9 @@ FILES = [
     (3, 0, 4, "src/main/java/com/ex/Svc{id}.java", JAVA_SERVICE),
     (4, 0, 4, "src/main/java/com/ex/Svc{prev}Test.java", JAVA_TEST),
     (5, 0, 4, "src/main/java/com/ex/Dup{id}.java", JAVA_DUPLICATE),
-    (6, 0, 4, "apps/app{g}/src/components/View{id}.tsx", SCRIPT_VIEW),
-    (7, 0, 4, "apps/app{gp}/src/lib/api{id}.ts", SCRIPT_API),
-    (8, 0, 4, "apps/app{g}/src/lib/index{id}.js", SCRIPT_INDEX),
+    (6, 0, 4, "apps/app{block}/src/components/View{id}.tsx", SCRIPT_VIEW),
+    (7, 0, 4, "apps/app{block}/src/lib/api{id}.ts", SCRIPT_API),
+    (8, 0, 4, "apps/app{block}/src/lib/index{id}.js", SCRIPT_INDEX),
     (9, 0, 0, "node_modules/p{id}/a.js", PLAIN_SCRIPT),
     (9, 1, 1, ".cache/x{id}.js", PLAIN_SCRIPT),
     (9, 2, 2, "docs/guide{id}.js", PLAIN_SCRIPT),
@@ -332,11 +340,11 @@ FILES = [
     (10, 4, 4, "types/x{id}.d.ts", PLAIN_SCRIPT),
 ]
 MANIFEST_KIND = 11
-MANIFEST_PATH = "apps/app{g}/package.json"
+MANIFEST_PATH = "apps/app{block}/package.json"
 EXTRA_DEPENDENCIES = {0: ', "expo": "^54.0.0"', 1: ', "next": "^15.0.0"', 2: ', "react-native": "1"'}
 BLOCKS = {
-    0: '    if flags.get("a"):\n        for item in payload:\n            if item or clock:\n                audit.add(item)\n',
-    3: "    if (request != null) {\n      while (flags.next()) {\n        if (audit.ok() && request.ok()) { audit.close(); }\n      }\n    }\n",
+    0: '    if season.open("hive"):\n        for frame in reading:\n            if frame or weather:\n                journal.note(frame)\n',
+    3: "    if (cargo != null) {\n      while (lantern.turns()) {\n        if (pilot.ready() && cargo.dry()) { pilot.moor(); }\n      }\n    }\n",
     6: "  const [more, setMore] = useState('x');\n  const ref = React.useRef(null);\n",
     7: "  if (page > limit && size) {\n    return [];\n  }\n",
 }
@@ -363,10 +371,7 @@ def _case_spark(key: Column, values: dict) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, spread over the cores when it is kept in very few files."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return documents if len(documents.inputFiles()) >= cores else documents.repartition(cores, "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text")
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,8 +390,9 @@ def _numbers(documents: DataFrame) -> DataFrame:
         "doc_id",
         (F.col("doc_id") % KINDS).alias("k"),
         (F.col("doc_id") % GROUPS).alias("g"),
-        (block % REPOS).alias("r"),
-        (block % 4).alias("b"),
+        F.floor(block / BLOCKS_PER_REPO).alias("r"),
+        (block % BLOCKS_PER_REPO).alias("b"),
+        block.alias("block"),
         (F.col("n_chars") % 6).alias("n"),
         "text",
     )
@@ -410,6 +416,8 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         "g": slot(g),
         "gp": slot((doc_id - 1) % GROUPS),
         "r": slot(F.col("r")),
+        "block": slot(F.col("block")),
+        "v": slot(F.col("block") % 2),
     }
     clean, mark, before, after = F.col("clean"), F.col("mark"), F.col("before"), F.col("after")
     texts = {
@@ -435,13 +443,7 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         .otherwise(content)
     )
 
-    # Manifests may repeat within a repository; the lowest document id stays.
-    # At most REPOS * GROUPS ids survive, so the kept ids are a bounded broadcast.
-    kept = rows.filter(manifest).groupBy("r", "g").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    plain = rows.filter(~manifest)
-    if edited:
-        plain = plain.filter(doc_id % 7 != 0)
-    chosen = plain.unionByName(rows.filter(manifest).join(F.broadcast(kept), "doc_id", "left_semi"))
+    chosen = rows.filter(manifest | (doc_id % 7 != 0)) if edited else rows
     python_like = k.isin(0, 1, 2) | ((k == 10) & g.isin(1, 2))
     # Paths come out of a one-element generator, so that the long expression
     # behind them is not copied into every filter and join of a query.
@@ -449,7 +451,7 @@ def _render(documents: DataFrame, edited: bool) -> DataFrame:
         F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"), _fill(path, numbers).alias("path")
     )
     files = chosen.select("*", F.inline_outer(F.array(keys))).select(
-        "doc_id", "k", "g", "r", "b", "n", "repo", "path",
+        "doc_id", "k", "g", "r", "b", "n", "block", "repo", "path",
         _fill(content, numbers).alias("content"),
         F.regexp_replace("text", CLEAN, "~").alias("clean"),
         F.when(python_like, F.lit("# ")).otherwise(F.lit("// ")).alias("mark"),
@@ -507,7 +509,7 @@ def corpus_sql(edited: bool = False) -> str:
     """Body of a CTE with ``repo, path, content``."""
     fill_numbers = [
         ("id", "doc_id"), ("prev", "doc_id - 1"), ("next", "doc_id + 1"), ("g", "g"),
-        ("gp", f"(doc_id - 1) % {GROUPS}"), ("r", "r"),
+        ("gp", f"(doc_id - 1) % {GROUPS}"), ("r", "r"), ("block", "block"), ("v", "block % 2"),
     ]
     fill_texts = [
         ("extra", _case_sql("g", EXTRA_DEPENDENCIES)),
@@ -545,14 +547,11 @@ def corpus_sql(edited: bool = False) -> str:
     return f"""
   WITH numbers AS (
     SELECT doc_id, doc_id % {KINDS} AS k, doc_id % {GROUPS} AS g,
-           (doc_id // {KINDS}) % {REPOS} AS r, (doc_id // {KINDS}) % 4 AS b, n_chars % 6 AS n,
+           doc_id // {KINDS} AS block, doc_id // {KINDS * BLOCKS_PER_REPO} AS r,
+           (doc_id // {KINDS}) % {BLOCKS_PER_REPO} AS b, n_chars % 6 AS n,
            regexp_replace(text, '{CLEAN}', '~', 'g') AS body
     FROM documents),
   repos AS (SELECT DISTINCT r FROM numbers),
-  kept AS (
-    SELECT * FROM numbers
-    WHERE k <> {MANIFEST_KIND}
-       OR doc_id IN (SELECT min(doc_id) FROM numbers WHERE k = {MANIFEST_KIND} GROUP BY r, g)),
   shaped AS (
     SELECT *,
       CASE {paths} WHEN k = {MANIFEST_KIND} THEN {_q(MANIFEST_PATH)} END AS path_template,
@@ -560,7 +559,7 @@ def corpus_sql(edited: bool = False) -> str:
       CASE WHEN k IN (0, 1, 2) OR (k = 10 AND g IN (1, 2)) THEN '# ' ELSE '// ' END AS mark,
       {_case_sql('k', {kind: pair[0] for kind, pair in STATEMENT.items()})} AS before,
       {_case_sql('k', {kind: pair[1] for kind, pair in STATEMENT.items()})} AS after
-    FROM kept)
+    FROM numbers)
   SELECT 'repo' || r AS repo, {fill('path_template', fill_numbers)} AS path, {body} AS content
   FROM shaped WHERE true{gone}
   UNION ALL

@@ -301,11 +301,11 @@ BLOCKS["scope_rows"] = """
   WHERE c.changed AND c.repo NOT IN (SELECT repo FROM versioned)"""
 BLOCKS["commands"] = f"""
   SELECT o.repo, o.run_id, l.toxic FROM open_runs o
-  JOIN (SELECT 'repo' || ((doc_id // {corpus.KINDS}) % {corpus.REPOS}) AS repo, toxic FROM labels) l USING (repo)"""
+  JOIN (SELECT 'repo' || (doc_id // {corpus.KINDS * corpus.BLOCKS_PER_REPO}) AS repo, toxic FROM labels) l USING (repo)"""
 BLOCKS["run_versions"] = f"""
-  SELECT 'repo' || (user_id % {corpus.REPOS}) AS repo, 'run' || user_id AS run_id, ts AS updated_at,
-         CASE event_type WHEN 'click' THEN 'started' WHEN 'view' THEN 'checked' WHEN 'purchase' THEN 'completed' END AS status
-  FROM events WHERE event_type IN ('click', 'view', 'purchase')"""
+  SELECT 'repo' || (user_id % {21}) AS repo, 'run' || user_id AS run_id, ts AS updated_at,
+         CASE event_type WHEN 'click' THEN 'started' WHEN 'signup' THEN 'started' WHEN 'view' THEN 'checked' WHEN 'error' THEN 'checked' WHEN 'purchase' THEN 'completed' END AS status
+  FROM events"""
 BLOCKS["run_states_rows"] = """
   SELECT repo, run_id, status, updated_at FROM run_versions
   QUALIFY row_number() OVER (PARTITION BY repo, run_id ORDER BY updated_at DESC,
@@ -539,7 +539,7 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT repo, run_id, min(updated_at) AS created_at FROM run_versions GROUP BY ALL) c USING (repo, run_id))
         QUALIFY row_number() OVER (PARTITION BY repo ORDER BY updated_at DESC, created_at DESC, run_id DESC) = 1""",
     "next_unstarted": f"""SELECT repo, id, type, title, primary_path, priority FROM ranked r WHERE NOT EXISTS (
-        SELECT 1 FROM (SELECT DISTINCT 'repo' || (user_id % {corpus.REPOS}) AS repo, user_id // {corpus.REPOS} + 1 AS id FROM events) e
+        SELECT 1 FROM (SELECT DISTINCT 'repo' || (user_id % {21}) AS repo, user_id // {21} + 1 AS id FROM events) e
         JOIN keys k ON k.repo = e.repo AND k.id = e.id
         JOIN keys mine ON mine.repo = k.repo AND mine.opportunity_key = k.opportunity_key WHERE mine.repo = r.repo AND mine.id = r.id)
         QUALIFY row_number() OVER (PARTITION BY repo ORDER BY id) = 1""",

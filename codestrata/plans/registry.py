@@ -20,6 +20,8 @@ from . import corpus, scan
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PARAMS = Params()
+#: The users of the event log are spread over so many repositories, by their id.
+USER_REPOS = 21
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -540,7 +542,7 @@ def _verdict_inputs(spark: SparkSession, sf_dir: str):
     open_runs = current.join(targets.select("repo", "run_id").distinct(), ["repo", "run_id"], "left_semi")
     only = lambda df: df.join(open_runs, ["repo", "run_id"], "left_semi")
     changed = changed_files(result.listing, after).join(open_runs, "repo")
-    block = F.floor(F.col("doc_id") / corpus.KINDS) % corpus.REPOS
+    block = F.floor(F.col("doc_id") / (corpus.KINDS * corpus.BLOCKS_PER_REPO))
     commands = _table(spark, sf_dir, "labels").select(
         _repo(block).alias("repo"), F.concat(F.lit("check "), F.col("doc_id").cast("string")).alias("command"),
         F.col("toxic").alias("exit_code"),
@@ -566,13 +568,13 @@ def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run versions derived from events: one run per user, one version per event."""
-    status = {"click": "started", "view": "checked", "purchase": "completed"}
+    status = {"click": "started", "signup": "started", "view": "checked", "error": "checked", "purchase": "completed"}
     versions = _table(spark, sf_dir, "events").select(
-        _repo(F.col("user_id") % corpus.REPOS).alias("repo"),
+        _repo(F.col("user_id") % USER_REPOS).alias("repo"),
         F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"),
         text.lookup(status, F.col("event_type")).alias("status"),
         F.col("ts").alias("updated_at"),
-    ).filter(F.col("status").isNotNull())
+    )
     created = versions.groupBy("repo", "run_id").agg(F.min("updated_at").alias("created_at"))
     return versions.join(created, ["repo", "run_id"])
 
@@ -595,7 +597,7 @@ def next_unstarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = stores.materialize(runs.opportunity_keys(result.ranked, result.files_of, PARAMS), "keys")
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
     started = users.select(
-        _repo(F.col("user_id") % corpus.REPOS).alias("repo"), (F.floor(F.col("user_id") / corpus.REPOS) + 1).alias("id")
+        _repo(F.col("user_id") % USER_REPOS).alias("repo"), (F.floor(F.col("user_id") / USER_REPOS) + 1).alias("id")
     ).join(keys, ["repo", "id"])
     return runs.next_unstarted(result.ranked, keys, started)
 
