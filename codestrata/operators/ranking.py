@@ -20,42 +20,35 @@ def rank_order():
     ]
 
 
-def largest_repository(files: DataFrame) -> int:
-    """Number of files of the largest repository; reads path columns only."""
-    top = files.groupBy("repo").count().agg(F.max("count").alias("n")).first()
-    return int(top["n"] or 0)
+#: What names an opportunity before it has an id.
+KEY = ["repo", "is_duplicate", "primary_path", "rule_ord", "fn_ord"]
 
 
-def rank(scored: DataFrame, wide: bool = False) -> DataFrame:
+def rank(scored: DataFrame) -> DataFrame:
     """Add ``id``: position by priority, impact and source order within the repository.
 
-    ``wide`` repositories do not fit one window partition. They are sorted over
-    the whole cluster, and positions are corrected by the sizes of the sort's own
-    partitions. Both ways give the same ids.
+    Only the order columns are sorted, over the whole cluster, so a repository of
+    any size is many tasks. Positions are corrected by the sizes of the sort's own
+    partitions, and joined back to the opportunities by their key.
     """
-    if not wide:
-        window = Window.partitionBy("repo").orderBy(*rank_order())
-        return scored.withColumn("id", F.row_number().over(window).cast("long"))
+    narrow = scored.select(*KEY, "priority", "impact")
     # The sort is written out once: both uses below must see the same partitions.
     placed = materialize(
-        scored.orderBy(F.col("repo"), *rank_order()).withColumn("place", F.monotonically_increasing_id()),
-        "ranked",
+        narrow.orderBy(F.col("repo"), *rank_order()).withColumn("place", F.monotonically_increasing_id()), "ranks"
     ).withColumn("slice", F.shiftright("place", 33))
     sizes = placed.groupBy("repo", "slice").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
     earlier = Window.partitionBy("repo").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "repo", "slice", "first_place", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    return (
-        placed.join(offsets, ["repo", "slice"])
-        .withColumn("id", F.col("before") + F.col("place") - F.col("first_place") + 1)
-        .drop("place", "slice", "first_place", "before")
+    ids = placed.join(offsets, ["repo", "slice"]).select(
+        *KEY, (F.col("before") + F.col("place") - F.col("first_place") + 1).alias("id")
     )
+    return scored.join(ids, KEY)
 
 
-def ranked_opportunities(scored: DataFrame, files: DataFrame, params: Params = Params()) -> DataFrame:
-    wide = largest_repository(files.select("repo")) > params.window_rank_files
-    return with_text(rank(scored, wide))
+def ranked_opportunities(scored: DataFrame) -> DataFrame:
+    return with_text(rank(scored))
 
 
 def summarize(ranked: DataFrame, files: DataFrame) -> DataFrame:

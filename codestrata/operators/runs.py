@@ -25,19 +25,16 @@ def without_tool_state(changed: DataFrame, params: Params = Params()) -> DataFra
     return changed.filter((F.col("path") != state) & ~F.col("path").startswith(state + "/"))
 
 
-def opportunity_keys(ranked: DataFrame, files_of: DataFrame, params: Params = Params()) -> DataFrame:
-    """``repo, id, opportunity_key`` of opportunities small enough to be started.
+def opportunity_keys(ranked: DataFrame, files_of: DataFrame) -> DataFrame:
+    """``repo, id, opportunity_key`` of every opportunity.
 
-    A run never has more files than ``max_files_per_task``, so larger groups
-    cannot have been started and need no key; the lists below stay short.
+    The key holds type, title, and count and hash sums of the files: equal for equal
+    sets of files, in any order, and short for any number of them.
     """
-    small = ranked.filter(F.col("file_count") <= params.max_files_per_task).select("repo", "id", "type", "title")
-    return (
-        small.join(files_of, ["repo", "id"])
-        .groupBy("repo", "id", "type", "title")
-        .agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("files"))
-        .select("repo", "id", F.concat_ws(":", "type", "title", "files").alias("opportunity_key"))
-    )
+    sums = [F.sum(F.xxhash64(F.lit(seed), F.col("path")).cast("decimal(38,0)")).cast("string").alias(f"h{seed}") for seed in (1, 2)]
+    files = files_of.groupBy("repo", "id").agg(F.count("*").cast("string").alias("n"), *sums)
+    key = F.concat_ws(":", "type", "title", "n", "h1", "h2")
+    return ranked.select("repo", "id", "type", "title").join(files, ["repo", "id"]).select("repo", "id", key.alias("opportunity_key"))
 
 
 def next_unstarted(ranked: DataFrame, keys: DataFrame, runs: DataFrame) -> DataFrame:
@@ -90,7 +87,7 @@ def begin(ranked: DataFrame, files_of: DataFrame, files: DataFrame, chosen: Data
     errors = guard(ranked, changed, params).filter(F.col("error").isNotNull())
     accepted = chosen.join(errors, ["repo", "id"], "left_anti")
     rejected = chosen.join(errors, ["repo", "id"])
-    keys = opportunity_keys(ranked, files_of, params)
+    keys = opportunity_keys(ranked, files_of)
     runs = accepted.join(keys, ["repo", "id"]).select(
         "repo", "run_id", "opportunity_key", F.lit("started").alias("status"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),

@@ -41,8 +41,3 @@ class Params:
     check_commands: tuple[str, ...] = ()
     auto_detect_checks: bool = True
     state_directory: str = ".codestrata"
-    # A repository with more files than this is ranked with a distributed sort
-    # instead of one window partition (see operators.ranking).
-    window_rank_files: int = 2_000_000
-    # Ignore rules are sent to all tasks up to this much rule text.
-    broadcast_rule_bytes: int = 8_000_000

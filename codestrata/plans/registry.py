@@ -43,12 +43,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.select_sources(corpus.listing(spark, sf_dir), PARAMS)
+def _kept(spark: SparkSession, sf_dir: str, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``measure`` of the candidate files, without the rows of ignored ones; only its result is shuffled."""
+    listing = corpus.listing(spark, sf_dir)
+    ignored = sources.ignored_files(listing, sources.ignore_rules(listing), PARAMS)
+    return sources.drop_ignored(measure(sources.candidates(listing, PARAMS)), ignored)
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.read_text(_selected(spark, sf_dir))
+def _analysed_names(prepared: scan.Corpus) -> DataFrame:
+    ignored = sources.ignored_files(prepared.names, sources.ignore_rules(prepared.settings), PARAMS)
+    return sources.drop_ignored(sources.candidates(prepared.names, PARAMS), ignored)
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,7 @@ def _repo(number: Column) -> Column:
 @register
 def corpus_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    return _selected(spark, sf_dir).select(
+    return sources.select_sources(corpus.listing(spark, sf_dir), PARAMS).select(
         "repo", "path", paths.language(path).alias("language"), paths.is_script(path).alias("is_script"),
         paths.is_test_file(path).alias("is_test"),
     )
@@ -90,7 +94,8 @@ def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir).select("repo", "path", text.marker_count(F.col("content")).alias("todo_count"))
+    count = text.marker_count(F.col("content")).alias("todo_count")
+    return _kept(spark, sf_dir, lambda files: files.select("repo", "path", count))
 
 
 @register
@@ -117,8 +122,11 @@ FUNCTION_COLUMNS = [
 
 
 def _functions(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir).filter(F.col("language").isin(*languages))
-    return _unnest(parsed, analysis.functions_column(), "name").select("repo", "path", *FUNCTION_COLUMNS)
+    def found(files: DataFrame) -> DataFrame:
+        parsed = analysis.read_text(files).filter(F.col("language").isin(*languages))
+        return _unnest(parsed, analysis.functions_column(), "name").select("repo", "path", *FUNCTION_COLUMNS)
+
+    return _kept(spark, sf_dir, found)
 
 
 @register
@@ -138,8 +146,11 @@ def js_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def js_api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _unnest(_parsed(spark, sf_dir).filter("is_script"), analysis.calls_column(), "kind")
-    return calls.select("repo", "path", "expression", "kind", "line", "import_source")
+    def found(files: DataFrame) -> DataFrame:
+        calls = _unnest(analysis.read_text(files).filter("is_script"), analysis.calls_column(), "kind")
+        return calls.select("repo", "path", "expression", "kind", "line", "import_source")
+
+    return _kept(spark, sf_dir, found)
 
 
 @register
@@ -195,13 +206,14 @@ def signals_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_and_name_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     stem = paths.file_stem(path)
-    return _selected(spark, sf_dir).select(
+    columns = [
         "repo", "path", text.pascal_case(stem).alias("pascal"), text.snake_case(stem).alias("snake"),
         text.slug(path).alias("slug"), text.brief_file_name(F.length(path), path).alias("brief_name"),
         paths.likely_test_path(path).alias("test_path"), paths.service_path(path).alias("service_path"),
         paths.shared_helper_path(path, F.lit("sharedRefactorHelper")).alias("helper_path"),
         paths.directory(path).alias("folder"), F.sha2("content", 256).alias("content_hash"),
-    )
+    ]
+    return _kept(spark, sf_dir, lambda files: files.select(*columns))
 
 
 # --- relations ------------------------------------------------------------------------------
@@ -215,7 +227,8 @@ def nearby_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import statements, stored like the metrics of a scan, since two relations read them."""
-    found = _parsed(spark, sf_dir).select("repo", "path", analysis.import_sources().alias("import_sources"))
+    sources_of = analysis.import_sources().alias("import_sources")
+    found = _kept(spark, sf_dir, lambda files: analysis.read_text(files).select("repo", "path", sources_of))
     return stores.materialize(found, "imports")
 
 
@@ -234,7 +247,7 @@ def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def workspace_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = scan.prepare(corpus.listing(spark, sf_dir))
-    kept = sources.drop_ignored(sources.candidates(prepared.names, PARAMS), sources.ignore_rules(prepared.settings))
+    kept = _analysed_names(prepared)
     files = kept.select("repo", "path")
     return relations.workspace_of(files, prepared.workspaces)
 
@@ -428,7 +441,7 @@ def advice_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = scan.prepare(corpus.listing(spark, sf_dir))
-    kept = sources.drop_ignored(sources.candidates(prepared.names, PARAMS), sources.ignore_rules(prepared.settings))
+    kept = _analysed_names(prepared)
     files = kept.select("repo", "path")
     facts = project_sources.projects(prepared.names, files, prepared.manifests, prepared.workspaces)
     return facts.withColumn("languages", _joined("languages")).withColumn(
@@ -515,10 +528,8 @@ def run_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _comparisons(spark: SparkSession, sf_dir: str) -> tuple[scan.Scan, DataFrame, DataFrame, DataFrame]:
     result = _scan(spark, sf_dir)
     after = corpus.edited_listing(spark, sf_dir)
-    current = stores.materialize(scan.selected_metrics(scan.prepare(after), PARAMS), "current")
-    targets = stores.materialize(
-        runs.snapshot(result.files_of, result.files, _runs_of_all(result.ranked)), "targets"
-    )
+    targets = runs.snapshot(result.files_of, result.files, _runs_of_all(result.ranked))
+    current = scan.selected_metrics(scan.prepare(after), PARAMS)
     return result, targets, runs.compare(targets, current, after), after
 
 
@@ -594,7 +605,7 @@ def latest_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_unstarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best task without a run, when every user of the event log has started one task."""
     result = _scan(spark, sf_dir)
-    keys = stores.materialize(runs.opportunity_keys(result.ranked, result.files_of, PARAMS), "keys")
+    keys = runs.opportunity_keys(result.ranked, result.files_of)
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
     started = users.select(
         _repo(F.col("user_id") % USER_REPOS).alias("repo"), (F.floor(F.col("user_id") / USER_REPOS) + 1).alias("id")

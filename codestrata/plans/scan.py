@@ -11,7 +11,7 @@ from ..operators import duplicates, outputs, ranking, relations, rules
 from ..operators.analysis import file_metrics
 from ..params import Params
 from ..sources import manifests as project_sources
-from ..sources.files import candidates, drop_ignored, ignore_rules, settings_files
+from ..sources.files import candidates, drop_ignored, ignore_rules, ignored_files, settings_files
 from ..sources.stores import materialize, write_brief_lines, write_scan
 
 
@@ -48,7 +48,7 @@ def prepare(listing: DataFrame) -> Corpus:
     names = listing.select("repo", "path")
     settings = materialize(settings_files(listing), "settings")
     manifests = project_sources.parse_manifests(settings)
-    workspaces = materialize(project_sources.workspaces(names, manifests), "workspaces")
+    workspaces = project_sources.workspaces(names, manifests)
     return Corpus(listing, names, settings, manifests, workspaces)
 
 
@@ -64,16 +64,11 @@ def analysed_files(corpus: Corpus, params: Params = Params()) -> DataFrame:
 def selected_metrics(corpus: Corpus, params: Params = Params()) -> DataFrame:
     """Metrics of the files that are not ignored; contents are never shuffled.
 
-    Few ignore rules are broadcast and applied before contents are read. Too many
-    for that are applied to the much smaller metric rows instead.
+    Candidates are measured where they are read; which of them are ignored is
+    decided on their paths, and their narrow rows are dropped.
     """
-    ignore_files = corpus.settings.filter(F.col("path") == ".gitignore")
-    rule_bytes = ignore_files.agg(F.sum(F.length("content"))).first()[0] or 0
-    rules_of = ignore_rules(corpus.settings)
-    files = candidates(corpus.listing, params)
-    if rule_bytes <= params.broadcast_rule_bytes:
-        return file_metrics(drop_ignored(files, F.broadcast(rules_of)), params)
-    return drop_ignored(file_metrics(files, params), rules_of)
+    ignored = ignored_files(corpus.names, ignore_rules(corpus.settings), params)
+    return drop_ignored(file_metrics(candidates(corpus.listing, params), params), ignored)
 
 
 def scan(listing: DataFrame, params: Params = Params()) -> Scan:
@@ -81,7 +76,7 @@ def scan(listing: DataFrame, params: Params = Params()) -> Scan:
     files = materialize(analysed_files(corpus, params), "files")
     groups = materialize(duplicates.duplicate_groups(files), "groups")
     drafts = rules.file_drafts(files, params).unionByName(rules.duplicate_drafts(groups))
-    ranked = materialize(ranking.ranked_opportunities(rules.score(drafts), files, params), "ranked")
+    ranked = materialize(ranking.ranked_opportunities(rules.score(drafts)), "ranked")
     members = duplicates.duplicate_members(files, groups)
     return Scan(
         listing=listing,

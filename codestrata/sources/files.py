@@ -20,15 +20,25 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     metadata is listed until a query asks for ``content``; hidden files are
     listed too, because the ignore file is one of them.
     """
-    scan = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("full"), "content")
-    )
-    local_root = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
-    relative = F.split(paths.relative_to(F.lit(local_root), F.col("full")), "/")
-    return scan.select(
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    return tree_rows(files, qualified(spark, root), repo_depth)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root with scheme and authority of its file system, as listings name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
+def tree_rows(files: DataFrame, root: str, repo_depth: int = 1) -> DataFrame:
+    """Listed ``path, content`` below a qualified root; a path that is not below it is an error."""
+    place = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"  # scheme and authority
+    full = F.regexp_replace("path", place, "/")
+    below = paths.relative_to(F.lit(re.sub(place, "/", root).rstrip("/")), full)
+    outside = F.raise_error(F.concat(F.col("path"), F.lit(" is not below "), F.lit(root)))
+    relative = F.split(F.when(below.isNull(), outside.cast("string")).otherwise(below), "/")
+    return files.select(
         F.array_join(F.slice(relative, 1, repo_depth), "/").alias("repo"),
         F.array_join(F.slice(relative, F.lit(repo_depth + 1), F.size(relative)), "/").alias("path"),
         F.decode("content", "UTF-8").alias("content"),
@@ -116,14 +126,22 @@ def candidates(listing: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def drop_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Remove rows hidden by the ignore file of their repository (one rule row each)."""
-    kept = rows.join(rules, "repo", "left").filter(
-        F.col("rules").isNull() | ~is_ignored(F.col("path"), F.col("rules"))
-    )
-    return kept.drop("rules")
+def ignored_files(listing: DataFrame, rules: DataFrame, params: Params = Params()) -> DataFrame:
+    """``repo, path`` of candidates hidden by the ignore file of their repository; reads paths only."""
+    names = candidates(listing.select("repo", "path"), params)
+    return names.join(rules, "repo").filter(is_ignored(F.col("path"), F.col("rules"))).select("repo", "path")
+
+
+def drop_ignored(rows: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Rows (results of files, with repo and path) of files that are not ignored."""
+    return rows.join(ignored, ["repo", "path"], "left_anti")
 
 
 def select_sources(listing: DataFrame, params: Params = Params()) -> DataFrame:
-    """Rows of the listing that are analysed: included, not excluded, not ignored."""
-    return drop_ignored(candidates(listing, params), ignore_rules(listing))
+    """``repo, path`` of the files that are analysed: included, not excluded, not ignored.
+
+    Contents are measured where they are read: work on ``candidates`` first, then
+    drop the ignored files from the narrow result with ``drop_ignored``.
+    """
+    names = candidates(listing.select("repo", "path"), params)
+    return drop_ignored(names, ignored_files(listing, ignore_rules(listing), params))

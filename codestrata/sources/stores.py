@@ -42,11 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_scan(table: DataFrame, store: str, name: str, scan_id: str) -> None:
-    """Write one complete table of a scan, clustered by repository.
+    """Write one complete table of a scan, clustered by repository and row, so that a large one is many tasks.
 
     The folder of a scan is replaced as a whole; other scans stay.
     """
-    clustered = table.repartitionByRange("repo").sortWithinPartitions("repo")
+    order = ["repo", *[c for c in ("path", "id") if c in table.columns][:1]]
+    clustered = table.repartitionByRange(*order).sortWithinPartitions(*order)
     clustered.write.mode("overwrite").parquet(f"{store}/{name}/scan_id={scan_id}")
 
 

@@ -1,11 +1,12 @@
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import advice, analysis, duplicates, outputs, ranking, relations, rules, runs
 from codestrata.params import OutputSettings, Params, Thresholds
-from codestrata.plans import scan
+from codestrata.plans import registry, scan
 from codestrata.sources import files as sources
 from codestrata.sources import stores
 
@@ -127,11 +128,51 @@ def test_selection(listing):
     assert {r["path"] for r in scoped} == {"src/a.py", "src/b.test.ts", "src/logs/b.py"}
 
 
-def test_many_ignore_rules_are_applied_after_the_metrics(listing):
+def test_ignored_files_leave_the_metrics(listing):
     df = listing({"src/a.py": SHIPPING, "src/b.py": SHIPPING, ".gitignore": "b.py\n"})
-    for limit in (0, 1000):
-        metrics = scan.selected_metrics(scan.prepare(df), replace(LOW, broadcast_rule_bytes=limit))
-        assert [r["path"] for r in metrics.collect()] == ["src/a.py"]
+    metrics = scan.selected_metrics(scan.prepare(df), LOW)
+    assert [r["path"] for r in metrics.collect()] == ["src/a.py"]
+
+
+def test_contents_are_not_shuffled(spark):
+    """Without broadcasts, no exchange of the listed queries carries contents or texts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("marker_counts", "path_and_name_text", "python_functions", "java_functions", "js_functions", "js_api_calls"):
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+            todo = [plan.inputPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+            while todo:
+                node = todo.pop()
+                kids = node.children()
+                todo += [kids.apply(k) for k in range(kids.size())]
+                if "Exchange" in node.nodeName():
+                    output = node.output()
+                    names = {output.apply(k).name() for k in range(output.size())}
+                    assert not names & {"content", "text", "lines", "clean"}, (name, names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("place,root", [
+    ("hdfs://nn:8020/data/repos", "hdfs://nn:8020/data/repos/"), ("s3a://bucket/data", "s3a://bucket/data"),
+    ("file:/data/repos", "file:///data/repos"), ("/data/repos", "/data/repos"),
+])
+def test_tree_below_a_file_system_root(spark, place, root):
+    listed = spark.createDataFrame([(f"{place}/a/src/x.py", bytearray(b"x"))], "path string, content binary")
+    assert sources.tree_rows(listed, root).first().asDict() == {"repo": "a", "path": "src/x.py", "content": "x"}
+    outside = spark.createDataFrame([("hdfs://nn:8020/other/x.py", bytearray(b"x"))], "path string, content binary")
+    with pytest.raises(Exception, match="is not below"):
+        sources.tree_rows(outside, root).collect()
+
+
+def test_intermediate_tables_stay_in_shared_folders(spark):
+    assert stores.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert stores.shared_folder(spark, "/given/") == "/given"
+    settings = {"spark.sql.warehouse.dir": "hdfs://nn/warehouse/"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, *default: settings[name] if name in settings else default[0]))
+    assert stores.shared_folder(session) == "hdfs://nn/warehouse/_intermediate"
+    assert settings == {"spark.sql.warehouse.dir": "hdfs://nn/warehouse/"}
 
 
 def test_read_tree(spark, tmp_path):
@@ -206,12 +247,24 @@ def test_groups_are_limited_before_anonymous_ones_are_dropped(listing):
     assert [g["display_name"] for g in groups] == [f"f{i:02d}" for i in range(10)]
 
 
-def test_wide_repositories_get_the_same_ids(monorepo):
+def test_ids_follow_the_order_over_partitions(monorepo, spark):
     drafts = rules.score(rules.all_drafts(monorepo.files, LOW))
-    keys = ["repo", "primary_path", "rule_ord", "fn_ord", "id"]
-    narrow = {tuple(r) for r in ranking.rank(drafts).select(*keys).collect()}
-    wide = {tuple(r) for r in ranking.rank(drafts, wide=True).select(*keys).collect()}
-    assert narrow == wide and len(narrow) > 5
+    columns = [*ranking.KEY, "priority", "impact"]
+    rows = [r.asDict() for r in drafts.select(*columns).collect()]
+    rows.sort(key=lambda r: (-r["priority"], -r["impact"], r["is_duplicate"], r["primary_path"], r["rule_ord"], r["fn_ord"]))
+    expected = {(r["primary_path"], r["rule_ord"], r["fn_ord"], k) for k, r in enumerate(rows, 1)}
+    ranked = ranking.rank(drafts)
+    assert {tuple(r) for r in ranked.select("primary_path", "rule_ord", "fn_ord", "id").collect()} == expected
+    assert len(rows) > 5 and ranked.count() == len(rows)
+
+
+def test_a_task_started_under_a_larger_limit_is_not_offered_again(monorepo):
+    keys = runs.opportunity_keys(monorepo.ranked, monorepo.files_of)
+    assert keys.count() == monorepo.ranked.count()
+    largest = monorepo.ranked.orderBy(F.col("file_count").desc()).first()
+    started = keys.filter(F.col("id") == largest["id"])
+    open_ = monorepo.ranked.filter(F.col("id") >= largest["id"])
+    assert largest["id"] not in {r["id"] for r in runs.next_unstarted(open_, keys, started).collect()}
 
 
 def test_score_of_a_large_component(spark):
