@@ -29,7 +29,9 @@ PIECES = (
     r"|(?s:.)"
 )
 IMPORT = r"""(?m)^[ \t]*import([\s*{][^"';()]*)?["']([^"'\n]+)["']"""
-CALL = rf"(?<![\w$])({NAME}+(?:\??\.{NAME}+)*+)(?:<[^()]*?>)?\("
+# A call on anything but a name (a call result, an element) keeps its leading dot.
+CALL = rf"(?<![\w$])((?:(?<!\.)\.)?{NAME}+(?:\??\.{NAME}+)*+)(?:<[^()]*?>)?\("
+DECLARED = rf"(?<![\w$.])function\s*\*?\s*{NAME}\s*(?=[<(])"
 MARKUP_TEXT = r">[^<>{}()=;\n]*</"
 MARKUP_OPEN = rf"(?m)(?:^|[(\[{{,;:?&|>=]|(?<!\w)return)\s*<(?:>|[A-Za-z][\w.]*(?:\s|/?>))"
 MARKUP_CLOSE = r"</|/>"
@@ -49,6 +51,17 @@ NOT_METHODS = [
     "if", "for", "while", "switch", "catch", "function", "constructor", "return", "else", "do",
     "try", "with",
 ]
+METHOD_NAME = (
+    r"(?m)^([ \t]*(?:(?:public|private|protected|static|override|async)[ \t]+)*\*?[ \t]*)"
+    rf"(?!(?:{'|'.join(NOT_METHODS)})(?![\w$])){NAME}"
+    r"(?=[ \t]*(?:<[^()\n]*>)?\([^()\n]*\)[ \t]*(?::[^{}=\n]+)?\{)"
+)
+EXPORT = r"(?m)^export(?!\w)"
+EXPORT_LIST = r"(?m)^export\s+(?:type\s+)?\{([^{}]*)\}"
+EXPORT_ALL = r"(?m)^export\s*\*\s*from"
+EXPORT_VARIABLES = r"(?m)^export\s+(?:declare\s+)?(?:const|let|var)\s([^;\n]*,[^;\n]*)"
+INNER_BRACKETS = r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}"
+MORE_VARIABLES = rf",\s*{NAME}\s*(?::[^=,;]+)?=(?![=>])"
 TERNARY = r"\s\?\s"
 DECISION = keywords("if", "for", "while", "case", "switch")
 BRANCH = keywords("if", "switch")
@@ -127,9 +140,32 @@ def returns_markup(code: Column) -> Column:
     return matches(code, MARKUP_OPEN) & matches(code, MARKUP_CLOSE)
 
 
+def export_count(code: Column) -> Column:
+    """Export statements or exported names, whichever are more; other modules are not followed."""
+    statements = occurrences(code, EXPORT)
+    lists = F.regexp_extract_all(code, F.lit(EXPORT_LIST), F.lit(1))
+    items = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
+
+    def more(text: Column) -> Column:
+        openers = F.length(F.regexp_replace(text, r"[^(\[{]", ""))
+        flat = F.aggregate(
+            F.when(openers > 0, F.sequence(F.lit(1), openers)).otherwise(F.array().cast("array<int>")), text,
+            lambda acc, _: F.regexp_replace(acc, INNER_BRACKETS, ""),
+        )
+        return occurrences(F.regexp_replace(flat, r"[(\[{].*", ""), MORE_VARIABLES)
+
+    variables = F.regexp_extract_all(code, F.lit(EXPORT_VARIABLES), F.lit(1))
+    further = F.aggregate(F.transform(variables, more), F.lit(0), lambda a, n: a + n)
+    named = F.size(F.filter(items, lambda x: x.rlike(r"\S")))
+    names = statements - F.size(lists) - occurrences(code, EXPORT_ALL) + named + further
+    return F.greatest(statements, names)
+
+
 def call_names(code: Column) -> Column:
+    """Called expressions; names of declared functions and methods are no calls."""
+    uses = F.regexp_replace(F.regexp_replace(code, DECLARED, "function "), METHOD_NAME, "$1")
     joined = F.regexp_replace(
-        code, rf'{fixed.QUERY_BUILDER_RECEIVER}\s*\.{fixed.QUERY_BUILDER_START}\(""\)\s*\.',
+        uses, rf'{fixed.QUERY_BUILDER_RECEIVER}\s*\.{fixed.QUERY_BUILDER_START}\(""\)\s*\.',
         fixed.QUERY_BUILDER_RECEIVER + ".",
     )
     return F.regexp_extract_all(joined, F.lit(CALL), F.lit(1))

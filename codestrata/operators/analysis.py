@@ -210,7 +210,7 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
         .when(language == "python", _count_lines(lines, fixed.PYTHON_IMPORT_LINE))
         .otherwise(_count_lines(lines, fixed.JAVA_IMPORT_SOURCE))
         .alias("import_count"),
-        F.when(is_script, occurrences(code, r"(?m)^export(?!\w)"))
+        F.when(is_script, script.export_count(code))
         .when(language == "python", _count_lines(lines, fixed.PYTHON_EXPORT_LINE))
         .otherwise(_count_lines(lines, fixed.JAVA_EXPORT_LINE))
         .alias("export_count"),

@@ -186,7 +186,7 @@ PIECES = (
     r"|[^\"'`/]+|(?s:.)"
 )
 IMPORT = r"""(?m)^[ \t]*import([\s*{][^"';()]*)?["']([^"'\n]+)["']"""
-CALL = rf"({NAME}(?:\??\.{NAME})*)(?:<[^()]*?>)?\("
+CALL = rf"(\.*{NAME}(?:\??\.{NAME})*)(?:<[^()]*?>)?\("  # dots in front: no name stands there
 PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
 RETURNS = r"(?:\s*:\s*[^=(){};]+)?"
 PREFIX = rf"(?:(?:const|let|var)\s+{NAME}(?:\s*:[^=;]*)?\s*=\s*|{NAME}\s*:\s*)"
@@ -200,6 +200,21 @@ METHOD = (
     r"(?:<[^()]*>)?\([^()]*\)\s*(?::[^{}=]+)?\{"
 )
 NOT_METHODS = "'if','for','while','switch','catch','function','constructor','return','else','do','try','with'"
+def _flat(text: str, rounds: int = 6) -> str:
+    for _ in range(rounds):
+        text = swap(text, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
+    return swap(text, r"[(\[{].*", "")
+
+
+# Per line: a list counts its items, a variable statement its commas that start another one, the rest 1.
+EXPORTS = f"""greatest({count('code', r'(?m)^export' + chr(92) + 'b')}, CAST(list_sum(list_transform(
+  regexp_extract_all(code, '(?m)^export\\b(?:\\s+(?:type\\s+)?\\{{[^{{}}]*\\}}|[^\\n]*)'), lambda e: CASE
+    WHEN regexp_matches(e, '^export\\s*\\*\\s*from') THEN 0
+    WHEN regexp_matches(e, '^export\\s+(?:type\\s+)?\\{{') THEN
+      len(list_filter(string_split(regexp_extract(e, '\\{{([^{{}}]*)\\}}', 1), ','), lambda x: regexp_matches(x, '\\S')))
+    WHEN regexp_matches(e, '^export\\s+(?:declare\\s+)?(?:const|let|var)\\s') THEN
+      1 + len(regexp_extract_all(replace({_flat("regexp_extract(e, '^[^;]*')")}, '=>', '~'), {q(rf",\s*{NAME}\s*(?::[^=,;]+)?=[^=]")}))
+    ELSE 1 END)) AS BIGINT))"""
 DECISION = r"(?:^|[^\w$.])(?:if|for|while|case|switch)\b"
 BRANCH = r"(?:^|[^\w$.])(?:if|switch)\b"
 CATCH = r"(?:^|[^\w$.])catch\b"
@@ -261,7 +276,14 @@ def _bindings(texts: str) -> str:
 
 
 def _calls(lines: str, bindings: str) -> str:
-    joined = swap("code_line", r'supabase\s*\.from\(""\)\s*\.', "supabase.")
+    method = group("code_line", METHOD, 1)
+    modifiers = r"^(\s*(?:(?:public|private|protected|static|override|async)\s+)*\*?\s*)"
+    uses = (
+        f"CASE WHEN {method} <> '' AND {method} NOT IN ({NOT_METHODS}) "
+        f"THEN regexp_replace(code_line, {q(modifiers + NAME)}, '\\1') ELSE code_line END"
+    )
+    uses = swap(f"({uses})", rf"(^|[^\w$.])function\s*\*?\s*{NAME}\s*([<(])", r"\1function \2")
+    joined = swap(uses, r'supabase\s*\.from\(""\)\s*\.', "supabase.")
     names = ", ".join(q(n) for n in fixed.NETWORK_NAMES)
     client = rf"(?i)^(?:{alt(fixed.CLIENT_NAMES)})$"
     return f"""
@@ -281,7 +303,8 @@ def _calls(lines: str, bindings: str) -> str:
     FROM (SELECT repo, path, n, place, expression, plain, split_part(plain, '.', 1) AS receiver,
                  split_part(plain, '.', -1) AS method
           FROM (SELECT repo, path, n, expression, place, replace(expression, '?', '') AS plain
-                FROM (SELECT repo, path, n, unnest(regexp_extract_all({joined}, {q(CALL)}, 1)) AS expression,
+                FROM (SELECT repo, path, n, unnest(list_transform(regexp_extract_all({joined}, {q(CALL)}, 1),
+                               lambda e: regexp_replace(e, '^\\.\\.+', ''))) AS expression,
                              unnest(range(0, {count(joined, CALL)})) AS place FROM {lines}))) c
     LEFT JOIN {bindings} b ON b.repo = c.repo AND b.path = c.path AND b.local = c.receiver)"""
 
@@ -455,7 +478,7 @@ def _metrics(p: str) -> str:
                              ELSE {found('line', fixed.JAVA_EXPORT_LINE)} END) AS exports
     FROM {p}lines GROUP BY ALL),
   of_scripts AS (
-    SELECT repo, path, {count('bare', IMPORT)} AS imports, {count('code', r'(?m)^export' + chr(92) + 'b')} AS exports,
+    SELECT repo, path, {count('bare', IMPORT)} AS imports, {EXPORTS} AS exports,
            {markup('code')} AS has_markup, {found('content', r'\bstyle=\{\{')} AS inline_styles FROM {p}texts),
   of_calls AS (
     SELECT repo, path, count(*) FILTER (WHERE kind IS NOT NULL) AS call_count,

@@ -138,3 +138,45 @@ def test_paths(spark):
     assert (row["climbs"], row["stays"]) == (False, True)
     assert row["service"] == "packages/x/src/a/services/b_service.py"
     assert (row["test"], row["prefix"], row["relative"]) == ("src/UserServiceTest.java", "src", "src/a.py")
+
+
+def test_script_calls(spark):
+    """Declarations are no calls; a call on a call result has no name of its own."""
+    rows = {
+        "export function useTodos() {": [],
+        "  async request(path) {": [],
+        "  static *items<T>(a, b): T[] {": [],
+        'getClient().fetch("")': ["getClient", ".fetch"],
+        "const a = [...fetch(1), x?.y(2)];": ["fetch", "x?.y"],
+        "if (load(x)) {": ["load"],
+        "list[0].get(1)": [".get"],
+        "useThing(); api.useOther<T>(1)": ["useThing", "api.useOther"],
+        "function (x) { return go(x); }": ["go"],
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "code string")
+    found = {r[0]: r[1] for r in df.select("code", script.call_names(F.col("code"))).collect()}
+    assert found == rows
+    hooks = {r[0]: r[1] for r in df.select("code", script.hook_count(script.call_names(F.col("code")))).collect()}
+    assert {k: n for k, n in hooks.items() if n} == {"useThing(); api.useOther<T>(1)": 2}
+
+
+def test_requests_of_call_results(spark):
+    none = F.array().cast("array<struct<local:string,module:string>>")
+    lines = F.array(*[F.lit(x) for x in ('getClient().fetch("")', "  async request(path) {", "fetch(a)", "axios.get(b)")])
+    found = spark.range(1).select(script.request_calls(lines, F.lit(1), none).alias("c")).first()["c"]
+    assert [(c["expression"], c["kind"], c["line"]) for c in found] == [("fetch", "network-call", 3), ("axios.get", "network-call", 4)]
+
+
+def test_export_count(spark):
+    rows = {
+        "export { a, b };\n": 2,
+        "export const c = 1, d = 2;\n": 2,
+        "export const f = (a = 1, b = [2, 3]) => ({ a, b });\n": 1,
+        "export * from \"\";\nexport default x;\n": 2,
+        "export { a,\n  b as c,\n};\nexport type { T } from \"\";\nexport class K {}\n": 4,
+        "export {};\n": 1,
+        "const x = 1;\n": 0,
+        "export const m = new Map<string, number>(), n = g(h(1, 2), 3),\n  o = 4;\n": 2,
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "code string")
+    assert {r[0]: r[1] for r in df.select("code", script.export_count(F.col("code"))).collect()} == rows
