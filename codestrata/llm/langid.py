@@ -6,8 +6,10 @@ network is trained with Adam on the driver from a bounded sample: at most
 ``windows`` windows of ``window`` bytes from at most ``per_label`` documents per
 label, chosen by a hash of the id; ranks are cut in every task before the shuffle
 and only windows travel. Prediction covers every byte of every text: windows in
-batches, their log-probabilities averaged by length. For speed the embedding is
-folded into tables of byte pairs, so that a filter is a few table rows added up.
+batches, their log-probabilities averaged. A window weighs as the square of
+the number of its different byte pairs, so a phrase repeated over and over does not outvote the rest.
+For speed the embedding is folded into tables of byte pairs, so that a filter is a
+few table rows added up.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if
 there is nothing to learn from, all are; rows without id are predicted but not
@@ -156,17 +158,26 @@ def windows_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     return np.frombuffer(data, np.uint8).reshape(-1, window), owner, sizes
 
 
+def variety(x: np.ndarray) -> np.ndarray:
+    """Different byte pairs of each window, without those of the filling; 1 at least."""
+    pairs = x[:, :-1].astype(np.uint16) << 8 | x[:, 1:]
+    pairs[x[:, 1:] == 0] = 0
+    pairs.sort(axis=1, kind="stable")
+    new = (pairs[:, 1:] != pairs[:, :-1]).sum(axis=1) + (pairs[:, 0] != 0)
+    return np.maximum(new, 1)
+
+
 def predict(texts: pa.Array, model: ByteCnn, tables: dict[int, list[np.ndarray]]) -> pa.Array:
     labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     held, size = [], 0
 
     def solve() -> None:
-        x, owner, sizes = windows_of([t for _, t in held], model.settings.window)
-        sums = np.zeros((len(held), len(model.labels)))
+        x, owner, _ = windows_of([t for _, t in held], model.settings.window)
+        sums, weight = np.zeros((len(held), len(model.labels))), variety(x) ** 2
         for at in range(0, len(x), 128):
             logs = model.log_probabilities(x[at : at + 128], tables)
-            np.add.at(sums, owner[at : at + 128], logs * sizes[at : at + 128, None])
-        sums /= np.array([[len(t)] for _, t in held])
+            np.add.at(sums, owner[at : at + 128], logs * weight[at : at + 128, None])
+        sums /= np.bincount(owner, weights=weight)[:, None]
         prob = np.exp(sums - sums.max(axis=1, keepdims=True))
         prob /= prob.sum(axis=1, keepdims=True)
         for (row, _), p in zip(held, prob, strict=True):

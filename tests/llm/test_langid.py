@@ -54,6 +54,13 @@ def test_windows_cover_all_bytes():
         assert b"".join(bytes(r)[:n] for r, n in zip(x[owner == k], sizes[owner == k], strict=True)) == text
 
 
+def test_variety_counts_different_pairs():
+    texts = [b"ababababababab", b"a", b"abcdefgh", b"x" * 16, b"abcabdab"]
+    x, _, _ = langid.windows_of(texts, 16)
+    expected = [max(1, len({t[k : k + 2] for k in range(len(t) - 1)})) for t in texts]
+    assert langid.variety(x).tolist() == expected
+
+
 def rows(seed, n=150):
     rng = random.Random(seed)
     sounds = {"aa": ["lo", "mi", "ta", "ru "], "bb": ["gesch", "über", "icht", "en "], "cc": ["eaux", "çon", "ment", "é "]}
@@ -77,6 +84,14 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert got[None][0] == got[4][0] == "aa"
 
 
+def test_a_repeated_phrase_does_not_outvote_the_rest(spark):
+    docs = spark.createDataFrame(rows(2), "doc_id long, text string, lang string")
+    model = langid.train(docs, settings=langid.Settings(window=32, per_label=40, epochs=8))
+    text = rows(3)[0][1][:400] + "gesch. " * 100
+    found = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert found["lang_pred"] == "aa"
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(0, "some text", None), (1, None, "aa")], "doc_id long, text string, lang string")
     model = langid.train(docs)
