@@ -51,6 +51,12 @@ def limited_by_stored(ranked: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
+def find_tasks(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tasks named by ``wanted(repo, ref)``: the id, which is also the position in the ranking, as text."""
+    number = wanted.select("repo", F.trim("ref").try_cast("long").alias("id")).filter("id is not null").distinct()
+    return ranked.join(number, ["repo", "id"], "left_semi")
+
+
 def first_of(items: Column, fallback: str) -> Column:
     return F.coalesce(F.get(items, F.lit(0)), F.lit(fallback))
 

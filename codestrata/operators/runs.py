@@ -88,11 +88,7 @@ def begin(ranked: DataFrame, files_of: DataFrame, files: DataFrame, chosen: Data
     accepted = chosen.join(errors, ["repo", "id"], "left_anti")
     rejected = chosen.join(errors, ["repo", "id"])
     keys = opportunity_keys(ranked, files_of)
-    runs = accepted.join(keys, ["repo", "id"]).select(
-        "repo", "run_id", "opportunity_key", F.lit("started").alias("status"),
-        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
-        F.lit(None).cast("string").alias("last_verdict"), F.lit(None).cast("string").alias("completion_summary"),
-    )
+    runs = accepted.join(keys, ["repo", "id"]).select(*started_row(F.col("run_id")))
     return runs, snapshot(files_of, files, accepted), rejected
 
 
@@ -178,15 +174,17 @@ def failures(comparisons: DataFrame, command_results: DataFrame) -> DataFrame:
 
 def warnings(runs: DataFrame, comparisons: DataFrame, in_scope: DataFrame, command_results: DataFrame,
              versioned: DataFrame) -> DataFrame:
-    """``repo, run_id, message``. Files outside the scope give one message each."""
+    """``repo, run_id, message``. All files outside the scope of a run give one message."""
     ids = runs.select("repo", "run_id")
     untracked = ids.join(versioned.select("repo").distinct(), "repo", "left_anti")
     silent = ids.join(command_results.select("repo", "run_id").distinct(), ["repo", "run_id"], "left_anti")
     note = lambda df, message: df.select("repo", "run_id", message.alias("message"))
+    outside = in_scope.filter(~F.col("inside")).groupBy("repo", "run_id").agg(F.min("path").alias("first"), F.count("*").alias("n"))
+    more = F.concat(F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))
     return (
         note(untracked, F.lit(fixed.WARN_NO_VCS))
         .unionByName(note(silent, F.lit(fixed.WARN_NO_COMMANDS)))
-        .unionByName(note(in_scope.filter(~F.col("inside")), F.concat(F.lit(fixed.WARN_OUTSIDE), F.col("path"))))
+        .unionByName(note(outside, F.concat(F.lit(fixed.WARN_OUTSIDE), "first", F.when(F.col("n") > 1, more).otherwise(""))))
         .unionByName(
             note(comparisons.filter("materially_worse"), F.concat(F.lit(fixed.WARN_WORSE), F.col("path")))
         )
@@ -207,3 +205,37 @@ def verdicts(runs: DataFrame, failed: DataFrame, warned: DataFrame) -> DataFrame
             F.when(F.col("failure_count") > 0, "fail").when(F.col("warning_count") > 0, "warn").otherwise("pass"),
         )
     )
+
+
+def check(open_runs: DataFrame, targets: DataFrame, current: DataFrame, current_listing: DataFrame, changed: DataFrame,
+          command_results: DataFrame, versioned: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Comparisons and verdicts of open runs after a rescan.
+
+    ``changed`` and ``command_results`` come from version control and from the check
+    commands, by repository; paths of the tool's own state are left out.
+    """
+    ids = open_runs.select("repo", "run_id").distinct()
+    own = targets.join(ids, ["repo", "run_id"], "left_semi")
+    comparisons = compare(own, current, current_listing)
+    in_scope = scope(changed.join(ids, "repo"), own, comparisons, versioned, params)
+    commands = command_results.join(ids, "repo")
+    failed = failures(comparisons, commands)
+    return comparisons, verdicts(ids, failed, warnings(ids, comparisons, in_scope, commands, versioned))
+
+
+def checked_version(runs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Version ``checked`` of runs, with their verdict."""
+    return runs.drop("last_verdict").join(verdict, ["repo", "run_id"]).select(
+        "repo", "run_id", "opportunity_key", F.lit("checked").alias("status"), "created_at",
+        F.current_timestamp().alias("updated_at"), F.col("recommendation").alias("last_verdict"), "completion_summary",
+    )
+
+
+def started_row(run_id: Column) -> list[Column]:
+    """Columns of a run that starts now, for rows with repo and opportunity_key."""
+    none = F.lit(None).cast("string")
+    return [
+        F.col("repo"), run_id.alias("run_id"), F.col("opportunity_key"), F.lit("started").alias("status"),
+        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+        none.alias("last_verdict"), none.alias("completion_summary"),
+    ]

@@ -520,7 +520,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT r.repo, r.id, x.command, 2, '', x.step FROM (SELECT DISTINCT repo, id FROM files_of) r JOIN root x USING (repo)""",
     "changed_paths": "SELECT repo, path FROM changed",
     "run_guards": """SELECT r.repo, r.id, CASE WHEN file_count > 3 THEN 'Opportunity ' || id || ' touches ' || file_count || ' files, which exceeds the limit of 3.'
-        WHEN repo IN (SELECT repo FROM changed SEMI JOIN versioned USING (repo)) THEN 'Repository has uncommitted changes.' ELSE '' END AS error FROM ranked r""",
+        WHEN repo IN (SELECT repo FROM changed SEMI JOIN versioned USING (repo)) THEN 'Repository has uncommitted changes.'
+        WHEN id % 5 = 0 THEN 'Path escapes repository root.' ELSE '' END AS error FROM ranked r""",
     "run_begin": "SELECT * FROM targets",
     "run_check": """SELECT repo, run_id, path, exists_now, changed, line_count_before, coalesce(line_count_after, -1) AS line_count_after,
         coalesce(complexity_after, -1) AS complexity_after, coalesce(signal_count_after, -1) AS signal_count_after,
@@ -532,8 +533,11 @@ ORACLE: dict[str, str] = {
         SELECT o.repo, o.run_id,
           (SELECT count(*) FROM comparisons c WHERE c.run_id = o.run_id AND NOT c.exists_now) + (SELECT count(*) FROM commands x WHERE x.run_id = o.run_id AND x.toxic <> 0) AS failure_count,
           CASE WHEN o.repo IN (SELECT repo FROM versioned) THEN 0 ELSE 1 END + CASE WHEN o.run_id IN (SELECT run_id FROM commands) THEN 0 ELSE 1 END
-          + (SELECT count(*) FROM scope_rows s WHERE s.run_id = o.run_id AND NOT s.inside) + (SELECT count(*) FROM comparisons c WHERE c.run_id = o.run_id AND c.materially_worse) AS warning_count
+          + (SELECT least(count(*), 1) FROM scope_rows s WHERE s.run_id = o.run_id AND NOT s.inside) + (SELECT count(*) FROM comparisons c WHERE c.run_id = o.run_id AND c.materially_worse) AS warning_count
         FROM open_runs o)""",
+    "target_contents": "SELECT DISTINCT repo, path, hash AS content_hash FROM targets",
+    "task_by_id": "SELECT repo, id, title, primary_path FROM ranked WHERE id = CAST(substr(repo, 5) AS BIGINT) % 3 + 1",
+    "settings_record": """SELECT DISTINCT repo, CAST(7 AS BIGINT) AS "limit", 'high' AS min_priority FROM sources""",
     "run_states": "SELECT repo, run_id, status, updated_at FROM run_states_rows",
     "latest_run_state": """SELECT repo, run_id, status FROM (SELECT s.*, c.created_at FROM run_states_rows s
         JOIN (SELECT repo, run_id, min(updated_at) AS created_at FROM run_versions GROUP BY ALL) c USING (repo, run_id))
@@ -550,6 +554,13 @@ ORACLE: dict[str, str] = {
 }
 
 
+ORACLE["check_record"] = f"""SELECT v.repo, v.run_id, 'checked' AS status, v.recommendation AS last_verdict, c.n AS comparison_count,
+        v.failure_count, v.warning_count FROM ({ORACLE["run_verdict"]}) v
+        JOIN (SELECT repo, run_id, count(*) AS n FROM comparisons GROUP BY ALL) c USING (repo, run_id)"""
+ORACLE["run_completion"] = f"""SELECT repo, run_id, 'completed' AS status,
+        replace({q(fixed.SUMMARY_CHECKED)}, '{{verdict}}', recommendation) AS completion_summary FROM ({ORACLE["run_verdict"]})"""
+
+
 def oracle_texts() -> dict[str, str]:
     """Complete DuckDB text per query; ``compact_payload`` is checked by rows and tests only."""
     return {name: _complete(text) for name, text in ORACLE.items()}

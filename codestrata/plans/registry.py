@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -498,9 +499,11 @@ def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(path.endswith(".java"), F.concat(F.lit("R  old.java -> "), path))
         .otherwise(F.concat(F.lit("?? "), F.replace(path, F.lit("/"), F.lit("\\"))))
     )
-    return changed.select("repo", line.alias("status_line")).select(
+    read = changed.select("repo", line.alias("status_line")).select(
         "repo", runs.changed_path(F.col("status_line")).alias("path")
     )
+    own_state = read.select("repo").distinct().withColumn("path", F.lit(f"{PARAMS.state_directory}/runs/x"))
+    return runs.without_tool_state(read.unionByName(own_state), PARAMS)
 
 
 @register
@@ -510,7 +513,9 @@ def run_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
         versioned_repos(result.listing), "repo", "left_semi"
     )
     params = Params(allow_dirty=False, max_files_per_task=3)
-    return runs.guard(result.ranked, changed, params).select("repo", "id", F.coalesce("error", F.lit("")).alias("error"))
+    path = F.col("primary_path")
+    outside = F.when(F.col("id") % 5 == 0, F.concat(F.lit("../"), path)).when(F.col("id") % 5 == 1, F.concat(F.lit("x/../"), path))
+    return runs.guard(result.ranked.withColumn("primary_path", F.coalesce(outside, path)), changed, params).select("repo", "id", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def _runs_of_all(ranked: DataFrame) -> DataFrame:
@@ -577,6 +582,72 @@ def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.verdicts(open_runs, failed, warned)
 
 
+def _checked_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store in which the best task of every repository was begun and checked."""
+    store = f"{stores.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    result, open_runs, targets, _, changed, commands = _verdict_inputs(spark, sf_dir)
+    best = open_runs.withColumn("id", F.substring_index("run_id", "-", -1).cast("long"))
+    none = changed.select("repo", "path").filter(F.lit(False))
+    started, targets, _ = runs.begin(result.ranked, result.files_of, result.files, best, none, PARAMS)
+    stores.append_runs(started, store)
+    after = corpus.edited_listing(spark, sf_dir)
+    current = scan.selected_metrics(scan.prepare(after), PARAMS)
+    comparisons, verdict = runs.check(
+        started, targets, current, after, changed.select("repo", "path"), commands.drop("run_id"),
+        versioned_repos(result.listing), PARAMS,
+    )
+    verdict = stores.materialize(verdict, "verdicts")
+    open_now = stores.current_runs(stores.read_runs(spark, store))
+    stores.store_check(comparisons, verdict, runs.checked_version(open_now, verdict), store)
+    return store
+
+
+@register
+def check_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored check leaves: the run's newest version and its comparisons."""
+    store = _checked_store(spark, sf_dir)
+    compared = spark.read.parquet(f"{store}/comparisons").groupBy("repo", "run_id").agg(F.count("*").alias("comparison_count"))
+    checks = spark.read.parquet(f"{store}/checks").select("repo", "run_id", "failure_count", "warning_count")
+    current = stores.current_runs(stores.read_runs(spark, store)).select("repo", "run_id", "status", "last_verdict")
+    return current.join(compared, ["repo", "run_id"]).join(checks, ["repo", "run_id"])
+
+
+@register
+def run_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked runs, completed: status and summary of the newest version."""
+    store = _checked_store(spark, sf_dir)
+    stores.append_runs(stores.completion_row(stores.current_runs(stores.read_runs(spark, store))), store)
+    return stores.current_runs(stores.read_runs(spark, store)).select("repo", "run_id", "status", "completion_summary")
+
+
+@register
+def target_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the files of tasks that may be started, as hashes."""
+    result = _scan(spark, sf_dir)
+    targets = runs.snapshot(result.files_of, result.files, _runs_of_all(result.ranked))
+    return runs.snapshot_contents(targets, result.listing).select("repo", "path", F.sha2("content", 256).alias("content_hash"))
+
+
+@register
+def task_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task of each repository, named by its id as text; names that are no id find nothing."""
+    result = _scan(spark, sf_dir)
+    repos = result.ranked.select("repo").distinct()
+    ref = F.concat(F.lit(" "), (F.substring("repo", 5, 9).cast("int") % 3 + 1).cast("string"))
+    wanted = repos.select("repo", ref.alias("ref")).unionByName(repos.select("repo", F.lit("none").alias("ref")))
+    return outputs.find_tasks(result.ranked, wanted).select("repo", "id", "title", "primary_path")
+
+
+@register
+def settings_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings written with a scan and read back."""
+    store = f"{stores.shared_folder(spark)}/settings-{uuid.uuid4().hex}"
+    files = sources.select_sources(corpus.listing(spark, sf_dir), PARAMS)
+    stores.write_settings(stores.settings_table(files, OutputSettings(7, "high")), store, "s1")
+    stored = stores.read_scan(spark, store, "settings")
+    return stores.effective_settings(files, stored, OutputSettings())
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run versions derived from events: one run per user, one version per event."""
     status = {"click": "started", "signup": "started", "view": "checked", "error": "checked", "purchase": "completed"}

@@ -12,7 +12,7 @@ from ..operators.analysis import file_metrics
 from ..params import Params
 from ..sources import manifests as project_sources
 from ..sources.files import candidates, drop_ignored, ignore_rules, ignored_files, settings_files
-from ..sources.stores import materialize, write_brief_lines, write_scan
+from ..sources.stores import materialize, settings_table, write_brief_lines, write_scan, write_settings
 
 
 @dataclass
@@ -93,7 +93,8 @@ def scan(listing: DataFrame, params: Params = Params()) -> Scan:
 
 
 def write_outputs(result: Scan, store: str, scan_id: str) -> None:
-    """Write the complete scan, and briefs for the limited part of it."""
+    """Write the complete scan, its output settings, and briefs for the limited part of it."""
+    write_settings(settings_table(result.files, result.params.output), store, scan_id)
     write_scan(result.files, store, "files", scan_id)
     write_scan(result.ranked, store, "opportunities", scan_id)
     write_scan(result.files_of, store, "opportunity_files", scan_id)
@@ -102,3 +103,11 @@ def write_outputs(result: Scan, store: str, scan_id: str) -> None:
         chosen, result.files_of, result.members, result.files, result.workspaces, result.project
     )
     write_brief_lines(lines, store, scan_id)
+
+
+def write_task_brief(result: Scan, wanted: DataFrame, store: str, scan_id: str) -> DataFrame:
+    """Write the briefs of the tasks named by ``wanted(repo, ref)`` and return the tasks."""
+    found = outputs.find_tasks(result.ranked, wanted)
+    lines = outputs.brief_lines(found, result.files_of, result.members, result.files, result.workspaces, result.project)
+    write_brief_lines(lines, store, scan_id)
+    return found

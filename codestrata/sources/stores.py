@@ -79,6 +79,11 @@ def settings_table(repos: DataFrame, settings: OutputSettings) -> DataFrame:
     )
 
 
+def write_settings(table: DataFrame, store: str, scan_id: str) -> None:
+    """Settings of one scan, a row for each repository."""
+    write_scan(table, store, "settings", scan_id)
+
+
 def effective_settings(repos: DataFrame, stored: DataFrame, fallback: OutputSettings) -> DataFrame:
     """Stored settings where they are valid, else the current ones, field by field."""
     limit, priority = F.col("limit"), F.col("min_priority")
@@ -104,6 +109,13 @@ def append_table(table: DataFrame, store: str, name: str) -> None:
     table.write.mode("append").parquet(f"{store}/{name}")
 
 
+def store_check(comparisons: DataFrame, verdict: DataFrame, checked: DataFrame, store: str) -> None:
+    """Append the rows of a check; the new version of the run comes last."""
+    append_table(comparisons, store, "comparisons")
+    append_table(verdict, store, "checks")
+    append_runs(checked, store)
+
+
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(RUN_LOG_TYPE).parquet(f"{store}/runs")
 
