@@ -56,13 +56,28 @@ def exclude_pattern(entries: Iterable[str]) -> str:
     """One pattern for all exclude entries.
 
     A plain entry hides a folder of that name at any depth; an entry with
-    wildcards is matched against whole path segments.
+    wildcards is a pattern of whole paths from the root.
     """
-    segments = []
+    plain, globs = [], []
     for entry in entries:
-        plain = entry.replace("\\", "/").removeprefix("**/").strip("/")
-        segments.append(re.escape(plain).replace(r"\*\*/", "(.*/)?").replace(r"\*", "[^/]*"))
-    return f"(^|/)({'|'.join(segments)})(/|$)"
+        name = entry.replace("\\", "/")
+        if any(sign in name for sign in "*?{"):
+            globs.append(path_glob(name.removeprefix("./")))
+        else:
+            plain.append(re.escape(name.strip("/")))
+    parts = [f"(^|/)({'|'.join(plain)})(/|$)"] * bool(plain) + [f"^({'|'.join(globs)})(/|$)"] * bool(globs)
+    return "|".join(parts) or "(?!)"
+
+
+def path_glob(glob: str) -> str:
+    """Expression for a path pattern with ``**``, ``*``, ``?`` and ``{a,b}``."""
+    kinds = {"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(", "}": ")", ",": "|"}
+    out, depth = [], 0
+    for token in re.findall(r"\*\*/|\*\*|[*?{},]|[^*?{},]+", glob):
+        depth += (token == "{") - (token == "}")
+        special = token in kinds and (token != "," or depth > 0) and (token != "}" or depth >= 0)
+        out.append(kinds[token] if special else re.escape(token))
+    return "".join(out)
 
 
 def ignore_rules(listing: DataFrame, file_name: str = ".gitignore") -> DataFrame:

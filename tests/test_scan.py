@@ -128,6 +128,15 @@ def test_selection(listing):
     assert {r["path"] for r in scoped} == {"src/a.py", "src/b.test.ts", "src/logs/b.py"}
 
 
+def test_exclude_entries(spark):
+    entries = ["vendor", "src/*.js", "**/*.gen.ts", "lib/**", "{a,b}/x?.py", "docs/"]
+    hidden = ["vendor/a.py", "p/vendor/a.py", "src/x.js", "k.gen.ts", "a/b/k.gen.ts", "lib/deep/a.py", "a/x1.py", "b/x2.py", "docs/a.py"]
+    seen = ["packages/a/src/x.js", "src/deep/x.js", "vendors/a.py", "p/lib/a.py", "c/x1.py", "a/x12.py", "k.gen.tsx"]
+    paths = spark.createDataFrame([(p,) for p in hidden + seen], "path string")
+    assert {r[0] for r in paths.filter(F.col("path").rlike(sources.exclude_pattern(entries))).collect()} == set(hidden)
+    assert paths.filter(F.col("path").rlike(sources.exclude_pattern([]))).count() == 0
+
+
 def test_ignored_files_leave_the_metrics(listing):
     df = listing({"src/a.py": SHIPPING, "src/b.py": SHIPPING, ".gitignore": "b.py\n"})
     metrics = scan.selected_metrics(scan.prepare(df), LOW)
