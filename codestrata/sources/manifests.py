@@ -41,14 +41,15 @@ def parse_manifests(listing: DataFrame) -> DataFrame:
     )
 
 
-def _any_key(dependencies: Column, names: list[str]) -> Column:
-    return F.arrays_overlap(F.map_keys(dependencies), F.array(*[F.lit(n) for n in names]))
+def _any_of(used: Column, names: list[str]) -> Column:
+    return F.arrays_overlap(used, F.array(*[F.lit(n) for n in names]))
 
 
-def framework(dependencies: Column, has_app_file: Column) -> Column:
+def framework(used: Column, has_app_file: Column) -> Column:
+    """Framework by the names of the dependencies (an array)."""
     chain = None
     for names, label in fixed.FRAMEWORK_DEPENDENCIES:
-        hit = _any_key(dependencies, names)
+        hit = _any_of(used, names)
         if chain is None:
             chain = F.when(hit | has_app_file, label)
         else:
@@ -56,23 +57,14 @@ def framework(dependencies: Column, has_app_file: Column) -> Column:
     return chain.otherwise("unknown")
 
 
-def test_framework(dependencies: Column) -> Column:
+def test_framework(used: Column) -> Column:
     chain = None
     for names, label in fixed.TEST_DEPENDENCIES:
-        hit = _any_key(dependencies, names)
+        hit = _any_of(used, names)
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return chain.otherwise("unknown")
 
 
-def merge(*maps: Column) -> Column:
-    """Union of maps; a later map wins."""
-    merged = maps[0]
-    for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _: ~F.array_contains(F.map_keys(later), k))
-        merged = F.map_concat(kept, later)
-    return merged
-
-
 def package_managers(listing: DataFrame) -> DataFrame:
     """``repo, package_manager`` by the first lock file present at the root."""
     locks = [name for name, _ in fixed.LOCK_FILES]
@@ -117,7 +109,7 @@ def workspaces(listing: DataFrame, manifests: DataFrame) -> DataFrame:
             "root_path",
             "name",
             framework(
-                merge(F.col("dependencies"), F.col("dev_dependencies")),
+                F.concat(F.map_keys("dependencies"), F.map_keys("dev_dependencies")),
                 F.coalesce(F.col("app_file"), F.lit(False)),
             ).alias("framework"),
             "dependencies",
@@ -153,7 +145,6 @@ def projects(listing: DataFrame, files: DataFrame, manifests: DataFrame, found:
         .agg(F.array_sort(F.collect_set("language")).alias("languages"))
     )
     names = F.coalesce(F.col("names"), F.array().cast("array<string>"))
-    as_map = F.map_from_arrays(names, names)
     return (
         repos.join(package_managers(listing), "repo", "left")
         .join(used, "repo", "left")
@@ -163,8 +154,8 @@ def projects(listing: DataFrame, files: DataFrame, manifests: DataFrame, found:
             "repo",
             "has_manifest",
             "package_manager",
-            framework(as_map, F.col("app_file")).alias("framework"),
-            test_framework(as_map).alias("test_framework"),
+            framework(names, F.col("app_file")).alias("framework"),
+            test_framework(names).alias("test_framework"),
             F.coalesce(F.col("languages"), F.array().cast("array<string>")).alias("languages"),
             F.coalesce(F.col("workspace_count"), F.lit(0)).alias("workspace_count"),
         )
