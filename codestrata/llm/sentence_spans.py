@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..sources.stores import materialize
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
@@ -32,13 +33,16 @@ def sentences(text: Column) -> Column:
 
 
 def _spans(parts: Column, run: int, min_chars: int) -> Column:
-    """Place and hash of every run of sentences that is long enough."""
-    clean = F.transform(parts, lambda x: F.trim(x, F.lit(BLANKS)))
-    count = F.size(parts) - run + 1
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    runs = F.zip_with(starts, starts, lambda i, _: F.struct(i.alias("pos"), F.array_join(F.slice(clean, i + 1, run), " ").alias("words")))
-    long_enough = F.filter(runs, lambda x: F.length(x["words"]) >= min_chars)
-    return F.transform(long_enough, lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["words"])).alias("hash")))
+    """Place and hash of every run of sentences that is long enough; the list of sentences is made once."""
+
+    def of(clean: Column) -> Column:
+        count = F.size(clean) - run + 1
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(clean, i + 1, run), " ").alias("words")))
+        long_enough = F.filter(runs, lambda x: F.length(x["words"]) >= min_chars)
+        return F.transform(long_enough, lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["words"])).alias("hash")))
+
+    return bind(F.transform(parts, lambda x: F.trim(x, F.lit(BLANKS))), of)
 
 
 def remove_repeats(
@@ -54,6 +58,7 @@ def remove_repeats(
     firsts = materialize(firsts.select("hash", "first"), "first-spans")
     later = spans.join(firsts, "hash").where(place > F.col("first")).groupBy("key").agg(F.collect_set("pos").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
+    # Parts come out of the join, so the list below is a column and not made again for every sentence.
     every = F.when(F.size("parts") > 0, F.sequence(F.lit(0), F.size("parts") - 1)).otherwise(F.array().cast("array<int>"))
     stays = F.when(F.col("starts").isNull(), every).otherwise(F.array_except(every, covered))
     joined = keyed.join(later, "key", "left").select("id", "parts", stays.alias("stays"))
