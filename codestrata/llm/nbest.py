@@ -68,7 +68,7 @@ class Best(NamedTuple):
 class Lattice:
     """Pieces of one model and the n best ways through texts."""
 
-    def __init__(self, path: str, n: int = 4, remembered: int = 300_000):
+    def __init__(self, path: str, n: int = 4, remembered: int = 900_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,7 +79,8 @@ class Lattice:
         self.unknown = m.unk_id()
         self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10
         self.packed = {p: (s, i.to_bytes(4, "little")) for p, (i, s) in self.pieces.items()}
-        self.openings = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Every beginning of a piece, with score and id if it is one itself.
+        self.openings = {p[:k]: self.packed.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.units = FINE if all(FINE.findall(p) == [p] for p in self.pieces) else COARSE
         self.n, self.remembered = n, remembered
@@ -112,27 +113,31 @@ class Lattice:
         size = len(text)
         first, second = [0.0] + [low] * size, [low] * (size + 1)
         back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
-        openings, packed = self.openings, self.packed
+        get, none = self.openings.get, self
         for start in range(size):
             one, two = first[start], second[start]
-            if text[start] not in packed:
-                edges = [(start + 1, self._unknown(text[start]))]
+            end = start + 1
+            found = get(text[start], none)
+            if found is none or found is None:
+                edge, open_ = self._unknown(text[start]), found is None
             else:
-                edges = []
-            for end in range(start + 1, min(size, start + self.longest) + 1):
-                part = text[start:end]
-                if part not in openings:
+                edge, open_ = found, True
+            while True:
+                if edge is not None:
+                    score, data = edge
+                    total = one + score
+                    if total > first[end]:
+                        first[end], second[end], back[end] = total, first[end], (start, data)
+                    elif total > second[end]:
+                        second[end] = total
+                    if two + score > second[end]:
+                        second[end] = two + score
+                end += 1
+                if not open_ or end > size:
+                    break
+                edge = get(text[start:end], none)
+                if edge is none:
                     break
-                if part in packed:
-                    edges.append((end, packed[part]))
-            for end, (score, data) in edges:
-                total = one + score
-                if total > first[end]:
-                    first[end], second[end], back[end] = total, first[end], (start, data)
-                elif total > second[end]:
-                    second[end] = total
-                if two + score > second[end]:
-                    second[end] = two + score
         out, place = [], size
         while place:
             place, data = back[place]
