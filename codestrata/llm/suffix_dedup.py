@@ -312,13 +312,14 @@ def removed_spans(
         ),
         "contexts",
     )
-    repeated = occurrences.groupBy("h1").count().where("count > 1").select("h1")
+    # Sides of joins on anchors are written first: Spark splits a large key of a join only where both sides are plain shuffles.
+    repeated = materialize(occurrences.groupBy("h1").count().where("count > 1").select("h1"), "repeated-anchors")
     again = materialize(occurrences.join(repeated, "h1", "left_semi"), "repeated-contexts")
     distinct = again.groupBy("h1", "h2").agg(
         F.count("*").alias("c"), F.min(F.struct("ord", "key", "start")).alias("first"), F.first("n").alias("n")
     )
     distinct = materialize(distinct, "distinct-contexts")
-    several = distinct.groupBy("h1").agg(F.count("*").alias("d")).where("d > 1")
+    several = materialize(distinct.groupBy("h1").agg(F.count("*").alias("d")).where("d > 1"), "several")
     listed = (
         distinct.join(several, "h1")
         .select("h1", "h2", "c", "d", "first.*", "n")
@@ -346,7 +347,7 @@ def removed_spans(
     counted = marked.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("off")).alias("froms"))
     counted = counted.select("h1", "h2", "froms", F.transform("froms", lambda x: x + 1).alias("tos"))
     marks = distinct.join(compared.where("size(froms) > 0").unionByName(counted), ["h1", "h2"], "left")
-    marks = marks.where("c > 1 or froms is not null").drop("n")
+    marks = materialize(marks.where("c > 1 or froms is not null").drop("n"), "marks")
     whole = F.col("c") > 1
     if keep == "first":
         whole = F.struct("key", "start") != F.struct("first.key", "first.start")
