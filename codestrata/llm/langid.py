@@ -4,8 +4,8 @@ Bytes (A-Z lowered) are embedded, filters of several widths slide over fixed
 windows, each filter keeps its maximum, and a softmax layer gives the label. The
 network is trained with Adam on the driver from a bounded sample: at most
 ``windows`` windows of ``window`` bytes from at most ``per_label`` documents per
-label, chosen by a hash of the id; ranks are cut in every task before the shuffle
-and only windows travel. Prediction covers every byte of every text: windows in
+label, chosen by a hash of the id among about four times as many; only their ids and
+windows travel. Prediction covers every byte of every text: windows in
 batches, their log-probabilities averaged. A window weighs as the square of
 the number of its different byte pairs, so a phrase repeated over and over does not outvote the rest.
 For speed the embedding is folded into tables of byte pairs, so that a filter is a
@@ -225,14 +225,20 @@ def train(
     """Network learned from labelled rows whose crc32(id) modulo held_out[0] is not held_out[1]."""
     s = settings or Settings()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang"))
-    pool = plain.where(remainder("id", held_out[0]) != held_out[1]).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
+    pool = plain.where(remainder("id", held_out[0]) != held_out[1]).where(F.col("lang").isNotNull())
     place = F.xxhash64("id").alias("place")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = pool.select("lang", place).withColumn("rank", rank).where(F.col("rank") <= s.per_label).select("lang", "place")
+    ids = pool.select("lang", place)
+    # Of each label, about four times as many rows as needed, by their hash; the exact rank is taken among these.
+    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    unit = F.shiftrightunsigned("place", 11) / F.lit(float(1 << 53))
+    share = F.lit(0.0)
+    for label, count in counts.items():
+        share = F.when(F.col("lang") == label, 4.0 * s.per_label / count).otherwise(share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 11), "place"))
+    chosen = ids.where(unit < share).withColumn("rank", rank).where(F.col("rank") <= s.per_label).select("lang", "place")
     spread = (
-        pool.withColumn("place", place)
+        pool.where(F.col("text").rlike(r"\p{L}"))
+        .withColumn("place", place)
         .join(F.broadcast(chosen.distinct()), ["lang", "place"], "left_semi")  # per_label rows per label
         .select("place", "lang", "text")
         .mapInArrow(lambda batches: _spread(batches, s.window, s.windows), "id long, lang string, data binary")
