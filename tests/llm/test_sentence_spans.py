@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -50,3 +51,13 @@ def test_query_equals_duckdb(spark):
     con = compare.connect("/root/testdata/sf0.001")
     name = "op5_sentence_span_dedup"
     assert compare.difference(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), con, queries.ORACLE_SQL[name]) == ""
+
+
+def test_query_removes_short_runs(spark, tmp_path):
+    rows = [(1, "One. Two. Three. Tail one is here."), (2, "Other head. One. Two. Three."), (3, "a.\nb.\nc.\na.\nb.\nc.\n"), (4, "One. Two.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in queries.QUERIES["op5_sentence_span_dedup"](spark, str(tmp_path)).collect()}
+    for name, n, removed, kept in brute(rows, 3, 0):
+        assert (found[name]["n_sentences"], found[name]["n_removed"]) == (n, removed)
+        assert found[name]["kept_md5"] == hashlib.md5(kept.encode()).hexdigest()
+    assert [found[k]["n_removed"] for k in (1, 2, 3, 4)] == [0, 3, 3, 0]
