@@ -1,8 +1,9 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
 A fingerprint is a wide vector: 16 lanes of 32 bits, summed from the BLAKE2b hashes
-of the paragraphs (lines), and 128 lanes of 16 bits, summed from the word triples
-of each paragraph, every one of which adds 1 or -1 to one lane. All sums are taken
+of the paragraphs (lines), and 128 lanes of 32 bits, summed from the word triples
+of each paragraph, every one of which adds 1 or -1 to one lane; no text that Spark
+holds has enough triples to leave a signed lane. All sums are taken
 modulo the lane's power of two. So the vector does not depend on the order of
 paragraphs, the vector of a union is the sum of the vectors, and a paragraph is
 inserted or deleted by adding or subtracting its own. Vectors are equal for equal
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .words import mixed, word_hashes
 
 WIDE, SKETCH = 16, 128
-SIZE = 4 * WIDE + 2 * SKETCH
+SIZE = 4 * WIDE + 4 * SKETCH
 _WEIGHTS = [np.uint64(w) for w in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -55,16 +56,16 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane = text * SKETCH + (triple >> np.uint64(57)).astype(np.int64)
     sign = (triple & np.uint64(1)).astype(np.float64) * 2 - 1
     sums = np.bincount(lane, weights=sign, minlength=len(texts) * SKETCH).reshape(len(texts), SKETCH)
-    return wide, sums.astype(np.int64).astype(np.uint16)
+    return wide, sums.astype(np.int64).astype(np.uint32)
 
 
 def written(wide: np.ndarray, sketch: np.ndarray) -> list[str]:
-    return [w.astype("<u4").tobytes().hex() + s.astype("<u2").tobytes().hex() for w, s in zip(wide, sketch, strict=True)]
+    return [w.astype("<u4").tobytes().hex() + s.astype("<u4").tobytes().hex() for w, s in zip(wide, sketch, strict=True)]
 
 
 def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     data = bytes.fromhex(fingerprint)
-    return np.frombuffer(data[: 4 * WIDE], "<u4"), np.frombuffer(data[4 * WIDE :], "<u2")
+    return np.frombuffer(data[: 4 * WIDE], "<u4"), np.frombuffer(data[4 * WIDE :], "<u4")
 
 
 def fingerprint(text: str | None) -> str:
@@ -76,7 +77,7 @@ def combined(one: str, other: str, sign: int = 1) -> str:
     (a, b), (c, d) = read(one), read(other)
     step = np.int64(sign)
     wide = (a.astype(np.int64) + step * c.astype(np.int64)).astype(np.uint32)
-    sketch = (b.astype(np.int64) + step * d.astype(np.int64)).astype(np.uint16)
+    sketch = (b.astype(np.int64) + step * d.astype(np.int64)).astype(np.uint32)
     return written(wide[None], sketch[None])[0]
 
 
@@ -84,7 +85,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Cosine of two sketches, 0 at least."""
     if np.array_equal(a, b):
         return 1.0
-    a, b = (x.astype(np.int16).astype(np.float64) for x in (a, b))
+    a, b = (x.astype(np.int32).astype(np.float64) for x in (a, b))
     norm = np.sqrt((a @ a) * (b @ b))
     return float(min(1.0, max(0.0, a @ b / norm))) if norm else 0.0
 

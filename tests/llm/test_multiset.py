@@ -39,6 +39,17 @@ def test_likeness():
     assert multiset.likeness(sketch[0], sketch[2]) < 0.3
 
 
+def test_lanes_hold_a_line_of_50000_repeats():
+    line = "one two three"
+    text, half = "\n".join([line] * 50_000), "\n".join([line] * 25_000)
+    edited = half + "\n" + "\n".join(f"w{k} x{k} y{k}" for k in range(25_000))
+    whole, changed = (multiset.vectors([t.encode()])[1][0] for t in (text, edited))
+    assert np.abs(whole.astype(np.int32)).max() == 50_000
+    assert multiset.likeness(whole, changed) > 0.9
+    assert multiset.combined(multiset.fingerprint(half), multiset.fingerprint(half)) == multiset.fingerprint(text)
+    assert multiset.combined(multiset.fingerprint(text), multiset.fingerprint(half), -1) == multiset.fingerprint(half)
+
+
 def plain(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     texts = [t or "" for _, t in rows]
