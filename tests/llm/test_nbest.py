@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -78,3 +79,12 @@ def test_query_digest(spark, lattice):
     for r in found[:200]:
         way = lattice.ways(texts[r["doc_id"]])[r["rank"] - 1]
         assert (r["score"], r["n_pieces"], r["ids_crc32"]) == (way.score, len(way.ids), zlib.crc32(np.array(way.ids, "<u4").tobytes()))
+
+
+def test_query_decodes_every_segmentation(spark, tmp_path):
+    rows = [(1, "some text here"), (2, None), (3, ""), (4, "long" * 2000), (5, " \n  two\t\u4f60\U0001f600 \x00 "), (6, f"{nbest.BLANK}sign"), (7, "word. " * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op6_nbest_segmentation"](spark, str(tmp_path)).collect()
+    texts = {name: (text or "").replace(nbest.BLANK, " ") for name, text in rows}
+    assert {r["doc_id"] for r in found} == set(texts)
+    assert all(r["decoded_md5"] == hashlib.md5(texts[r["doc_id"]].encode()).hexdigest() for r in found)
