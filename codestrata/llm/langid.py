@@ -225,7 +225,7 @@ def train(
     """Network learned from labelled rows whose crc32(id) modulo held_out[0] is not held_out[1]."""
     s = settings or Settings()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang"))
-    pool = plain.where(remainder("id", held_out[0]) != held_out[1]).where(F.col("lang").isNotNull())
+    pool = plain.where(remainder("id", held_out[0]) != held_out[1]).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     place = F.xxhash64("id").alias("place")
     ids = pool.select("lang", place)
     # Of each label, about four times as many rows as needed, by their hash; the exact rank is taken among these.
@@ -237,8 +237,7 @@ def train(
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 11), "place"))
     chosen = ids.where(unit < share).withColumn("rank", rank).where(F.col("rank") <= s.per_label).select("lang", "place")
     spread = (
-        pool.where(F.col("text").rlike(r"\p{L}"))
-        .withColumn("place", place)
+        pool.withColumn("place", place)
         .join(F.broadcast(chosen.distinct()), ["lang", "place"], "left_semi")  # per_label rows per label
         .select("place", "lang", "text")
         .mapInArrow(lambda batches: _spread(batches, s.window, s.windows), "id long, lang string, data binary")

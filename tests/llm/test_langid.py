@@ -104,3 +104,11 @@ def test_one_label_and_deterministic():
     model = langid.ByteCnn(["aa"], SMALL).train(np.zeros((4, 16), np.uint8), np.zeros(4, int))
     found = langid.predict(pa.array(["text"]), model, model.tables()).to_pylist()
     assert found == [{"lang": "aa", "score": 1.0}]
+
+
+def test_rows_without_letters_take_no_places(spark):
+    docs = [(k, text, label) for k, text, label in rows(4, 90)] + [(1000 + k, [None, "", "12 !?"][k % 3], "aa") for k in range(4000)]
+    found = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    settings = langid.Settings(window=32, per_label=8, epochs=1)
+    model = langid.train(found, settings=settings)
+    assert model.labels == ["aa", "bb", "cc"]
