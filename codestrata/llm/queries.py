@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
+from . import hnsw, langid, merkle, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,24 @@ def op6_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every document under a model learned from four fifths of them."""
     return pitman_yor.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, witness and root of every document, a tree for each language; some rows are folded with a tampered leaf."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.leaf_of(*fields)
+    changed = merkle.leaf_of(*fields[:3], F.try_add("n_chars", F.lit(1)), fields[4])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, changed)
+    found = merkle.manifest(
+        _table(spark, sf_dir, "documents"), F.col("lang"), F.col("doc_id"), leaf, {"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    shown = [merkle.hexadecimal(c).alias(c) for c in ("leaf", "subroot", "root")]
+    checked = merkle.folded(found.withColumn("given", F.coalesce("tampered", "leaf")), "given")
+    return checked.select(
+        "doc_id", *shown, F.sha2(merkle.hexadecimal("witness"), 256).alias("proof_sha256"),
+        merkle.hexadecimal("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLE_SQL["op11_merkle_manifest"] = merkle.oracle()
