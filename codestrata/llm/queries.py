@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, merkle, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
+from . import hnsw, host_rules, langid, merkle, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op11_merkle_manifest"] = merkle.oracle()
+
+
+@register
+def op13_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether it stays after the verdict on its source."""
+    found = host_rules.judge(_table(spark, sf_dir, "documents"), F.col("source"))
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select(F.col("id").alias("doc_id"), *measures, "base_failed", "kept")
+
+
+ORACLE_SQL["op13_host_quality_rules"] = host_rules.oracle()
