@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, host_rules, langid, merkle, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, suffix_dedup
+from . import hnsw, host_rules, langid, merkle, multiset, nbest, packing, pitman_yor, sentence_spans, sharding, simhash, spelling, suffix_dedup
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,12 @@ def op13_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op13_host_quality_rules"] = host_rules.oracle()
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the form it is a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_spelling_variants"] = spelling.oracle()
