@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, near_copies as copies, packing, suffix_dedup
+from codestrata.llm import langid, packing, simhash, suffix_dedup
 from codestrata.sources.stores import materialize
 
 
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, Jaccard similarity of 0.8 or more."""
-    return copies.drop_near_copies(docs, width=5, least=0.8)
+    """Operator 9: one document of each group, by the shingle length and bit distance of its contract."""
+    return simhash.drop_near_copies(docs, width=4, max_bits=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
