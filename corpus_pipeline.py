@@ -5,7 +5,8 @@ predecessor kept; all but the last return the columns of documents. Between stag
 the documents are written as Parquet and read again.
 
 Defined results: documents without a letter (null and empty ones too) or without a
-confident language leave in the first stage; of near copies the smallest id stays;
+confident language leave in the first stage (without labels to learn from, all with a
+letter stay); of near copies the smallest id stays;
 the first occurrence of a repeated passage stays, texts are shortened by whole
 characters, a document that loses all its text leaves; an empty table gives an empty
 result. Columns beside doc_id, text, lang and n_chars are passed on; packing returns
@@ -23,7 +24,7 @@ from codestrata.sources.stores import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents in a known language."""
-    return langid.drop_unknown(docs, langid.train(docs), min_score=0.3)
+    return langid.drop_unknown(docs, langid.train(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
