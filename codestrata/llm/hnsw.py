@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stores import materialize
 from .components import connected
+from .ship import shipped
 
 NONE = -1
 
@@ -274,6 +275,7 @@ def _vertices(vectors: DataFrame, id_column: str, vector_column: str, label_colu
     return rows, equal.agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("dim", F.size("vector"))
 
 
+@shipped
 def links(vertices: DataFrame, settings: Settings) -> DataFrame:
     """``a, b, beam, recall``: each linked pair of vertices once."""
     s = settings
@@ -303,6 +305,7 @@ def links(vertices: DataFrame, settings: Settings) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("beam").alias("beam"), F.min("recall").alias("recall"))
 
 
+@shipped
 def near_duplicates(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
     settings: Settings | None = None,

@@ -4,14 +4,15 @@ Bytes (A-Z lowered) are embedded, filters of several widths slide over fixed
 windows, each filter keeps its maximum, and a softmax layer gives the label. The
 network is trained with Adam on the driver from a bounded sample: at most
 ``windows`` windows of ``window`` bytes from at most ``per_label`` documents per
-label, chosen by a hash of the id among about four times as many; only their ids and
-windows travel. Prediction covers every byte of every text: windows in
+label, those whose hash of id and text is smallest (equal rows are one); only their
+hashes and windows travel. Prediction covers every byte of every text: windows in
 batches, their log-probabilities averaged. A window weighs as the square of
 the number of its different byte pairs, so a phrase repeated over and over does not outvote the rest.
 For speed the embedding is folded into tables of byte pairs, so that a filter is a
 few table rows added up.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; if
+Defined results: a null text or one without a letter (a sign of a Unicode class L)
+is ``und`` with score 0; of labels with equal scores the first in order is taken; if
 there is nothing to learn from, all are; rows without id are predicted but not
 learned from and not held out; equal rows get equal results; an empty table gives an
 empty result. Other columns are kept, except those named like a result column.
@@ -19,7 +20,6 @@ empty result. Other columns are kept, except those named like a result column.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ship import shipped
+
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -185,7 +186,7 @@ def predict(texts: pa.Array, model: ByteCnn, tables: dict[int, list[np.ndarray]]
 
     for row, item in enumerate(texts):
         text = item.as_py()
-        if model.labels and text is not None and LETTER.search(text):
+        if model.labels and text is not None and any(map(str.isalpha, text)):
             held.append((row, text.encode().translate(LOWER)))
             size += len(text)
             if size >= 1 << 18:
@@ -218,6 +219,7 @@ def remainder(id_column: str, divisor: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % divisor
 
 
+@shipped
 def train(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
     held_out: tuple[int, int] = (3, 1), settings: Settings | None = None,
@@ -226,20 +228,16 @@ def train(
     s = settings or Settings()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang"))
     pool = plain.where(remainder("id", held_out[0]) != held_out[1]).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    place = F.xxhash64("id").alias("place")
-    ids = pool.select("lang", place)
-    # Of each label, about four times as many rows as needed, by their hash; the exact rank is taken among these.
-    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
-    unit = F.shiftrightunsigned("place", 11) / F.lit(float(1 << 53))
-    share = F.lit(0.0)
-    for label, count in counts.items():
-        share = F.when(F.col("lang") == label, 4.0 * s.per_label / count).otherwise(share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 11), "place"))
-    chosen = ids.where(unit < share).withColumn("rank", rank).where(F.col("rank") <= s.per_label).select("lang", "place")
+    place = F.xxhash64("id", "text").alias("place")
+    # Equal rows are one place, and partial results of the distinct and of the ranks come before their shuffles.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    ranked = pool.select("lang", place).distinct().withColumn("rank", rank)
+    chosen = ranked.where(F.col("rank") <= s.per_label).select("lang", "place")
     spread = (
         pool.withColumn("place", place)
-        .join(F.broadcast(chosen.distinct()), ["lang", "place"], "left_semi")  # per_label rows per label
+        .join(F.broadcast(chosen), ["lang", "place"], "left_semi")  # per_label rows per label
         .select("place", "lang", "text")
+        .dropDuplicates(["lang", "place"])
         .mapInArrow(lambda batches: _spread(batches, s.window, s.windows), "id long, lang string, data binary")
     )
     rows = sorted((r["lang"], r["id"], bytes(r["data"])) for r in spread.collect())
@@ -263,6 +261,7 @@ def _found(model: ByteCnn, text_column: str) -> Column:
     return F.arrow_udf(run, "struct<lang string, score double>")(text_column).alias("__found")
 
 
+@shipped
 def identify(docs: DataFrame, model: ByteCnn, text_column: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -270,8 +269,15 @@ def identify(docs: DataFrame, model: ByteCnn, text_column: str = "text") -> Data
     return found.select(*kept, F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
 
 
-def drop_unknown(docs: DataFrame, model: ByteCnn, text_column: str = "text", min_score: float = 0.3) -> DataFrame:
-    """``docs`` without texts that have no letter or no label of ``min_score`` or more."""
+@shipped
+def drop_unknown(docs: DataFrame, model: ByteCnn, text_column: str = "text", excess: float = 0.2) -> DataFrame:
+    """``docs`` without texts that have no letter, or whose best label scores less than ``1 + excess`` times an even share.
+
+    If nothing could be learned, every text with a letter stays.
+    """
     found = docs.select("*", _found(model, text_column))
-    known = (F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= min_score)
+    if model.labels:
+        known = (F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= min(1.0, (1 + excess) / len(model.labels)))
+    else:
+        known = F.col(text_column).rlike(r"\p{L}")
     return found.where(known).drop("__found")

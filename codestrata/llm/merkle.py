@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stores import materialize
+from .ship import shipped
 
 SIZE = 32
 
@@ -164,6 +165,7 @@ def _completed(stages: list[DataFrame], above: DataFrame, height: int) -> DataFr
     return above.drop("root_here")
 
 
+@shipped
 def manifest(docs: DataFrame, tree: Column, key: Column, leaf: Column, carried: dict[str, Column] | None = None, height: int = 12) -> DataFrame:
     """Every row with its place in the manifest.
 
@@ -189,6 +191,7 @@ def manifest(docs: DataFrame, tree: Column, key: Column, leaf: Column, carried:
     )
 
 
+@shipped
 def folded(rows: DataFrame, leaf_column: str = "leaf") -> DataFrame:
     """``rows`` of a manifest with ``folded_root``: what the given leaf leads to by the row's witness."""
 

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import shipped
 from .words import mixed, word_hashes
 
 WIDE, SKETCH = 16, 128
@@ -159,6 +160,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+@shipped
 def with_next(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_rows: int = 2000, max_blocks: int = 1 << 16
 ) -> DataFrame:

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import shipped
+
 BLANK = "▁"
 FINE = re.compile(f"{BLANK}*(?:[^\\W\\d_²³¹º¼-¾]+|(?:[^\\w{BLANK}\n]|[\\d_²³¹º¼-¾])+)|{BLANK}+|\n")
 COARSE = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -226,6 +228,7 @@ def _segmented(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator
             yield pa.RecordBatch.from_arrays([names, *(pa.array(rows[k], t) for k, t in types.items())], names=["id", *types])
 
 
+@shipped
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None, n: int = 4) -> DataFrame:
     """``id, rank, score, n_pieces, ids`` (little-endian unsigned 32-bit): up to n rows per text."""
     path = model or default_model()
@@ -234,6 +237,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return plain.mapInArrow(lambda b: _segmented(b, path, n), f"id {kind}, rank long, score double, n_pieces long, ids binary")
 
 
+@shipped
 def decode(encoded: DataFrame, ids_column: str = "ids", model: str | None = None) -> DataFrame:
     """``encoded`` with the decoded text."""
     path = model or default_model()

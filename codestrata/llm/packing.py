@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import shipped
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -206,6 +208,7 @@ def _packed(
         yield flush()
 
 
+@shipped
 def pack(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None,
     capacity: int = 2048, end: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 20,

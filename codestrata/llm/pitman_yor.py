@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import shipped
 from .words import mixed, word_hashes
 
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
@@ -436,6 +437,7 @@ def _collected(table: pa.Table, corpus: Corpus, kind: pa.DataType) -> pa.Table:
     return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+@shipped
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] = (5, 1), settings: Settings | None = None) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stores import materialize
 from .components import connected
+from .ship import shipped
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -208,6 +209,7 @@ def _masks(max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+@shipped
 def fingerprint_links(values: DataFrame, max_bits: int = 4, segment: int = 1024) -> DataFrame:
     """Spanning links ``a, b`` of a table of distinct fingerprints (long column fp)."""
     if not 0 <= max_bits < BLOCKS:
@@ -226,6 +228,7 @@ def fingerprint_links(values: DataFrame, max_bits: int = 4, segment: int = 1024)
     return groups.mapInArrow(lambda batches: _joined(batches, max_bits), "a long, b long")
 
 
+@shipped
 def simhash_classes(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, max_bits: int = 4
 ) -> DataFrame:

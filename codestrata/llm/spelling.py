@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stores import materialize
+from .ship import shipped
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DIMENSIONS = 32
@@ -337,6 +338,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+@shipped
 def near_words(words: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``word, n_near, form_n, form``: number of near words and the most frequent of them, for words that have any."""
     s = settings or Settings()
@@ -372,6 +374,7 @@ def _roots(forms: DataFrame) -> DataFrame:
         ends = materialize(joined.select("word", F.coalesce("next", "root").alias("root")), "roots")
 
 
+@shipped
 def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", settings: Settings | None = None) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of every word of the vocabulary."""
     s = settings or Settings()

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stores import materialize
+from .ship import shipped
 
 GRAM = 64
 BLOCK = 1 << 20
@@ -403,6 +404,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.values())], names=["id", *rows])
 
 
+@shipped
 def removal_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     spans = removed_spans(docs, id_column, text_column, **options)
@@ -413,6 +415,7 @@ def removal_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+@shipped
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` with shortened texts; characters are removed whole, rows that lose all their text go."""
     spans = removed_spans(docs, id_column, text_column, **options)

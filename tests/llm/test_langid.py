@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from codestrata.llm import langid
 
 SMALL = langid.Settings(window=16, widths=(2, 3, 4), filters=3, embedding=4, per_label=40, epochs=6, batch=16)
@@ -112,3 +114,42 @@ def test_rows_without_letters_take_no_places(spark):
     settings = langid.Settings(window=32, per_label=8, epochs=1)
     model = langid.train(found, settings=settings)
     assert model.labels == ["aa", "bb", "cc"]
+
+
+def test_signs_that_are_no_letters(spark):
+    model = langid.ByteCnn(["aa"], SMALL).train(np.zeros((4, 16), np.uint8), np.zeros(4, int))
+    texts = ["\u00bd", "\u00b2", "\u2460", "\u2167", "\u00bd \u00b2 \u2460 \u2167 12", "\u00aa", "\u4f60", "\u0301"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert [found[k] for k in range(len(texts))] == ["und"] * 5 + ["aa", "aa", "und"]
+    learned = docs.withColumn("lang", F.lit("bb"))
+    assert sorted(r["doc_id"] for r in langid.drop_unknown(learned, langid.ByteCnn([], SMALL)).collect()) == [5, 6]
+
+
+def test_repeated_ids_and_rows_are_bounded(spark):
+    plain = rows(5, 90)
+    for name in (0, 3, 5, 9):  # whatever their hash
+        copies = [(name, plain[0][1], "aa")] * 3000 + [(name, f"{plain[0][1]} {k}", "aa") for k in range(3000)]
+        docs = spark.createDataFrame(plain + copies, "doc_id long, text string, lang string").repartition(4)
+        seen = []
+        model = langid.ByteCnn.train
+
+        def count(self, x, y, model=model, seen=seen):
+            seen.append(np.bincount(y))
+            return self
+
+        langid.ByteCnn.train = count
+        try:
+            found = langid.train(docs, settings=langid.Settings(window=32, per_label=8, windows=2, epochs=1))
+        finally:
+            langid.ByteCnn.train = model
+        assert found.labels == ["aa", "bb", "cc"]
+        assert max(seen[0]) <= 8 * 2
+
+
+def test_equal_scores_and_a_long_text():
+    model = langid.ByteCnn(["aa", "bb"], SMALL)
+    for k in model.weights:
+        model.weights[k][:] = 0
+    texts = ["text", "x" * (1 << 19), "\u00e4 " * (1 << 18), "one"]
+    assert langid.predict(pa.array(texts), model, model.tables()).to_pylist() == [{"lang": "aa", "score": 0.5}] * 4

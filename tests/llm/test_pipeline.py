@@ -78,31 +78,3 @@ def test_extra_columns_with_clashing_names(spark):
         docs = spark.createDataFrame((out := stage(spark, docs, "")).collect(), out.schema)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "key", "fp"], name
     assert pipeline.pack(spark, docs, "").count() > 0
-
-
-def test_near_copies_edited_by_a_few_words(spark):
-    rng = random.Random(11)
-    rows, pairs = [], 0
-    for k in range(40):
-        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
-        rows.append((10 * k, " ".join(words)))
-        for j in range(1, 4):  # edits of the copies before, so groups are chains too
-            words = list(words)
-            for _ in range(rng.randint(1, 1 + len(words) // 40)):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
-            rows.append((10 * k + j, " ".join(words)))
-    rows += [(1000, "one two"), (1001, "ONE  two"), (1002, "one two three")]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
-    label = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                pairs += sets[a] != sets[b]
-                old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = [new if x == old else x for x in label]
-    docs = spark.createDataFrame([(*r, "aa", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = sorted(r["doc_id"] for r in pipeline.near_copies(spark, docs, "").collect())
-    assert pairs > 40
-    assert kept == sorted(rows[k][0] for k in set(label))
-    small = pipeline.copies.drop_near_copies(docs, width=5, least=0.8, segment=2)
-    assert sorted(r["doc_id"] for r in small.collect()) == kept
