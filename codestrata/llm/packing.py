@@ -46,16 +46,17 @@ class WordTokenizer:
     """Ids of texts, equal to those of the tokenizer file, with remembered words.
 
     The tokenizer drops white space and merges inside its words only, so ids are
-    looked up word by word. Texts with characters beyond U+02FF, or with signs that
-    the two pattern languages class differently, go to the tokenizer as they are.
-    At most ``remembered`` words are kept.
+    looked up for what stands between white space, and where that is new word by
+    word. Texts with characters beyond U+02FF, or with signs that the two pattern
+    languages class differently, go to the tokenizer as they are. About
+    ``remembered`` units and words are kept.
     """
 
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
     ODD = re.compile("[^\u0000-˿]|[\x1c-\x1f\x85ª²³¹º¼-¾İ]")
     END = "</w>"
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,6 +66,7 @@ class WordTokenizer:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith(self.END)]] = True
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.remembered = remembered
 
     def plain(self, text: str) -> np.ndarray:
@@ -82,26 +84,42 @@ class WordTokenizer:
             parts = [self.plain(w).tobytes() for w in words]
         self.known.update(zip(words, parts, strict=True))
 
+    def _add(self, units: list[str]) -> None:
+        """Ids of units that are not known, from those of their words."""
+        split = [self.WORDS.findall(u) for u in units]
+        missing = {w for words in split for w in words if w not in self.known}
+        if missing:
+            if len(self.known) + len(missing) > self.remembered:
+                missing = {w for words in split for w in words}
+            self._learn(list(missing))
+        if len(self.units) + len(units) > self.remembered:
+            self.units.clear()
+        self.units.update((u, b"".join([self.known[w] for w in words])) for u, words in zip(units, split, strict=True))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
-            split = [self._words(t or "") for t in texts[at : at + 64]]
-            known = self.known
-            missing = {w for words in split if words is not None for w in words if w not in known}
-            if missing:
-                everything = missing if len(known) + len(missing) <= self.remembered else {w for ws in split if ws for w in ws}
-                self._learn(list(everything))
-            for text, words in zip(texts[at : at + 64], split, strict=True):
-                if words is None:
+            split = [self._split(t or "") for t in texts[at : at + 64]]
+            units = [u for own in split if own for u in own]
+            found = list(map(self.units.get, units))
+            if None in found:
+                new = {u for u, ids in zip(units, found, strict=True) if ids is None}
+                self._add(list(new))  # after this the new ones are known; others may be forgotten
+                found = [self.units[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+            end = 0
+            for text, own in zip(texts[at : at + 64], split, strict=True):
+                if own is None:
                     out.append(self.plain(text))
                 else:
-                    out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32))
+                    out.append(np.frombuffer(b"".join(found[end : end + len(own)]), np.int32))
+                    end += len(own)
         return out
 
-    def _words(self, text: str) -> list[str] | None:
-        if self.ODD.search(text) or self.special.search(text):
+    def _split(self, text: str) -> list[str] | None:
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.ODD.search(text)
+        if odd or self.special.search(text):
             return None
-        return self.WORDS.findall(text.lower())
+        return text.lower().split()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -177,12 +195,19 @@ def _packed(
 
     def flush() -> pa.RecordBatch:
         """The pieces so far; documents with tokens that still wait stay."""
-        pieces, packer.pieces = packer.pieces, []
-        rows = [pa.array([names[p[0]] for p in pieces], kind)]
-        rows += [pa.array([p[k] for p in pieces], pa.int64()) for k in (1, 2)]
-        rows.append(pa.array([len(ids[p[0]]) for p in pieces], pa.int64()))
-        rows += [pa.array([p[3] + base for p in pieces], pa.int64()), pa.array([p[4] for p in pieces], pa.int64())]
-        rows.append(pa.array([ids[p[0]][p[1] : p[1] + p[2]].tobytes() for p in pieces], pa.binary()))
+        pieces = np.array(packer.pieces, dtype=np.int64).reshape(-1, 5)
+        packer.pieces = []
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        document, start, length, sequence, offset = pieces.T
+        # The ids of all pieces, one after the other, from the ids of all documents.
+        ends = np.cumsum(length)
+        first = (np.cumsum(sizes) - sizes)[document] + start
+        data = np.concatenate([*ids, np.zeros(0, "<u4")])[np.arange(int(length.sum())) + np.repeat(first - ends + length, length)]
+        cuts = pa.array(np.r_[0, 4 * ends], pa.int64())
+        packed = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, cuts.buffers()[1], pa.py_buffer(data.tobytes())])
+        rows = [pa.array(names, kind).take(pa.array(document))]
+        rows += [pa.array(c) for c in (start, length, sizes[document], sequence + base, offset)]
+        rows.append(packed.cast(pa.binary()))
         kept = sorted({p[0] for p in packer.left})
         place = {d: k for k, d in enumerate(kept)}
         ids[:], names[:] = [ids[d] for d in kept], [names[d] for d in kept]
