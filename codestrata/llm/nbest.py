@@ -9,13 +9,14 @@ written as bytes.
 
 No piece of a vocabulary crosses certain boundaries (checked when the model is
 loaded), so the lattice of a text is a chain of small ones. Each is solved once and
-remembered, at most ``remembered`` of them: by its best score, its second best score
-and the best pieces. Only the n - 1 links of the chain whose second way costs least
+remembered by its best score, its second best score and the best pieces; of at most
+``remembered`` of them, those not asked for lately are forgotten. Only the n - 1 links of the chain whose second way costs least
 can differ from their best within the n best of the text; for those the search runs,
 and their ways are merged. The order among equal scores is fixed by the text.
 
-Texts are narrow work: one Arrow function per batch, no shuffle. The model file is
-named by a parameter and has to be at that path on every executor.
+Texts are narrow work: one Arrow function per batch, no shuffle; a segmentation may be
+decoded in the task that made it. The model file is named by a parameter and has to be
+at that path on every executor.
 
 Defined results: a null or empty text has one segmentation without pieces; like the
 library, decoding turns the block sign U+2581 of a text into a blank; very long
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +41,8 @@ from .ship import shipped
 BLANK = "▁"
 FINE = re.compile(f"{BLANK}*(?:[^\\W\\d_²³¹º¼-¾]+|(?:[^\\w{BLANK}\n]|[\\d_²³¹º¼-¾])+)|{BLANK}+|\n")
 COARSE = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+#: Lines and blanks cut a text into these; fine units cut them further.
+WIDE = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
 
 def default_model() -> str:
@@ -67,10 +70,28 @@ class Best(NamedTuple):
     more: float
 
 
+class Memory(dict):
+    """What was made for a unit; of about ``most`` the half that was not asked for lately is forgotten."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.half, self.older = make, max(1, most // 2), {}
+
+    def __missing__(self, unit: str):
+        found = self.older.get(unit)
+        if found is None:
+            found = self.make(unit)
+        if len(unit) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Lattice:
     """Pieces of one model and the n best ways through texts."""
 
-    def __init__(self, path: str, n: int = 4, remembered: int = 900_000):
+    def __init__(self, path: str, n: int = 4, remembered: int = 600_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -85,9 +106,23 @@ class Lattice:
         self.openings = {p[:k]: self.packed.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.units = FINE if all(FINE.findall(p) == [p] for p in self.pieces) else COARSE
-        self.n, self.remembered = n, remembered
-        self.known: dict[str, Best] = {}
-        self.solved: dict[str, list[Way]] = {}
+        #: Pieces by their signs: what follows, score and id if the beginning is a piece itself.
+        self.trie: dict = {}
+        for piece, (score, data) in self.packed.items():
+            node, children = None, self.trie
+            for sign in piece:
+                if node is not None:
+                    node[0] = children = node[0] or {}
+                node = children.setdefault(sign, [None, None, None])
+            node[1:] = score, data
+        #: What an id stands for by itself, as UTF-8: pieces and ASCII bytes; others (length 0) depend on their neighbours.
+        signs = {i: p.replace(BLANK, " ") for p, (i, _) in self.pieces.items()} | {i: chr(b) for b, i in self.bytes.items() if b < 128}
+        signs = [signs.get(i, "").encode() for i in range(m.get_piece_size())]
+        self.lengths = np.array([len(x) for x in signs])
+        self.starts, self.signs = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(signs), np.uint8)
+        self.n = n
+        self.known, self.solved = Memory(self.best, remembered), Memory(self.solve, remembered // 8)
+        self.joined = Memory(self._join, remembered)
 
     # --- one small lattice
 
@@ -114,36 +149,35 @@ class Lattice:
         low = float("-inf")
         size = len(text)
         first, second = [0.0] + [low] * size, [low] * (size + 1)
-        back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
-        get, none = self.openings.get, self
+        back, by = [0] * (size + 1), [b""] * (size + 1)
+        root = self.trie.get
         for start in range(size):
             one, two = first[start], second[start]
+            further, score, data = root(text[start]) or (None, None, None)
+            if data is None:
+                score, data = self._unknown(text[start])
             end = start + 1
-            found = get(text[start], none)
-            if found is none or found is None:
-                edge, open_ = self._unknown(text[start]), found is None
-            else:
-                edge, open_ = found, True
             while True:
-                if edge is not None:
-                    score, data = edge
-                    total = one + score
-                    if total > first[end]:
-                        first[end], second[end], back[end] = total, first[end], (start, data)
-                    elif total > second[end]:
-                        second[end] = total
-                    if two + score > second[end]:
-                        second[end] = two + score
-                end += 1
-                if not open_ or end > size:
+                if data is not None:
+                    total, other, best = one + score, two + score, first[end]
+                    if total > best:
+                        first[end], back[end], by[end] = total, start, data
+                        total = best
+                    if total > other:
+                        other = total
+                    if other > second[end]:
+                        second[end] = other
+                if end == size or further is None:
                     break
-                edge = get(text[start:end], none)
-                if edge is none:
+                node = further.get(text[end])
+                if node is None:
                     break
+                further, score, data = node
+                end += 1
         out, place = [], size
         while place:
-            place, data = back[place]
-            out.append(data)
+            out.append(by[place])
+            place = back[place]
         return Best(first[size], b"".join(out[::-1]), first[size] - second[size])
 
     def solve(self, text: str) -> list[Way]:
@@ -166,42 +200,70 @@ class Lattice:
 
     # --- texts
 
-    def _remember(self, where: dict, unit: str, make) -> Best | list[Way]:
-        found = where.get(unit)
-        if found is None:
-            found = make(unit)
-            if len(unit) <= 64:
-                if len(where) >= self.remembered:
-                    where.clear()
-                where[unit] = found
-        return found
+    def _join(self, unit: str) -> Best:
+        """Best way through several small lattices; the second one differs in the link where that costs least."""
+        parts = [self.known[u] for u in FINE.findall(unit)]
+        if len(parts) == 1:
+            return parts[0]
+        scores, data, more = zip(*parts, strict=True)
+        return Best(sum(scores), b"".join(data), min(more))
+
+    def _split(self, text: str) -> list[str]:
+        """Wide units of a text."""
+        if "  " in text or BLANK in text or text[0] == " ":
+            return WIDE.findall(BLANK + text.replace(" ", BLANK))
+        out: list[str] = []
+        for k, line in enumerate((BLANK + text.replace(" ", " " + BLANK)).split("\n")):
+            if k:
+                out.append("\n")
+            if line:
+                out += line.removeprefix(" ").split(" ")
+        return out
 
     def ways(self, text: str | None) -> list[Way]:
         """The n best segmentations of a whole text."""
         if not text:
             return [Way(0.0, b"")]
-        units = self.units.findall(BLANK + text.replace(" ", BLANK))
-        try:
-            parts = [self.known[u] for u in units]
-        except KeyError:
-            parts = [self._remember(self.known, u, self.best) for u in units]
+        if self.units is FINE:
+            units = self._split(text)
+            parts = list(map(self.joined.__getitem__, units))
+        else:
+            units = self.units.findall(BLANK + text.replace(" ", BLANK))
+            parts = list(map(self.known.__getitem__, units))
         data = [p[1] for p in parts]
         total = sum([p[0] for p in parts])
-        several = np.argsort(np.array([p[2] for p in parts]), kind="stable")[: self.n - 1]
+        more = np.array([p[2] for p in parts])
+        several = np.arange(len(parts))
+        if len(parts) >= self.n:
+            several = np.flatnonzero(more <= np.partition(more, self.n - 2)[self.n - 2]) if self.n > 1 else several[:0]
+        several = several[np.argsort(more[several], kind="stable")][: self.n - 1]
         merged: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        lists = {k: self._remember(self.solved, units[k], self.solve) for k in sorted(several.tolist())}
+        lists = {k: self.solved[units[k]] for k in sorted(several.tolist())}
         for k, ways in lists.items():
             lost = [(ways[0].score - w.score, j) for j, w in enumerate(ways)]
             merged = sorted((a + b, (*choice, (k, j))) for a, choice in merged for b, j in lost)[: self.n]
+        # Ways differ in few places from the best one.
+        whole = b"".join(data)
+        ends = {k: sum(map(len, data[:k])) for k in lists}
         out = []
         for less, choice in merged:
+            at, changed = 0, []
             for k, j in choice:
-                data[k] = lists[k][j].data
-            out.append(Way(total - less, b"".join(data)))
+                if j:
+                    changed += [whole[at : ends[k]], lists[k][j].data]
+                    at = ends[k] + len(data[k])
+            out.append(Way(total - less, b"".join([*changed, whole[at:]])))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.model.decode(ids)
+    def decode(self, ids: np.ndarray) -> str:
+        """Signs of the ids one after the other; texts with parts of a character go to the library."""
+        sizes = self.lengths[ids]
+        if not sizes.all():
+            return self.model.decode(ids.tolist())
+        ends = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[ids] - ends + sizes, sizes)
+        text = self.signs[at].tobytes().decode()
+        return text[1:] if text.startswith(" ") else text
 
 
 _LATTICES: dict[tuple[str, int], Lattice] = {}
@@ -213,28 +275,35 @@ def lattice_of(path: str, n: int) -> Lattice:
     return _LATTICES[path, n]
 
 
-def _segmented(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
+def _decoded(lattice: Lattice, data: bytes) -> str:
+    return lattice.decode(np.frombuffer(data, "<u4"))
+
+
+def _segmented(batches: Iterator[pa.RecordBatch], path: str, n: int, decoded: bool) -> Iterator[pa.RecordBatch]:
     lattice = lattice_of(path, n)
+    types = {"rank": pa.int64(), "score": pa.float64(), "n_pieces": pa.int64(), "ids": pa.binary()} | ({"text": pa.string()} if decoded else {})
     for batch in batches:
         for at in range(0, batch.num_rows, 32):
             part = batch.slice(at, 32)
-            rows: dict[str, list] = {"row": [], "rank": [], "score": [], "n_pieces": [], "ids": []}
+            rows: list[tuple] = []
             for row, text in enumerate(part.column(1).to_pylist()):
                 for rank, way in enumerate(lattice.ways(text), 1):
-                    for name, value in zip(rows, (row, rank, way.score, len(way.data) // 4, way.data), strict=True):
-                        rows[name].append(value)
-            names = part.column(0).take(pa.array(rows.pop("row"), pa.int64()))
-            types = {"rank": pa.int64(), "score": pa.float64(), "n_pieces": pa.int64(), "ids": pa.binary()}
-            yield pa.RecordBatch.from_arrays([names, *(pa.array(rows[k], t) for k, t in types.items())], names=["id", *types])
+                    rows.append((row, rank, way.score, len(way.data) // 4, way.data, *([_decoded(lattice, way.data)] if decoded else [])))
+            columns = dict(zip(("row", *types), zip(*rows, strict=True), strict=True))
+            names = part.column(0).take(pa.array(columns["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([names, *(pa.array(columns[k], t) for k, t in types.items())], names=["id", *types])
 
 
 @shipped
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None, n: int = 4) -> DataFrame:
-    """``id, rank, score, n_pieces, ids`` (little-endian unsigned 32-bit): up to n rows per text."""
+def encode(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None, n: int = 4, decoded: bool = False
+) -> DataFrame:
+    """``id, rank, score, n_pieces, ids`` (little-endian unsigned 32-bit): up to n rows per text; with ``decoded`` also ``text``, what the ids stand for."""
     path = model or default_model()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = dict(plain.dtypes)["id"]
-    return plain.mapInArrow(lambda b: _segmented(b, path, n), f"id {kind}, rank long, score double, n_pieces long, ids binary")
+    more = ", text string" if decoded else ""
+    return plain.mapInArrow(lambda b: _segmented(b, path, n, decoded), f"id {kind}, rank long, score double, n_pieces long, ids binary{more}")
 
 
 @shipped
@@ -244,7 +313,7 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model: str | None = None
 
     def run(packed: pa.Array) -> pa.Array:
         lattice = lattice_of(path, 1)
-        return pa.array([None if v is None else lattice.decode(np.frombuffer(v, "<u4").tolist()) for v in packed.to_pylist()], pa.string())
+        return pa.array([None if v is None else _decoded(lattice, v) for v in packed.to_pylist()], pa.string())
 
     kept = [c for c in encoded.columns if c != "text"]
     return encoded.select(*kept, F.arrow_udf(run, "string")(ids_column).alias("text"))

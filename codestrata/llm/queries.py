@@ -94,7 +94,7 @@ ORACLE_SQL["op5_sentence_span_dedup"] = sentence_spans.oracle(run=3, min_chars=6
 @register
 def op6_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every document, and the digest of what each is decoded to."""
-    found = nbest.decode(nbest.encode(_table(spark, sf_dir, "documents"), n=4))
+    found = nbest.encode(_table(spark, sf_dir, "documents"), n=4, decoded=True)
     return found.select(
         F.col("id").alias("doc_id"), "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.md5("text").alias("decoded_md5")
     )

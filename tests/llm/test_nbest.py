@@ -42,7 +42,7 @@ def test_scores_equal_brute_force_and_decode(lattice, text):
     assert [w.score for w in ways] == brute(lattice, text, 4)
     assert len({w.ids for w in ways}) == len(ways)
     for way in ways:
-        assert lattice.decode(list(way.ids)) == text.replace(nbest.BLANK, " ")
+        assert lattice.decode(np.array(way.ids, int)) == text.replace(nbest.BLANK, " ")
 
 
 def test_random_texts(lattice):
@@ -88,3 +88,30 @@ def test_query_decodes_every_segmentation(spark, tmp_path):
     texts = {name: (text or "").replace(nbest.BLANK, " ") for name, text in rows}
     assert {r["doc_id"] for r in found} == set(texts)
     assert all(r["decoded_md5"] == hashlib.md5(texts[r["doc_id"]].encode()).hexdigest() for r in found)
+
+
+def test_decode_equals_the_library(lattice):
+    rng = random.Random(6)
+    for _ in range(300):
+        ids = [rng.randrange(lattice.model.get_piece_size()) for _ in range(rng.randint(0, 6))]
+        ids = [rng.choice([*ids, lattice.bytes[10], lattice.bytes[200], lattice.pieces[nbest.BLANK][0]]) for _ in ids]
+        assert lattice.decode(np.array(ids, int)) == lattice.model.decode(ids)
+
+
+def test_memory_forgets_what_is_not_asked_for():
+    made = []
+    memory = nbest.Memory(lambda u: made.append(u) or u.upper(), 4)
+    for unit in "ababcabdae":
+        assert memory[unit] == unit.upper()
+        assert len(memory) + len(memory.older) <= 4
+    assert made.count("a") == 1 and memory["x" * 65] == "X" * 65 and "x" * 65 not in memory
+
+
+def test_wide_units_are_made_of_fine_ones(lattice):
+    rng = random.Random(7)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", ".", nbest.BLANK, "é1"]) for _ in range(rng.randint(1, 12)))
+        whole = nbest.BLANK + text.replace(" ", nbest.BLANK)
+        units = lattice._split(text)
+        assert units == nbest.WIDE.findall(whole) and "".join(units) == whole
+        assert [u for x in units for u in nbest.FINE.findall(x)] == nbest.FINE.findall(whole)
