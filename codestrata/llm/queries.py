@@ -81,14 +81,18 @@ def op3_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS).withColumn("slot", F.col("slot").cast("long"))
 
 
+#: Production setting of op5: any punctuation ends a sentence of 25 characters or more.
+SENTENCES = {"ends": ".!?\n,;:", "least": 25}
+
+
 @register
 def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses when later runs of three sentences are removed."""
-    found = sentence_spans.remove_repeats(_table(spark, sf_dir, "documents"), run=3, min_chars=0)
+    found = sentence_spans.remove_repeats(_table(spark, sf_dir, "documents"), run=3, **SENTENCES)
     return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", F.md5("kept").alias("kept_md5"))
 
 
-ORACLE_SQL["op5_sentence_span_dedup"] = sentence_spans.oracle(run=3, min_chars=60)
+ORACLE_SQL["op5_sentence_span_dedup"] = sentence_spans.oracle(run=3, **SENTENCES)
 
 
 @register

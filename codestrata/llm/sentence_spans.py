@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans, with built-in functions only.
 
-A sentence ends after a run of ``.``, ``!``, ``?`` or line ends and the blanks that
-follow. Every run of ``run`` consecutive sentences with at least ``min_chars``
-characters is hashed; a run that also occurs earlier in the corpus (smaller id,
-then place) takes its sentences away. The first occurrence always stays.
+A sentence ends after a run of signs (``ends``) and the blanks that follow, but not
+within its first ``least`` characters: what is shorter, as a lone sign, a number, a blank
+line or an interjection, belongs to the sentence it opens. Every run of ``run``
+consecutive sentences is hashed; a run that also occurs earlier in the corpus (smaller
+id, then place) takes its sentences away. The first occurrence always stays.
 
 First places are minima taken before the shuffle; the join back to all spans is an
 equality join of two written tables, so Spark can split a hash that very many
@@ -23,35 +24,39 @@ from pyspark.sql import functions as F
 from ..functions.text import bind
 from ..sources.stores import materialize
 
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
+ENDS = ".!?\n"
 BLANKS = " \t\r\n"
 
 
-def sentences(text: Column) -> Column:
+def pattern(ends: str, least: int) -> str:
+    """One sentence; the rest of the text where no end follows."""
+    return rf"[\s\S]{{{least}}}[^{ends}]*[{ends}]+[ \t\r\n]*|[\s\S]+"
+
+
+def sentences(text: Column, ends: str = ENDS, least: int = 0) -> Column:
     """Parts of the text; joined together they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern(ends, least)), F.lit(0))
 
 
-def _spans(parts: Column, run: int, min_chars: int) -> Column:
-    """Place and hash of every run of sentences that is long enough; the list of sentences is made once."""
+def _spans(parts: Column, run: int) -> Column:
+    """Place and hash of every run of sentences; the list of sentences is made once."""
 
     def of(clean: Column) -> Column:
         count = F.size(clean) - run + 1
         starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
         runs = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(clean, i + 1, run), " ").alias("words")))
-        long_enough = F.filter(runs, lambda x: F.length(x["words"]) >= min_chars)
-        return F.transform(long_enough, lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["words"])).alias("hash")))
+        return F.transform(runs, lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["words"])).alias("hash")))
 
     return bind(F.transform(parts, lambda x: F.trim(x, F.lit(BLANKS))), of)
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = 3, min_chars: int = 60
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = 3, ends: str = ENDS, least: int = 0
 ) -> DataFrame:
     """``id, n_sentences, n_removed, kept`` (the remaining text) of every row."""
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    keyed = plain.select("id", F.xxhash64("id", "text").alias("key"), sentences(F.col("text")).alias("parts"))
-    found = keyed.select("id", "key", F.explode(_spans(F.col("parts"), run, min_chars)).alias("span"))
+    keyed = plain.select("id", F.xxhash64("id", "text").alias("key"), sentences(F.col("text"), ends, least).alias("parts"))
+    found = keyed.select("id", "key", F.explode(_spans(F.col("parts"), run)).alias("span"))
     spans = materialize(found.select("id", "key", "span.pos", "span.hash"), "spans")
     place = F.struct(F.col("id").isNull(), "id", "key", "pos")
     firsts = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -70,18 +75,18 @@ def remove_repeats(
     )
 
 
-def oracle(run: int = 3, min_chars: int = 60) -> str:
+def oracle(run: int = 3, ends: str = ENDS, least: int = 0) -> str:
     """DuckDB text for the digest of ``remove_repeats`` over documents."""
-    pattern = SENTENCE.replace("\n", "\\n")
+    one = pattern(ends, least).replace("\n", "\\n")
     return f"""
 WITH parts AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS p FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{one}') AS p FROM documents),
 runs AS (
   SELECT doc_id, i, array_to_string([trim(x, e' \\t\\r\\n') FOR x IN p[i + 1 : i + {run}]], ' ') AS words
   FROM (SELECT doc_id, p, unnest(range(0, len(p) - {run} + 1)) AS i FROM parts)),
 later AS (
   SELECT doc_id, i FROM (
-    SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS k FROM runs WHERE length(words) >= {min_chars})
+    SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS k FROM runs)
   WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, range(0, {run}) t(d)),
 single AS (SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM parts),
