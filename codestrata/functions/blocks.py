@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from . import tokens
 from .text import bind, body_hash, matches, occurrences, whole_words, without_indent
 
 CONDITIONS = whole_words(*fixed.CONDITION_WORDS)
@@ -168,78 +169,47 @@ def python_functions(lines: Column) -> Column:
 
 
 def brace_ends(deltas: Column, total: Column) -> Column:
-    """Start and end lines of brace blocks, from one fold over a file's lines.
+    """Start and end lines of the brace blocks of a file, in order.
 
     ``deltas`` holds ``(n, delta, is_start)`` per line. A block ends on the first
     line after its start where the running depth is back at or below the depth
-    before the start; blocks still open at the end of the file end there.
+    before the start; blocks still open at the end of the file end there. Each start
+    finds its end in a table of range minima over the depths.
     """
-    pair = "array<struct<start:int,depth:int>>"
-    done = "array<struct<start:int,end:int>>"
-
-    def step(acc, x):
-        def close(depth: Column) -> Column:
-            closing = F.filter(acc["open"], lambda o: o["depth"] >= depth)
-            staying = F.filter(acc["open"], lambda o: o["depth"] < depth)
-            started = F.struct(x["n"].alias("start"), acc["depth"].alias("depth"))
-            return F.struct(
-                depth.alias("depth"),
-                F.when(x["is_start"], F.array_append(staying, started)).otherwise(staying).alias("open"),
-                F.when(
-                    F.exists(acc["open"], lambda o: o["depth"] >= depth),
-                    F.concat(
-                        acc["done"],
-                        F.transform(
-                            closing,
-                            lambda o: F.struct(o["start"].alias("start"), x["n"].alias("end")),
-                        ),
-                    ),
-                ).otherwise(acc["done"]).alias("done"),
-            )
 
-        quiet = (x["delta"] == 0) & ~x["is_start"] & (F.size(acc["open"]) == 0)
-        return F.when(quiet, acc).otherwise(bind(acc["depth"] + x["delta"], close))
+    def with_depths(depths: Column) -> Column:
+        return bind(F.struct(depths.alias("after"), tokens.range_minima(depths).alias("minima")), with_minima)
 
-    zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.array().cast(pair).alias("open"),
-        F.array().cast(done).alias("done"),
-    )
+    def with_minima(x: Column) -> Column:
+        starts = F.filter(deltas, lambda d: d["is_start"])
 
-    def finish(acc):
-        rest = F.transform(
-            acc["open"], lambda o: F.struct(o["start"].alias("start"), total.alias("end"))
-        )
-        return F.array_sort(F.concat(acc["done"], rest))
+        def block(start: Column) -> Column:
+            before = F.coalesce(F.get(x["after"], start["n"] - 2), F.lit(0))
+            end = tokens.first_at_most(x["minima"], start["n"], before) + 1
+            return F.struct(start["n"].alias("start"), F.least(end, total).alias("end"))
 
-    return F.aggregate(deltas, zero, step, finish)
+        return F.transform(starts, block)
+
+    return bind(tokens.running_sum(F.transform(deltas, lambda d: d["delta"])), with_depths)
 
 
 def java_functions(lines: Column) -> Column:
     """Methods and constructors of one Java file, in source order."""
-    types = F.filter(
+    # The type a line stands in is the one declared last: a value that is carried on line by line.
+    declared = tokens.inherited(
         F.transform(
             lines,
             lambda line, i: F.struct(
-                (i + 1).alias("n"),
-                F.when(
-                    matches(line, JAVA_TYPE_NAME), F.regexp_extract(line, JAVA_TYPE_NAME, 1)
-                ).alias("name"),
+                F.when(matches(line, JAVA_TYPE_NAME), F.regexp_extract(line, JAVA_TYPE_NAME, 1)).alias("value"),
+                F.when(i > 0, i - 1).alias("link"),
             ),
-        ),
-        lambda t: t["name"].isNotNull(),
+        )
     )
 
-    def with_types(declared: Column) -> Column:
-        def header(line: Column, n: Column) -> Column:
+    def with_types(types: Column) -> Column:
+        def header(line: Column, i: Column) -> Column:
             def parse(text: Column) -> Column:
-                current = F.element_at(
-                    F.concat(
-                        F.array(F.lit("")),
-                        F.transform(F.filter(declared, lambda t: t["n"] <= n), lambda t: t["name"]),
-                    ),
-                    -1,
-                )
+                current = F.coalesce(F.get(types, i), F.lit(""))
                 own = F.regexp_extract(text, JAVA_CONSTRUCTOR, 1)
                 method = F.regexp_extract(text, JAVA_METHOD, 1)
                 constructor = F.struct(
@@ -265,7 +235,7 @@ def java_functions(lines: Column) -> Column:
             lambda line, i: F.struct(
                 (i + 1).cast("int").alias("n"),
                 (char_count(line, "{") - char_count(line, "}")).alias("delta"),
-                header(line, i + 1).alias("head"),
+                header(line, i).alias("head"),
             ),
         )
         return bind(facts, with_facts)
@@ -292,4 +262,4 @@ def java_functions(lines: Column) -> Column:
             ),
         )
 
-    return bind(types, with_types)
+    return bind(declared, with_types)

@@ -1,20 +1,24 @@
 """TypeScript and JavaScript files, read lexically.
 
-Strings, templates and comments are blanked first (newlines stay), then calls,
-imports, function starts and blocks are found with patterns and folds over the
-lines of one file. Nothing here needs a syntax tree or a Python worker; README
-lists where a lexical reading differs from a parsed one.
+Strings, templates and comments are blanked first (newlines stay). Functions and
+calls are then found on the token stream of the whole file with its index of matching
+brackets: what stands before a parenthesis, and what follows its partner, tells a
+function from a call, however many lines or brackets lie between. Imports, exports
+and measures of a body are patterns and folds over lines. Nothing here needs a syntax
+tree or a Python worker; README lists where a lexical reading differs from a parsed one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from . import paths
+from . import paths, tokens
 from .blocks import line_slice
-from .text import bind, body_hash, keywords, matches, occurrences, whole_words, word_starts
+from .text import bind, body_hash, keywords, lines_of, matches, occurrences, whole_words, word_starts
 
 NAME = r"[A-Za-z_$][\w$]*"
 # Every character of a file belongs to exactly one piece. The possessive loops
@@ -29,33 +33,40 @@ PIECES = (
     r"|(?s:.)"
 )
 IMPORT = r"""(?m)^[ \t]*import([\s*{][^"';()]*)?["']([^"'\n]+)["']"""
-# A call on anything but a name (a call result, an element) keeps its leading dot.
-CALL = rf"(?<![\w$])((?:(?<!\.)\.)?{NAME}+(?:\??\.{NAME}+)*+)(?:<[^()]*?>)?\("
-DECLARED = rf"(?<![\w$.])function\s*\*?\s*{NAME}\s*(?=[<(])"
 MARKUP_TEXT = r">[^<>{}()=;\n]*</"
 MARKUP_OPEN = rf"(?m)(?:^|[(\[{{,;:?&|>=]|(?<!\w)return)\s*<(?:>|[A-Za-z][\w.]*(?:\s|/?>))"
 MARKUP_CLOSE = r"</|/>"
-TYPE_ARROW = r"=>\s*(?:void|string|number|boolean|unknown|any|never|Promise<[^()]*>)(\s*[;,)|}]|\s*$)"
-PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
-RETURN_TYPE = r"(?:\s*:\s*[^=(){};]+)?"
-START = (
-    rf"(?:(?:const|let|var)\s+{NAME}(?:\s*:[^=;]*)?\s*=\s*|{NAME}\s*:\s*)?(?:async\s+)?"
-    rf"(?:function\s*\*?\s*(?:{NAME})?\s*(?:<[^()]*>)?\s*\("
-    rf"|(?:(?:{PARENS}|\)){RETURN_TYPE}|{NAME})\s*=>)"
-)
+# Patterns on tokens with blanks between: what stands before a parenthesis, and what follows its partner.
+CHAIN = rf"(?<![^ ])((?:{tokens.NAME} (?:\.|\?\.) )*{tokens.NAME})((?: <[^()=;{{}}]*>)?(?: \?\.)?)$"
+FUNCTION = rf"(?<![^ ])(?:async )?function(?: \*)?(?: ({tokens.NAME}))?(?: <[^()]*>)?$"
 METHOD = (
-    rf"^\s*(?:(?:public|private|protected|static|override|async)\s+)*\*?\s*({NAME})\s*"
-    r"(?:<[^()]*>)?\([^()]*\)\s*(?::[^{}=]+)?\{"
+    r"(?<![^ ])((?:(?:public|private|protected|static|override|async|readonly|abstract|\*) )*)"
+    rf"({tokens.NAME})(?: <[^()]*>)?$"
 )
+ACCESSOR = rf"(?<![^ ])[gs]et {tokens.NAME}$"
+ASYNC_ARROW = r"(?<![^ ])(?:async(?: <[^()=;{}]*>)?|<[^()=;{}]*>)$"
+RETURN_TYPE = r"(?:: (?:[\w$.]+ < )?\{[^{}]*\}(?: >)?(?: \[ \])* |: [^=(){};]+ )?"
+TO_ARROW = rf"^{RETURN_TYPE}=>"
+TO_BLOCK = rf"^{RETURN_TYPE}\{{"
+VARIABLE = rf"(?<![^ ])(?:const|let|var) ({tokens.NAME})(?: : (?:[^=;]|=>)*?)? =$"
+PROPERTY = rf"(?:^|(?<![^ ])[{{,] )({tokens.NAME}) :$"
+EXPRESSION = (
+    r"(?<![^ ])(?:[(,=:?\[&|!+~]|=>|&&|\|\||\?\?|\.\.\.|return|await|yield|new|typeof|void|delete|in|of|case)$"
+)
+# A function type: after its arrow stands a type, and then what ends a type.
+PLAIN_TYPE = r"^=> (?:void|string|number|boolean|unknown|any|never|Promise < [^()]*>)(?: \[ \])*(?: [;,)|}=]|$)"
+ENDED_TYPE = r"^=> [\w$.]+(?: <[^()]*>)?(?: \[ \])* [;=]"
+TYPE_WORDS = ["void", "string", "number", "boolean", "unknown", "any", "never"]
+ALIAS = rf"(?<![^ ])type {tokens.NAME}(?: <[^()]*>)? =$"
 NOT_METHODS = [
     "if", "for", "while", "switch", "catch", "function", "constructor", "return", "else", "do",
-    "try", "with",
+    "try", "with", "await",
 ]
-METHOD_NAME = (
-    r"(?m)^([ \t]*(?:(?:public|private|protected|static|override|async)[ \t]+)*\*?[ \t]*)"
-    rf"(?!(?:{'|'.join(NOT_METHODS)})(?![\w$])){NAME}"
-    r"(?=[ \t]*(?:<[^()\n]*>)?\([^()\n]*\)[ \t]*(?::[^{}=\n]+)?\{)"
-)
+NOT_CALLED = [
+    "if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "yield", "delete", "void", "in", "of",
+    "new", "case", "do", "else", "throw", "instanceof", "with", "async", "constructor",
+]
+CONTINUES = [".", "?.", "&&", "||", "??", "?", ":", "+"]
 EXPORT = r"(?m)^export(?!\w)"
 EXPORT_LIST = r"(?m)^export\s+(?:type\s+)?\{([^{}]*)\}"
 EXPORT_ALL = r"(?m)^export\s*\*\s*from"
@@ -72,7 +83,6 @@ ELSE_IF = r"^\s*\}\s*else\s+if(?!\w)"
 TRY_CONTINUES = r"^\s*\}\s*(?:catch|finally)(?!\w)"
 TOP_LEVEL_FUNCTION = r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function(?!\w)"
 
-HEAD_TYPE = "struct<text:string,name:string,is_async:boolean>"
 CALL_TYPE = "struct<expression:string,kind:string,line:int,receiver:string,import_source:string>"
 
 
@@ -161,26 +171,245 @@ def export_count(code: Column) -> Column:
     return F.greatest(statements, names)
 
 
-def call_names(code: Column) -> Column:
-    """Called expressions; names of declared functions and methods are no calls."""
-    uses = F.regexp_replace(F.regexp_replace(code, DECLARED, "function "), METHOD_NAME, "$1")
-    joined = F.regexp_replace(
-        uses, rf'{fixed.QUERY_BUILDER_RECEIVER}\s*\.{fixed.QUERY_BUILDER_START}\(""\)\s*\.',
-        fixed.QUERY_BUILDER_RECEIVER + ".",
+# --- index of a file ----------------------------------------------------------------------
+
+
+def parens(texts: Column, found: Column) -> Column:
+    """Parentheses ``struct<i, p, q, before, after>``: place among the brackets, places of both signs among the tokens, what stands around."""
+
+    def around(b: Column, i: Column) -> Column:
+        close = F.get(found, b["partner"])["p"]
+        return F.struct(
+            i.alias("i"), b["p"].alias("p"), close.alias("q"),
+            tokens.words_before(texts, b["p"], 40).alias("before"),
+            tokens.words_from(texts, close + 1, 24).alias("after"),
+        )
+
+    known = F.transform(found, lambda b, i: F.when((b["sign"] == "(") & b["partner"].isNotNull(), around(b, i)))
+    return F.filter(known, lambda x: x.isNotNull())
+
+
+def _type_arrow(x: Column, paren: Column, arrow: Column, up: Column) -> Column:
+    """Whether ``(...) =>`` is a function type."""
+    texts, numbers = x["texts"], x["numbers"]
+    result = F.substring(paren["after"], F.length(F.regexp_extract(paren["after"], TO_ARROW, 0)) - 1, 1000)
+    annotated = F.get(texts, paren["p"] - 1) == ":"
+    last_on_line = F.get(texts, arrow + 1).isin(TYPE_WORDS) & (F.get(numbers, arrow + 2) > F.get(numbers, arrow + 1))
+    parent = F.get(x["brackets"], up)
+    # The parent's parenthesis lists parameters if a body or an arrow follows it, or a function word stands before it.
+    follows = tokens.words_from(texts, F.get(x["brackets"], parent["partner"])["p"] + 1, 24)
+    parameters = (parent["sign"] == "(") & (
+        follows.rlike(TO_ARROW) | follows.rlike(TO_BLOCK) | tokens.words_before(texts, parent["p"], 40).rlike(FUNCTION)
+    )
+    return (
+        matches(result, PLAIN_TYPE) | last_on_line | paren["before"].rlike(ALIAS)
+        | (annotated & (matches(result, ENDED_TYPE) | F.coalesce(parameters, F.lit(False))))
+    )
+
+
+def _chains(found: Column) -> Column:
+    """States for ``tokens.inherited``: for every closing bracket the last one of the expression it stands in."""
+
+    def state(x: Column) -> Column:
+        def one(b: Column, i: Column) -> Column:
+            following = F.get(x["brackets"], i + 1)
+            between = F.slice(x["texts"], b["p"] + 2, F.greatest(following["p"] - b["p"] - 1, F.lit(0)))
+            here = F.get(x["numbers"], b["p"] + 1) == b["n"]
+            goes_on = (
+                following["opens"] & following["partner"].isNotNull() & ~F.arrays_overlap(between, F.array(F.lit(","), F.lit(";"), F.lit("=>")))
+                & (here | F.get(x["texts"], b["p"] + 1).isin(CONTINUES))
+            )
+            return F.struct(
+                F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None).cast("int")).otherwise(i).alias("value"),
+                F.when(F.coalesce(goes_on, F.lit(False)), following["partner"]).alias("link"),
+            )
+
+        return F.transform(x["brackets"], one)
+
+    return state(found)
+
+
+def heads(x: Column, last: Column, known: Column | None = None) -> Column:
+    """Functions of an indexed file whose parameters stand in parentheses; with these (``known``) all in source order.
+
+    ``struct<start_p, end_p, start, end, kind, name, is_async, i, arrow>``; kind says how
+    the name was found, i is the place of the parameters among the brackets (null: a single name).
+    """
+    texts, numbers, found = x["texts"], x["numbers"], x["brackets"]
+    total = F.size(texts)
+
+    def named(stem: Column, own: Column) -> Column:
+        """kind and name from what stands before; own: the name of a declaration, else empty."""
+        variable, prop = F.regexp_extract(stem, VARIABLE, 1), F.regexp_extract(stem, PROPERTY, 1)
+        return (
+            F.when(variable != "", F.struct(F.lit("variable").alias("kind"), variable.alias("name")))
+            .when(prop != "", F.struct(F.lit("property").alias("kind"), prop.alias("name")))
+            .otherwise(F.struct(F.lit("own").alias("kind"), F.when(stem.rlike(EXPRESSION), "").otherwise(own).alias("name")))
+        )
+
+    def spanned(start: Column, end: Column, stem: Column, own: Column, is_async: Column, i: Column, arrow: Column) -> Column:
+        def build(name: Column) -> Column:
+            return F.struct(
+                start.alias("start_p"), F.coalesce(end, total).alias("end_p"), F.get(numbers, start).alias("start"),
+                F.get(numbers, end).alias("end"), name["kind"].alias("kind"), name["name"].alias("name"), is_async.alias("is_async"),
+                i.alias("i"), arrow.alias("arrow"),
+            )
+
+        return bind(named(stem, own), build)
+
+    def expression_end(arrow: Column, following: Column, last: Column) -> Column:
+        """Place of the last token of an arrow's body; following: place of the next bracket among the brackets."""
+        b = F.get(found, following)
+        between = F.slice(texts, arrow + 2, F.greatest(b["p"] - arrow - 1, F.lit(0)))
+        reaches = b["opens"] & b["partner"].isNotNull() & ~F.arrays_overlap(between, F.array(F.lit(","), F.lit(";")))
+        block = (b["sign"] == "{") & (b["p"] == arrow + 1)
+        end = F.when(block, b["partner"]).when(reaches, F.get(last, b["partner"]))
+        open_end = b["opens"] & (b["p"] == arrow + 1) & b["partner"].isNull()
+        return F.when(open_end, F.lit(None).cast("int")).otherwise(F.coalesce(F.get(found, end)["p"], F.least(arrow + 1, total - 1)))
+
+    def of_paren(paren: Column, last: Column) -> Column:
+        before, after = paren["before"], paren["after"]
+        to_arrow, to_block = F.regexp_extract(after, TO_ARROW, 0), F.regexp_extract(after, TO_BLOCK, 0)
+        function, method = F.regexp_extract(before, FUNCTION, 0), F.regexp_extract(before, METHOD, 0)
+        close = F.get(found, paren["i"])["partner"]
+        signs = lambda words: F.length(F.regexp_replace(words, r"[^(){}\[\]]", ""))
+        block_end = F.get(found, F.get(found, close + signs(to_block))["partner"])["p"]
+        up = F.get(x["parents"], paren["i"])
+        arrow = paren["q"] + tokens.word_count(to_arrow)
+
+        of_function = spanned(
+            paren["p"] - tokens.word_count(function),
+            F.when(to_block != "", block_end).otherwise(paren["q"]),
+            F.rtrim(F.regexp_replace(before, FUNCTION, "")), F.regexp_extract(before, FUNCTION, 1),
+            function.startswith("async"), paren["i"], F.lit(False),
+        )
+        tail = F.regexp_extract(before, ASYNC_ARROW, 0)
+        of_arrow = spanned(
+            paren["p"] - tokens.word_count(F.trim(tail)), expression_end(arrow, close + signs(to_arrow) + 1, last),
+            F.rtrim(F.regexp_replace(before, ASYNC_ARROW, "")), F.lit(""), tail.startswith("async"), paren["i"], F.lit(True),
+        )
+        of_method = spanned(
+            paren["p"] - tokens.word_count(method), block_end, F.lit(""), F.regexp_extract(before, METHOD, 2),
+            F.regexp_extract(before, METHOD, 1).rlike(r"(?<!\w)async(?!\w)"), paren["i"], F.lit(False),
+        )
+        is_method = (
+            (to_block != "") & (method != "") & ~F.regexp_extract(before, METHOD, 2).isin(NOT_METHODS)
+            & ~before.rlike(ACCESSOR) & (F.get(found, up)["sign"] == "{")
+        )
+        # Function types are found, too, and keep their arrows from being read as those of a single name.
+        return (
+            F.when(function != "", of_function)
+            .when(to_arrow != "", F.when(_type_arrow(x, paren, arrow, up), of_arrow.withField("kind", F.lit("type"))).otherwise(of_arrow))
+            .when(is_method, of_method)
+        )
+
+    def arrow_place(h: Column) -> Column:
+        paren_close = F.get(found, F.get(found, h["i"])["partner"])["p"]
+        return paren_close + tokens.word_count(F.regexp_extract(tokens.words_from(texts, paren_close + 1, 24), TO_ARROW, 0))
+
+    def single(arrow: Column, last: Column) -> Column:
+        before = tokens.words_before(texts, arrow - 1, 40)
+        following = tokens.first_at_least(x["places"], arrow)
+        is_async = F.get(texts, arrow - 2) == "async"
+        return spanned(
+            arrow - 1 - is_async.cast("int"), expression_end(arrow, following, last),
+            F.rtrim(F.regexp_replace(before, r"(?<![^ ])async$", "")), F.lit(""), is_async, F.lit(None).cast("int"), F.lit(True),
+        )
+
+    if known is None:
+        return F.filter(F.transform(x["parens"], lambda paren: of_paren(paren, last)), lambda h: h.isNotNull())
+    claimed = F.transform(F.filter(known, lambda h: h["arrow"]), arrow_place)
+    every = F.filter(F.transform(texts, lambda t, i: F.when(t == "=>", i)), lambda i: i.isNotNull())
+    free = F.filter(
+        F.array_except(every, claimed),
+        lambda i: F.get(texts, i - 1).rlike(f"^{tokens.NAME}$") & ~F.coalesce(F.get(texts, i - 2).isin(".", "|", "&", "is", "extends"), F.lit(False)),
+    )
+    return F.sort_array(F.concat(known, F.transform(free, lambda i: single(i, last))))
+
+
+def parameter_count(x: Column, i: Column) -> Column:
+    """Parameters between a parenthesis (its place among the brackets) and its partner; null means a single name."""
+    b = F.get(x["brackets"], i)
+    close = F.get(x["brackets"], b["partner"])["p"]
+    inside = F.array_join(F.slice(x["texts"], b["p"] + 2, F.greatest(close - b["p"] - 1, F.lit(0))), " ")
+    deepest = F.array_max(F.transform(F.slice(x["brackets"], i + 2, F.greatest(b["partner"] - i - 1, F.lit(0))), lambda c: c["level"]))
+    bare = F.replace(tokens.without_inner_brackets(inside, F.coalesce(deepest - b["level"], F.lit(0))), F.lit("=>"), F.lit("~"))
+    for _ in range(3):
+        bare = F.regexp_replace(bare, "<[^<>]*>", "x")
+    count = F.size(F.filter(F.split(bare, ","), lambda p: p.rlike(r"\S")))
+    return F.when(i.isNull(), F.lit(1)).otherwise(count)
+
+
+def _on_result(c: Column) -> Column:
+    return F.coalesce(c["previous"].isin(".", "?."), F.lit(False))
+
+
+def call_names(listed: Column, texts: Column) -> Column:
+    """Names right before parentheses: ``struct<i, p, start, previous, chain, tail>``."""
+
+    def own(paren: Column) -> Column:
+        start = paren["p"] - tokens.word_count(F.regexp_extract(paren["before"], CHAIN, 0))
+        return F.struct(
+            paren["i"].alias("i"), paren["p"].alias("p"), start.alias("start"), F.get(texts, start - 1).alias("previous"),
+            F.regexp_extract(paren["before"], CHAIN, 1).alias("chain"), F.trim(F.regexp_extract(paren["before"], CHAIN, 2)).alias("tail"),
+        )
+
+    return F.filter(F.transform(listed, own), lambda c: c["chain"] != "")
+
+
+def call_roots(found: Column, named: Column, places: Column) -> Column:
+    """States for ``tokens.inherited``: root name and start of each call, or the call on whose result it is made."""
+
+    def state(c: Column) -> Column:
+        before = F.get(found, c["i"] - 1)
+        linked = _on_result(c) & (before["sign"] == ")") & (before["p"] == c["start"] - 2) & before["partner"].isNotNull()
+        place = tokens.first_at_least(places, before["partner"])
+        first = F.substring_index(c["chain"], " ", 1)
+        no_root = _on_result(c) | first.isin("this", "super") | F.coalesce(c["previous"] == "new", F.lit(False))
+        root = F.struct(F.when(no_root, "").otherwise(first).alias("name"), c["start"].alias("start"))
+        link = F.when(F.coalesce(linked, F.lit(False)) & (F.get(places, place) == before["partner"]), place)
+        return F.struct(F.when(link.isNull(), root).alias("value"), link.alias("link"))
+
+    return F.transform(named, state)
+
+
+def calls(x: Column, named: Column, places: Column, roots: Column, found_heads: Column) -> Column:
+    """Calls of an indexed file in the order of their parentheses: ``struct<p, expression, receiver, method, dotted, line>``.
+
+    A call on a call result has the receiver of that call; names of declared functions
+    and methods, and of classes after ``new``, are no calls. Without a name at its root
+    an expression keeps a leading dot and has no receiver.
+    """
+
+    def one(c: Column, root: Column) -> Column:
+        plain = F.replace(c["chain"], F.lit(" "), F.lit(""))
+        length = c["p"] - root["start"] - tokens.word_count(c["tail"])
+        whole = tokens.compact(F.array_join(F.slice(x["texts"], root["start"] + 1, F.greatest(length, F.lit(0))), " "))
+        return F.struct(
+            c["p"].alias("p"),
+            F.when(~_on_result(c), plain).when(root["name"] != "", whole).otherwise(F.concat(F.lit("."), plain)).alias("expression"),
+            F.nullif(root["name"], F.lit("")).alias("receiver"),
+            F.substring_index(c["chain"], " ", -1).alias("method"),
+            (_on_result(c) | c["chain"].contains(" ")).alias("dotted"),
+            F.get(x["numbers"], root["start"]).alias("line"),
+        )
+
+    heads_at = F.transform(F.filter(found_heads, lambda h: h["i"].isNotNull()), lambda h: h["i"])
+    free = F.transform(F.array_except(places, heads_at), lambda i: tokens.first_at_least(places, i))
+    called = F.filter(
+        free,
+        lambda k: ~F.get(named, k)["chain"].isin(NOT_CALLED) & ~F.coalesce(F.get(named, k)["previous"].isin("new", "get", "set"), F.lit(False)),
     )
-    return F.regexp_extract_all(joined, F.lit(CALL), F.lit(1))
+    return F.transform(called, lambda k: one(F.get(named, k), F.get(roots, k)))
 
 
-def hook_count(calls: Column) -> Column:
-    return F.size(F.filter(calls, lambda c: c.rlike("^use[A-Z0-9]") | c.contains(".use")))
+def hook_count(found: Column) -> Column:
+    return F.size(F.filter(found, lambda c: c["expression"].rlike("^use[A-Z0-9]") | c["expression"].contains(".use")))
 
 
-def request_call(expression: Column, line: Column, bindings: Column) -> Column:
-    """Evidence row for a call expression, null if it is no request."""
-    plain = F.replace(expression, F.lit("?"), F.lit(""))
-    receiver = F.substring_index(plain, ".", 1)
-    method = F.substring_index(plain, ".", -1)
-    dotted = plain.contains(".")
+def request_call(call: Column, bindings: Column) -> Column:
+    """Evidence row for a call, null kind if it is no request."""
+    receiver, method, dotted = call["receiver"], call["method"], call["dotted"]
 
     def classify(module: Column) -> Column:
         service = F.coalesce(matches(module, fixed.SERVICE_MODULE), F.lit(False))
@@ -188,7 +417,8 @@ def request_call(expression: Column, line: Column, bindings: Column) -> Column:
             matches(module, fixed.CLIENT_MODULE), F.lit(False)
         )
         kind = (
-            F.when(
+            F.when(receiver.isNull(), F.lit(None).cast("string"))
+            .when(
                 ~dotted,
                 F.when(receiver.isin(fixed.NETWORK_NAMES), F.lit("network-call"))
                 .when(service, F.lit("service-call"))
@@ -204,9 +434,9 @@ def request_call(expression: Column, line: Column, bindings: Column) -> Column:
             .when(method.isin(fixed.HTTP_VERBS) & client, F.lit("client-call"))
         )
         return F.struct(
-            expression.alias("expression"),
+            call["expression"].alias("expression"),
             kind.alias("kind"),
-            line.cast("int").alias("line"),
+            call["line"].cast("int").alias("line"),
             F.when(dotted, receiver).alias("receiver"),
             F.when(dotted | (kind != "network-call"), module).alias("import_source"),
         )
@@ -216,20 +446,8 @@ def request_call(expression: Column, line: Column, bindings: Column) -> Column:
     return bind(module, classify)
 
 
-def request_calls(code_lines: Column, first_line: Column, bindings: Column) -> Column:
-    per_line = F.transform(
-        code_lines,
-        lambda text, i: F.when(
-            text.contains("("),
-            F.filter(
-                F.transform(
-                    call_names(text), lambda c: request_call(c, first_line + i, bindings)
-                ),
-                lambda e: e["kind"].isNotNull(),
-            ),
-        ).otherwise(F.array().cast(f"array<{CALL_TYPE}>")),
-    )
-    return F.flatten(per_line)
+def request_calls(found: Column, bindings: Column) -> Column:
+    return F.filter(F.transform(found, lambda c: request_call(c, bindings)), lambda e: e["kind"].isNotNull())
 
 
 def bracket_delta(line: Column) -> Column:
@@ -240,77 +458,8 @@ def leading_closers(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, r"^[\s)\]};,]*", 0), r"[^)\]}]", ""))
 
 
-def line_starts(line: Column) -> Column:
-    """Function starts on one line: ``array<struct<text, name, is_async>>``."""
-
-    def named(text: Column) -> Column:
-        variable = F.regexp_extract(text, rf"^(?:const|let|var)\s+({NAME})", 1)
-        prop = F.regexp_extract(text, rf"^({NAME})\s*:\s*", 1)
-        declared = F.regexp_extract(text, rf"function\s*\*?\s*({NAME})", 1)
-        name = F.when(variable != "", variable).when(prop != "", prop).otherwise(declared)
-        return F.struct(
-            text.alias("text"), name.alias("name"), matches(text, whole_words("async")).alias("is_async")
-        )
-
-    plain = F.regexp_replace(line, TYPE_ARROW, "$1")
-    found = F.when(
-        line.contains("=>") | line.contains("function"),
-        F.transform(F.regexp_extract_all(plain, F.lit(START), F.lit(0)), named),
-    ).otherwise(F.array().cast(f"array<{HEAD_TYPE}>"))
-    method = F.regexp_extract(line, METHOD, 1)
-    own = F.array(
-        F.struct(
-            F.regexp_extract(line, METHOD, 0).alias("text"),
-            method.alias("name"),
-            matches(F.regexp_extract(line, METHOD, 0), whole_words("async")).alias("is_async"),
-        )
-    )
-    is_method = line.contains("(") & line.contains("{") & (method != "") & ~method.isin(NOT_METHODS)
-    return F.when(is_method, F.concat(own, found)).otherwise(found)
-
-
-def block_ends(facts: Column, total: Column) -> Column:
-    """Blocks of a file in start order, from one fold over its lines.
-
-    A block ends on its own line if all brackets close there, else on the first
-    later line that falls back to the depth at its start.
-    """
-
-    def step(acc, x):
-        low = acc["depth"] - x["closers"]
-        after = acc["depth"] + x["delta"]
-        open_, done = acc["open"], acc["done"]
-        ended = F.transform(
-            F.filter(open_, lambda o: o["depth"] >= low),
-            lambda o: F.struct(o["start"].alias("start"), x["n"].alias("end")),
-        )
-        staying = F.filter(open_, lambda o: o["depth"] < low)
-        own = F.struct(x["n"].alias("start"), low.alias("depth"))
-        short = F.struct(x["n"].alias("start"), x["n"].alias("end"))
-        return F.struct(
-            after.alias("depth"),
-            F.when(x["is_start"] & (after > low), F.array_append(staying, own)).otherwise(staying).alias("open"),
-            F.when(x["is_start"] & (after <= low), F.concat(done, ended, F.array(short)))
-            .when(F.exists(open_, lambda o: o["depth"] >= low), F.concat(done, ended))
-            .otherwise(done)
-            .alias("done"),
-        )
-
-    zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.array().cast("array<struct<start:int,depth:int>>").alias("open"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("done"),
-    )
-
-    def finish(acc):
-        rest = F.transform(acc["open"], lambda o: F.struct(o["start"].alias("start"), total.alias("end")))
-        return F.array_sort(F.concat(acc["done"], rest))
-
-    return F.aggregate(facts, zero, step, finish)
-
-
 def line_facts(code_lines: Column) -> Column:
-    """Bracket, decision and try facts of every line of a file, and its function starts."""
+    """Bracket, decision and try facts of every line of a file."""
 
     def facts(line: Column, i: Column) -> Column:
         closing = line.contains("}")
@@ -322,7 +471,6 @@ def line_facts(code_lines: Column) -> Column:
             (closing & matches(line, ELSE_IF)).alias("chained"),
             (closing & matches(line, TRY_CONTINUES)).alias("continues"),
             (line.contains("try") & matches(line, TRY)).alias("tries"),
-            line_starts(line).alias("starts"),
         )
 
     return F.transform(code_lines, facts)
@@ -377,26 +525,15 @@ def nesting(facts: Column) -> Column:
     )
 
 
-def parameter_count(text: Column, body: Column) -> Column:
-    """Parameters of a function from its start text, or from its body if they wrap."""
-    arrow = text.endswith("=>")
-    listed = F.regexp_extract(text, rf"({PARENS}){RETURN_TYPE}\s*=>$", 1)
-    wrapped = F.regexp_extract(body, rf"^[^(]*?({PARENS})", 1)
-    inside = F.when(arrow, listed).otherwise(wrapped)
-    bare = F.substring(inside, 2, 1_000_000_000)
-    for _ in range(3):
-        bare = F.regexp_replace(bare, r"\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>|\([^()]*\)", "x")
-    count = F.size(F.filter(F.split(F.regexp_replace(bare, r"\)$", ""), ","), lambda p: p.rlike(r"\S")))
-    single = arrow & ~matches(text, r"\)[^)]*=>$")
-    return F.when(single, F.lit(1)).otherwise(count)
-
-
-def hashed_text(text: Column, bare_lines: Column) -> Column:
+def hashed_text(kind: Column, name: Column, bare_lines: Column) -> Column:
     """Function text without what stands before its start and after its end."""
-    core = F.regexp_replace(text, rf"^(?:(?:const|let|var)\s+{NAME}(?:\s*:[^=;]*)?\s*=\s*|{NAME}\s*:\s*)", "")
+    quoted = F.replace(name, F.lit("$"), F.lit("\\$"))
+    variable = F.concat(F.lit(r"^.*?(?:const|let|var)\s+"), quoted, F.lit(r"(?:\s*:(?:[^=;]|=>)*)?\s*=(?!>)\s*"))
+    prop = F.concat(F.lit(r"^(?:.*?[\s{,])?"), quoted, F.lit(r"\s*:\s*"))
     head = F.get(bare_lines, F.lit(0))
-    at = F.instr(head, core)
-    cut_head = F.when((core != text) & (at > 0), F.substr(head, at)).otherwise(head)
+    cut_head = F.when(kind == "variable", F.regexp_replace(head, variable, F.lit(""))).when(
+        kind == "property", F.regexp_replace(head, prop, F.lit(""))
+    ).otherwise(head)
     last = F.get(bare_lines, F.size(bare_lines) - 1)
     brace = F.regexp_extract(last, r"^\s*\}", 0)
     cut_last = F.when(brace != "", brace).otherwise(last)
@@ -404,53 +541,38 @@ def hashed_text(text: Column, bare_lines: Column) -> Column:
     return F.array_join(F.concat(F.array(cut_head), middle, F.array(cut_last)), "\n")
 
 
-def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -> Column:
-    """Functions of one TypeScript or JavaScript file, in source order."""
-    def with_facts(found: Column) -> Column:
-        marks = F.transform(
-            found,
-            lambda x: F.struct(
-                x["n"].alias("n"), x["delta"].alias("delta"), x["closers"].alias("closers"),
-                (F.size(x["starts"]) > 0).alias("is_start"),
-            ),
-        )
-        heads = F.flatten(
-            F.transform(
-                block_ends(marks, F.size(code_lines)),
-                lambda block: F.transform(
-                    F.get(found, block["start"] - 1)["starts"],
-                    lambda head: F.struct(
-                        head.alias("head"), block["start"].alias("start"), block["end"].alias("end")
-                    ),
-                ),
-            )
-        )
-        return F.transform(
-            heads,
-            lambda f, i: bind(
-                F.struct(
-                    line_slice(code_lines, f["start"], f["end"]).alias("lines"),
-                    line_slice(found, f["start"], f["end"]).alias("facts"),
-                ),
-                lambda part: one(f, i, part["lines"], part["facts"]),
+def functions(
+    x: Column, found: Column, called: Column, places: Column, facts: Column, code_lines: Column, bare_lines: Column, bindings: Column
+) -> Column:
+    """Functions of one TypeScript or JavaScript file, in source order; places: those of the calls among the tokens."""
+
+    def body_of(h: Column, i: Column) -> Column:
+        end = F.coalesce(h["end"], F.size(code_lines))
+        first = tokens.first_at_least(places, h["start_p"])
+        own = F.slice(called, first + 1, F.greatest(tokens.first_at_least(places, h["end_p"] + 1) - first, F.lit(0)))
+        return bind(
+            F.struct(
+                line_slice(code_lines, h["start"], end).alias("lines"), line_slice(facts, h["start"], end).alias("facts"),
+                own.alias("calls"), end.alias("end"), parameter_count(x, h["i"]).alias("parameters"),
             ),
+            lambda part: one(h, i, part),
         )
 
-    def one(f: Column, i: Column, lines: Column, facts: Column) -> Column:
-        head, size = f["head"], F.size(lines)
-        anonymous = F.concat(F.lit(fixed.ANONYMOUS_PREFIX), f["start"].cast("string"))
+    def one(h: Column, i: Column, part: Column) -> Column:
+        size = F.size(part["lines"])
+        anonymous = F.concat(F.lit(fixed.ANONYMOUS_PREFIX), h["start"].cast("string"))
 
         def build(x: Column) -> Column:
-            body, calls, nested, text = x["body"], x["calls"], x["nested"], x["text"]
+            body, nested, text = x["body"], x["nested"], x["text"]
             ternaries = occurrences(body, TERNARY)
             return F.struct(
                 i.cast("int").alias("fn_ord"),
-                F.when(head["name"] == "", anonymous).otherwise(head["name"]).alias("name"),
-                f["start"].cast("int").alias("start_line"),
-                f["end"].cast("int").alias("end_line"),
+                F.when(h["name"] == "", anonymous).otherwise(h["name"]).alias("name"),
+                h["start"].cast("int").alias("start_line"),
+                part["end"].cast("int").alias("end_line"),
                 size.alias("line_count"),
-                parameter_count(head["text"], body).alias("parameter_count"),
-                head["is_async"].alias("is_async"),
+                part["parameters"].alias("parameter_count"),
+                h["is_async"].alias("is_async"),
                 matches(body, TRY).alias("has_try"),
                 nested["try_lines"].alias("try_lines"),
                 (occurrences(body, BRANCH) + ternaries).alias("conditional_count"),
@@ -459,8 +581,8 @@ def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -
                     1 + occurrences(body, DECISION) + ternaries + occurrences(body, CATCH)
                     + occurrences(body, LOGICAL)
                 ).alias("complexity"),
-                hook_count(call_names(body)).alias("hook_count"),
-                F.size(calls).alias("api_call_count"),
+                hook_count(part["calls"]).alias("hook_count"),
+                F.size(request_calls(part["calls"], bindings)).alias("api_call_count"),
                 returns_markup(body).alias("returns_jsx"),
                 F.when(size >= fixed.MIN_HASHED_LINES, body_hash(text, False)).alias("body_hash"),
                 F.coalesce(text.contains(fixed.BLOB_READER_REQUEST), F.lit(False)).alias("blob_request"),
@@ -469,15 +591,54 @@ def script_functions(code_lines: Column, bare_lines: Column, bindings: Column) -
 
         return bind(
             F.struct(
-                F.array_join(lines, "\n").alias("body"),
-                request_calls(lines, f["start"], bindings).alias("calls"),
-                nesting(facts).alias("nested"),
-                hashed_text(head["text"], line_slice(bare_lines, f["start"], f["end"])).alias("text"),
+                F.array_join(part["lines"], "\n").alias("body"),
+                nesting(part["facts"]).alias("nested"),
+                hashed_text(h["kind"], h["name"], line_slice(bare_lines, h["start"], part["end"])).alias("text"),
             ),
             build,
         )
 
-    return bind(line_facts(code_lines), with_facts)
+    return F.transform(F.filter(found, lambda h: h["kind"] != "type"), body_of)
+
+
+def with_parsed(files: DataFrame, code: Column, bare: Column) -> DataFrame:
+    """``files`` with ``parsed``: calls and functions of a script, ``struct<calls, functions>``.
+
+    One step after the other is a column, handed on as a whole, so every step is evaluated once.
+    """
+
+    def step(name: str, inputs: list[str], make: Callable[..., Column]) -> None:
+        nonlocal files
+        given = F.struct(*[F.col(f"_{c}").alias(c) for c in inputs])
+        files = files.withColumn(f"_{name}", bind(given, lambda y: make(*[y[c] for c in inputs])))
+
+    kept = files.columns
+    files = files.withColumns({"_code": lines_of(code), "_bare": lines_of(bare), "_bindings": import_bindings(bare)})
+    step("stream", ["code"], tokens.tokens)
+    step("signs", ["stream"], tokens.signs)
+    step("depths", ["signs"], tokens.depths)
+    step("ordered", ["signs", "depths"], tokens.by_level)
+    step("partners", ["ordered"], tokens.partners)
+    step("brackets", ["signs", "partners"], tokens.brackets)
+    step("parents", ["brackets"], tokens.parents)
+    step("texts", ["stream"], lambda s: F.transform(s, lambda t: t["t"]))
+    step("numbers", ["stream"], lambda s: F.transform(s, lambda t: t["n"]))
+    step("parens", ["texts", "brackets"], parens)
+    step("places", ["brackets"], lambda b: F.transform(b, lambda s: s["p"]))
+    files = files.withColumn("_x", F.struct(*[F.col(f"_{c}").alias(c) for c in ("texts", "numbers", "brackets", "parents", "parens", "places")]))
+    step("ends", ["x"], _chains)
+    step("last", ["ends"], tokens.inherited)
+    step("known", ["x", "last"], heads)
+    step("heads", ["x", "last", "known"], heads)
+    step("named", ["parens", "texts"], call_names)
+    step("named_places", ["named"], lambda n: F.transform(n, lambda c: c["i"]))
+    step("links", ["brackets", "named", "named_places"], call_roots)
+    step("roots", ["links"], tokens.inherited)
+    step("calls", ["x", "named", "named_places", "roots", "heads"], calls)
+    step("call_places", ["calls"], lambda k: F.transform(k, lambda c: c["p"]))
+    step("facts", ["code"], line_facts)
+    step("functions", ["x", "heads", "calls", "call_places", "facts", "code", "bare", "bindings"], functions)
+    return files.select(*kept, F.struct(F.col("_calls").alias("calls"), F.col("_functions").alias("functions")).alias("parsed"))
 
 
 def responsibilities(path: Column, content: Column, code: Column, has_calls: Column) -> Column:

@@ -142,16 +142,22 @@ def import_sources() -> Column:
 
 @built_once
 def calls_column() -> Column:
-    bare, code = F.col("source.bare"), F.col("source.code")
+    """Requests of a file; needs the column ``parsed``."""
     return F.when(
         F.col("is_script"),
         bind(
-            script.import_bindings(bare),
-            lambda bindings: script.request_calls(text.lines_of(code), F.lit(1), bindings),
+            script.import_bindings(F.col("source.bare")),
+            lambda bindings: script.request_calls(F.col("parsed.calls"), bindings),
         ),
     ).otherwise(F.array().cast(f"array<{script.CALL_TYPE}>"))
 
 
+def with_parsed(files: DataFrame) -> DataFrame:
+    """Calls and functions of scripts, from one index of their brackets."""
+    is_script = F.col("is_script")
+    return script.with_parsed(files, F.when(is_script, F.col("source.code")), F.when(is_script, F.col("source.bare")))
+
+
 @built_once
 def tags_column() -> Column:
     path, content, code = F.col("path"), F.col("content"), F.col("source.code")
@@ -172,19 +178,11 @@ def source_column() -> Column:
 
 @built_once
 def functions_column() -> Column:
+    """Functions of a file; needs the column ``parsed``."""
     language, lines = F.col("language"), F.col("lines")
-    code, bare = F.col("source.code"), F.col("source.bare")
-    from_script = bind(
-        F.struct(
-            text.lines_of(code).alias("code"),
-            text.lines_of(bare).alias("bare"),
-            script.import_bindings(bare).alias("bindings"),
-        ),
-        lambda s: script.script_functions(s["code"], s["bare"], s["bindings"]),
-    )
     return (
         F.when(language == "python", blocks.python_functions(lines))
-        .when(F.col("is_script"), from_script)
+        .when(F.col("is_script"), F.col("parsed.functions"))
         .otherwise(blocks.java_functions(lines))
         .cast(f"array<{blocks.FUNCTION_TYPE}>")
     )
@@ -195,7 +193,7 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
     content, language, lines = F.col("content"), F.col("language"), F.col("lines")
     is_script, bare, code = F.col("is_script"), F.col("source.bare"), F.col("source.code")
 
-    measured = read_text(files).select(
+    measured = with_parsed(read_text(files)).select(
         "repo",
         "path",
         "content",
@@ -214,7 +212,7 @@ def file_metrics(files: DataFrame, params: Params = Params()) -> DataFrame:
         .when(language == "python", _count_lines(lines, fixed.PYTHON_EXPORT_LINE))
         .otherwise(_count_lines(lines, fixed.JAVA_EXPORT_LINE))
         .alias("export_count"),
-        F.when(is_script, script.hook_count(script.call_names(code))).otherwise(0).alias("hook_count"),
+        F.when(is_script, script.hook_count(F.col("parsed.calls"))).otherwise(0).alias("hook_count"),
         F.when(is_script, script.returns_markup(code)).otherwise(F.lit(False)).alias("has_markup"),
         calls_column().alias("api_calls"),
         functions_column().alias("functions"),

@@ -186,20 +186,31 @@ PIECES = (
     r"|[^\"'`/]+|(?s:.)"
 )
 IMPORT = r"""(?m)^[ \t]*import([\s*{][^"';()]*)?["']([^"'\n]+)["']"""
-CALL = rf"(\.*{NAME}(?:\??\.{NAME})*)(?:<[^()]*?>)?\("  # dots in front: no name stands there
-PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
-RETURNS = r"(?:\s*:\s*[^=(){};]+)?"
-PREFIX = rf"(?:(?:const|let|var)\s+{NAME}(?:\s*:[^=;]*)?\s*=\s*|{NAME}\s*:\s*)"
-START = (
-    rf"{PREFIX}?(?:async\s+)?(?:function\s*\*?\s*(?:{NAME})?\s*(?:<[^()]*>)?\s*\("
-    rf"|(?:(?:{PARENS}|\)){RETURNS}|{NAME})\s*=>)"
-)
-TYPE_ARROW = r"=>\s*(?:void|string|number|boolean|unknown|any|never|Promise<[^()]*>)(\s*[;,)|}]|\s*$)"
+WORD = r"[A-Za-z_$\x{0080}-\x{FFFF}][\w$\x{0080}-\x{FFFF}]*"
+TOKEN = rf'{WORD}|\d[\w.]*|=>|\?\.|\.\.\.|&&|\|\||\?\?|""|``|\S'
+# What stands before a parenthesis and after its partner, tokens with blanks between.
+CHAIN = rf"(?:^| )((?:{WORD} (?:\.|\?\.) )*{WORD})((?: <[^()=;{{}}]*>)?(?: \?\.)?)$"
+FUNCTION = rf"(?:^| )(?:async )?function(?: \*)?(?: ({WORD}))?(?: <[^()]*>)?$"
 METHOD = (
-    rf"^\s*(?:(?:public|private|protected|static|override|async)\s+)*\*?\s*({NAME})\s*"
-    r"(?:<[^()]*>)?\([^()]*\)\s*(?::[^{}=]+)?\{"
+    r"(?:^| )((?:(?:public|private|protected|static|override|async|readonly|abstract|\*) )*)"
+    rf"({WORD})(?: <[^()]*>)?$"
+)
+ASYNC_ARROW = r"(?:^| )(?:async(?: <[^()=;{}]*>)?|<[^()=;{}]*>)$"
+RETURNS = r"(?:: (?:[\w$.]+ < )?\{[^{}]*\}(?: >)?(?: \[ \])* |: [^=(){};]+ )?"
+TO_ARROW, TO_BLOCK = rf"^{RETURNS}=>", rf"^{RETURNS}\{{"
+VARIABLE = rf"(?:^| )(?:const|let|var) ({WORD})(?: : (?:[^=;]|=>)*?)? =$"
+PROPERTY = rf"(?:^|(?:^| )[{{,] )({WORD}) :$"
+EXPRESSION = (
+    r"(?:^| )(?:[(,=:?\[&|!+~]|=>|&&|\|\||\?\?|\.\.\.|return|await|yield|new|typeof|void|delete|in|of|case)$"
+)
+PLAIN_TYPE = r"=> (?:void|string|number|boolean|unknown|any|never|Promise < [^()]*>)(?: \[ \])*(?: [;,)|}=]|$)"
+ENDED_TYPE = r"=> [\w$.]+(?: <[^()]*>)?(?: \[ \])* [;=]"
+ALIAS = rf"(?:^| )type {WORD}(?: <[^()]*>)? =$"
+NOT_METHODS = "'if','for','while','switch','catch','function','constructor','return','else','do','try','with','await'"
+NOT_CALLED = (
+    "'if','for','while','switch','catch','return','function','typeof','await','yield','delete','void','in','of','new','case',"
+    "'do','else','throw','instanceof','with','async','constructor'"
 )
-NOT_METHODS = "'if','for','while','switch','catch','function','constructor','return','else','do','try','with'"
 def _flat(text: str, rounds: int = 6) -> str:
     for _ in range(rounds):
         text = swap(text, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
@@ -275,77 +286,185 @@ def _bindings(texts: str) -> str:
   WHERE local <> '' GROUP BY ALL"""
 
 
-def _calls(lines: str, bindings: str) -> str:
-    method = group("code_line", METHOD, 1)
-    modifiers = r"^(\s*(?:(?:public|private|protected|static|override|async)\s+)*\*?\s*)"
-    uses = (
-        f"CASE WHEN {method} <> '' AND {method} NOT IN ({NOT_METHODS}) "
-        f"THEN regexp_replace(code_line, {q(modifiers + NAME)}, '\\1') ELSE code_line END"
-    )
-    uses = swap(f"({uses})", rf"(^|[^\w$.])function\s*\*?\s*{NAME}\s*([<(])", r"\1function \2")
-    joined = swap(uses, r'supabase\s*\.from\(""\)\s*\.', "supabase.")
+def _words(text: str) -> str:
+    return f"CASE WHEN trim({text}) = '' THEN 0 ELSE len(string_split(trim({text}), ' ')) END"
+
+
+def _tokens(lines: str) -> str:
+    return f"""
+  SELECT repo, path, n, t, row_number() OVER (PARTITION BY repo, path ORDER BY n, k) - 1 AS p
+  FROM (SELECT repo, path, n, unnest(x) AS t, unnest(range(0, len(x))) AS k
+        FROM (SELECT repo, path, n, regexp_extract_all(code_line, {q(TOKEN)}) AS x FROM {lines}))"""
+
+
+def _brackets(tokens: str) -> str:
+    """Partners are neighbours of one level, the opener around a bracket is the last one of the level above."""
+    return f"""
+  WITH levels AS (
+    SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER w + CASE WHEN opens THEN 0 ELSE 1 END AS level
+    FROM (SELECT *, t IN ('(', '[', '{{') AS opens FROM {tokens} WHERE t IN ('(', ')', '[', ']', '{{', '}}'))
+    WINDOW w AS (PARTITION BY repo, path ORDER BY p)),
+  paired AS (
+    SELECT *, CASE WHEN opens AND NOT lead(opens) OVER v THEN lead(p) OVER v WHEN NOT opens AND lag(opens) OVER v THEN lag(p) OVER v END AS partner
+    FROM levels WINDOW v AS (PARTITION BY repo, path, level ORDER BY p))
+  SELECT b.*, o.p AS up, o.t AS up_sign, o.partner AS up_partner FROM paired b
+  ASOF LEFT JOIN (SELECT * FROM paired WHERE opens) o ON o.repo = b.repo AND o.path = b.path AND o.level = b.level - 1 AND o.p < b.p"""
+
+
+def _parens(streams: str, brackets: str) -> str:
+    return f"""
+  SELECT b.repo, b.path, b.p, b.partner AS q, b.level, b.up, b.up_sign, b.up_partner, texts, numbers,
+    array_to_string(texts[greatest(b.p - 39, 1) : b.p], ' ') AS before, array_to_string(texts[b.partner + 2 : b.partner + 25], ' ') AS after
+  FROM {brackets} b JOIN {streams} s ON s.repo = b.repo AND s.path = b.path WHERE b.t = '(' AND b.partner IS NOT NULL"""
+
+
+def _steps(streams: str, brackets: str) -> str:
+    """Closing brackets after which the expression goes on, and the end of its next pair."""
+    return f"""
+  SELECT c.repo, c.path, c.p, f.partner AS further FROM {brackets} c
+  ASOF JOIN {brackets} f ON f.repo = c.repo AND f.path = c.path AND f.p > c.p
+  JOIN {streams} s ON s.repo = c.repo AND s.path = c.path
+  WHERE NOT c.opens AND f.opens AND f.partner IS NOT NULL AND NOT list_has_any(texts[c.p + 2 : f.p], [',', ';', '=>'])
+    AND (numbers[c.p + 2] = c.n OR texts[c.p + 2] IN ('.', '?.', '&&', '||', '??', '?', ':', '+'))"""
+
+
+def _reach(steps: str, brackets: str) -> str:
+    """For every closing bracket the end of the expression it stands in."""
+    return f"""
+  WITH RECURSIVE walk(repo, path, p, last) AS (
+    SELECT repo, path, p, p FROM {brackets} WHERE NOT opens
+    UNION ALL SELECT w.repo, w.path, w.p, s.further FROM walk w JOIN {steps} s ON s.repo = w.repo AND s.path = w.path AND s.p = w.last)
+  SELECT repo, path, p, max(last) AS last FROM walk GROUP BY ALL"""
+
+
+def _heads(parens: str, brackets: str, reach: str, tokens: str, streams: str) -> str:
+    """Functions and function types with the places of their first and last token."""
+    strip = lambda text, pattern: f"rtrim(regexp_replace({text}, {q(pattern)}, ''))"
+    first = lambda column, pattern: f"regexp_extract({column}, {q(pattern)})"
+    follows = "array_to_string(texts[up_partner + 2 : up_partner + 25], ' ')"
+    around = "array_to_string(texts[greatest(up - 39, 1) : up], ' ')"
+    return f"""
+  WITH read AS (
+    SELECT *, {first('before', FUNCTION)} AS fn, {first('after', TO_ARROW)} AS ta, {first('after', TO_BLOCK)} AS tb,
+      {first('before', METHOD)} AS me, {group('before', METHOD, 2)} AS me_name, {first('before', ASYNC_ARROW)} AS tail FROM {parens}),
+  shaped AS (
+    SELECT *, q + {_words('ta')} AS arrow, CASE
+        WHEN fn <> '' THEN 'function' WHEN ta <> '' THEN 'arrow'
+        WHEN tb <> '' AND me <> '' AND me_name NOT IN ({NOT_METHODS}) AND up_sign = '{{'
+          AND NOT {found('before', rf"(?:^| )[gs]et {WORD}$")} THEN 'method' END AS shape FROM read),
+  typed AS (
+    SELECT *, shape = 'arrow' AND coalesce({found("substr(after, length(ta) - 1)", "^" + PLAIN_TYPE)}
+        OR (texts[arrow + 2] IN ('void', 'string', 'number', 'boolean', 'unknown', 'any', 'never') AND numbers[arrow + 3] > numbers[arrow + 2])
+        OR {found('before', ALIAS)}
+        OR (texts[p] = ':' AND ({found("substr(after, length(ta) - 1)", "^" + ENDED_TYPE)}
+          OR (up_sign = '(' AND ({found(follows, TO_ARROW)} OR {found(follows, TO_BLOCK)} OR {found(around, FUNCTION)})))), false) AS is_type
+    FROM shaped WHERE shape IS NOT NULL),
+  places AS (
+    SELECT repo, path, p, arrow, shape, is_type, texts, numbers,
+      p - CASE shape WHEN 'function' THEN {_words('fn')} WHEN 'arrow' THEN {_words('tail')} ELSE {_words('me')} END AS start_p,
+      CASE shape WHEN 'function' THEN CASE WHEN tb <> '' THEN q + {_words('tb')} END WHEN 'method' THEN q + {_words('tb')} END AS block,
+      CASE WHEN shape = 'function' AND tb = '' THEN q END AS plain_end,
+      CASE shape WHEN 'function' THEN {strip('before', FUNCTION)} WHEN 'arrow' THEN {strip('before', ASYNC_ARROW)} ELSE '' END AS stem,
+      CASE shape WHEN 'function' THEN {group('before', FUNCTION, 1)} WHEN 'method' THEN me_name ELSE '' END AS own,
+      CASE shape WHEN 'function' THEN starts_with(trim(fn), 'async') WHEN 'arrow' THEN starts_with(trim(tail), 'async')
+        ELSE list_contains(string_split({group('before', METHOD, 1)}, ' '), 'async') END AS is_async
+    FROM typed),
+  singles AS (
+    SELECT t.repo, t.path, NULL AS p, t.p AS arrow, 'arrow' AS shape, false AS is_type, texts, numbers,
+      t.p - 1 - CASE WHEN texts[t.p - 1] = 'async' THEN 1 ELSE 0 END AS start_p, NULL AS block, NULL AS plain_end,
+      {strip("array_to_string(texts[greatest(t.p - 40, 1) : t.p - 1], ' ')", "(?:^| )async$")} AS stem, '' AS own,
+      coalesce(texts[t.p - 1] = 'async', false) AS is_async
+    FROM {tokens} t JOIN {streams} s ON s.repo = t.repo AND s.path = t.path
+    ANTI JOIN (SELECT repo, path, arrow FROM places WHERE shape = 'arrow') a ON a.repo = t.repo AND a.path = t.path AND a.arrow = t.p
+    WHERE t.t = '=>' AND {found('texts[t.p]', f"^{WORD}$")} AND coalesce(texts[t.p - 1], '') NOT IN ('.', '|', '&', 'is', 'extends')),
+  every AS (SELECT * FROM places UNION ALL SELECT * FROM singles),
+  ended AS (
+    SELECT e.*, b.p AS next_p, b.opens AS next_opens, b.partner AS next_partner, b.t AS next_sign, r.last AS next_last, k.partner AS block_end
+    FROM every e
+    ASOF LEFT JOIN {brackets} b ON b.repo = e.repo AND b.path = e.path AND b.p > e.arrow
+    LEFT JOIN {reach} r ON r.repo = e.repo AND r.path = e.path AND r.p = b.partner
+    LEFT JOIN {brackets} k ON k.repo = e.repo AND k.path = e.path AND k.p = e.block),
+  closed AS (
+    SELECT *, CASE WHEN shape <> 'arrow' THEN CASE WHEN block IS NOT NULL THEN block_end ELSE plain_end END
+      WHEN next_opens AND next_p = arrow + 1 AND next_partner IS NULL THEN NULL
+      WHEN next_sign = '{{' AND next_p = arrow + 1 THEN next_partner
+      WHEN next_opens AND next_partner IS NOT NULL AND NOT list_has_any(texts[arrow + 2 : next_p], [',', ';']) THEN next_last
+      ELSE least(arrow + 1, len(texts) - 1) END AS last_p FROM ended)
+  SELECT repo, path, p, start_p, coalesce(last_p, len(texts)) AS end_p, is_type, is_async, numbers[start_p + 1] AS start_line, numbers[last_p + 1] AS last_line,
+    CASE WHEN {group('stem', VARIABLE, 1)} <> '' THEN 'variable' WHEN {group('stem', PROPERTY, 1)} <> '' THEN 'property' ELSE 'own' END AS kind,
+    CASE WHEN {group('stem', VARIABLE, 1)} <> '' THEN {group('stem', VARIABLE, 1)} WHEN {group('stem', PROPERTY, 1)} <> '' THEN {group('stem', PROPERTY, 1)}
+      WHEN {found('stem', EXPRESSION)} THEN '' ELSE own END AS plain_name
+  FROM closed"""
+
+
+def _calls(parens: str, brackets: str, heads: str, bindings: str) -> str:
     names = ", ".join(q(n) for n in fixed.NETWORK_NAMES)
     client = rf"(?i)^(?:{alt(fixed.CLIENT_NAMES)})$"
+    compact = swap("array_to_string(texts[root_p + 1 : p - words_after], ' ')", r" ?([^\w $]+) ?", r"\1")
     return f"""
-  SELECT * FROM (
-    SELECT c.*, b.module,
-      CASE WHEN NOT contains(plain, '.') THEN
-             CASE WHEN receiver IN ({names}) THEN 'network-call'
-                  WHEN {found('module', fixed.SERVICE_MODULE)} THEN 'service-call'
-                  WHEN receiver IN ({", ".join(q(n) for n in fixed.DATA_HOOK_NAMES)}) THEN 'data-hook' END
-           WHEN method IN ('then', 'catch', 'finally') THEN NULL
-           WHEN receiver = 'supabase' THEN CASE WHEN method <> 'from' THEN 'client-call' END
-           WHEN receiver IN ('axios', 'ky') THEN 'network-call'
-           WHEN {found('module', fixed.SERVICE_MODULE)} THEN 'service-call'
-           WHEN method IN ({", ".join(q(n) for n in fixed.HTTP_VERBS)})
-             AND ({found('receiver', client)} OR coalesce({found('module', fixed.CLIENT_MODULE)}, false))
-             THEN 'client-call' END AS kind
-    FROM (SELECT repo, path, n, place, expression, plain, split_part(plain, '.', 1) AS receiver,
-                 split_part(plain, '.', -1) AS method
-          FROM (SELECT repo, path, n, expression, place, replace(expression, '?', '') AS plain
-                FROM (SELECT repo, path, n, unnest(list_transform(regexp_extract_all({joined}, {q(CALL)}, 1),
-                               lambda e: regexp_replace(e, '^\\.\\.+', ''))) AS expression,
-                             unnest(range(0, {count(joined, CALL)})) AS place FROM {lines}))) c
-    LEFT JOIN {bindings} b ON b.repo = c.repo AND b.path = c.path AND b.local = c.receiver)"""
-
-
-def _script_spans(lines: str) -> str:
-    plain = swap("code_line", TYPE_ARROW, r"\1")
-    method = group("code_line", METHOD, 1)
-    is_method = f"({method} <> '' AND {method} NOT IN ({NOT_METHODS}))"
+  WITH RECURSIVE read AS (
+    SELECT repo, path, p, texts, numbers, {group('before', CHAIN, 1)} AS chain, {_words(group('before', CHAIN, 2))} AS words_after,
+      p - {_words(f"regexp_extract(before, {q(CHAIN)})")} AS first_p FROM {parens}),
+  chained AS (
+    SELECT r.*, texts[first_p] AS previous, coalesce(texts[first_p] IN ('.', '?.'), false) AS on_result, split_part(chain, ' ', 1) AS head, b.partner AS link
+    FROM read r LEFT JOIN {brackets} b ON b.repo = r.repo AND b.path = r.path AND b.p = r.first_p - 2 AND b.t = ')' AND texts[first_p] IN ('.', '?.')
+    WHERE chain <> ''),
+  linked AS (
+    SELECT c.* REPLACE (o.p AS link) FROM chained c LEFT JOIN chained o ON o.repo = c.repo AND o.path = c.path AND o.p = c.link),
+  walk(repo, path, p, receiver, root_p) AS (
+    SELECT repo, path, p, CASE WHEN on_result OR head IN ('this', 'super') OR coalesce(previous = 'new', false) THEN '' ELSE head END, first_p
+    FROM linked WHERE link IS NULL
+    UNION ALL SELECT l.repo, l.path, l.p, w.receiver, w.root_p FROM walk w JOIN linked l ON l.repo = w.repo AND l.path = w.path AND l.link = w.p),
+  listed AS (
+    SELECT l.*, w.receiver, w.root_p, split_part(chain, ' ', -1) AS method, on_result OR contains(chain, ' ') AS dotted
+    FROM linked l JOIN walk w ON w.repo = l.repo AND w.path = l.path AND w.p = l.p
+    ANTI JOIN (SELECT repo, path, p FROM {heads} WHERE p IS NOT NULL) h ON h.repo = l.repo AND h.path = l.path AND h.p = l.p
+    WHERE chain NOT IN ({NOT_CALLED}) AND coalesce(previous, '') NOT IN ('new', 'get', 'set')),
+  named AS (
+    SELECT repo, path, p, p AS place, numbers[root_p + 1] AS n, nullif(receiver, '') AS receiver, method, dotted,
+      CASE WHEN NOT on_result THEN replace(chain, ' ', '') WHEN receiver <> '' THEN {compact} ELSE '.' || replace(chain, ' ', '') END AS expression
+    FROM listed)
+  SELECT c.*, b.module, CASE
+      WHEN c.receiver IS NULL THEN NULL
+      WHEN NOT dotted THEN CASE WHEN receiver IN ({names}) THEN 'network-call'
+        WHEN {found('module', fixed.SERVICE_MODULE)} THEN 'service-call'
+        WHEN receiver IN ({", ".join(q(n) for n in fixed.DATA_HOOK_NAMES)}) THEN 'data-hook' END
+      WHEN method IN ('then', 'catch', 'finally') THEN NULL
+      WHEN receiver = 'supabase' THEN CASE WHEN method <> 'from' THEN 'client-call' END
+      WHEN receiver IN ('axios', 'ky') THEN 'network-call'
+      WHEN {found('module', fixed.SERVICE_MODULE)} THEN 'service-call'
+      WHEN method IN ({", ".join(q(n) for n in fixed.HTTP_VERBS)})
+        AND ({found('receiver', client)} OR coalesce({found('module', fixed.CLIENT_MODULE)}, false)) THEN 'client-call' END AS kind
+  FROM named c LEFT JOIN {bindings} b ON b.repo = c.repo AND b.path = c.path AND b.local = c.receiver"""
+
+
+def _script_spans(heads: str, lines: str, brackets: str, tokens: str) -> str:
+    """Functions with their lines, and parameters counted from the tokens right inside the parentheses."""
+    angled = "replace(inside, '=>', '~')"
+    for _ in range(3):
+        angled = swap(angled, "<[^<>]*>", "x")
     return f"""
-  WITH starts AS (
-    SELECT *, unnest(list_concat(CASE WHEN {is_method} THEN [{group('code_line', METHOD, 0)}] ELSE [] END, hits)) AS head,
-           unnest(range(0, len(hits) + CASE WHEN {is_method} THEN 1 ELSE 0 END)) AS idx, {is_method} AS has_method
-    FROM (SELECT *, CASE WHEN contains(code_line, '=>') OR contains(code_line, 'function')
-                         THEN regexp_extract_all({plain}, {q(START)}) ELSE [] END AS hits FROM {lines})),
-  ends AS (
-    SELECT s.repo, s.path, s.n, min(l.n) AS end_line
-    FROM (SELECT DISTINCT repo, path, n, low FROM starts) s
-    JOIN {lines} l ON l.repo = s.repo AND l.path = s.path AND l.n > s.n AND l.low <= s.low GROUP BY ALL)
-  SELECT s.repo, s.path, s.n AS start_line, s.head, s.idx, s.has_method AND s.idx = 0 AS is_method,
-         CASE WHEN s.after <= s.low THEN s.n ELSE coalesce(e.end_line, s.total) END AS end_line,
-         row_number() OVER (PARTITION BY s.repo, s.path ORDER BY s.n, s.idx) - 1 AS fn_ord,
-         regexp_matches(s.head, '\\basync\\b') AS is_async,
-         CASE WHEN s.has_method AND s.idx = 0 THEN {group('s.head', METHOD, 1)}
-              WHEN {group('s.head', rf'^(?:const|let|var)\s+({NAME})', 1)} <> ''
-                THEN {group('s.head', rf'^(?:const|let|var)\s+({NAME})', 1)}
-              WHEN {group('s.head', rf'^({NAME})\s*:\s*', 1)} <> '' THEN {group('s.head', rf'^({NAME})\s*:\s*', 1)}
-              WHEN {group('s.head', rf'function\s*\*?\s*({NAME})', 1)} <> ''
-                THEN {group('s.head', rf'function\s*\*?\s*({NAME})', 1)}
-              ELSE 'anonymous_line_' || s.n END AS name
-  FROM starts s LEFT JOIN ends e ON e.repo = s.repo AND e.path = s.path AND e.n = s.n"""
+  WITH sizes AS (SELECT repo, path, max(n) AS total FROM {lines} GROUP BY ALL),
+  own_tokens AS (
+    SELECT t.repo, t.path, t.p, t.t, CASE WHEN k.p IS NOT NULL THEN k.up WHEN b.opens THEN b.p ELSE b.up END AS inside_of
+    FROM {tokens} t LEFT JOIN {brackets} k ON k.repo = t.repo AND k.path = t.path AND k.p = t.p
+    ASOF LEFT JOIN {brackets} b ON b.repo = t.repo AND b.path = t.path AND b.p < t.p),
+  listed AS (
+    SELECT h.repo, h.path, h.p, string_agg(t.t, ' ' ORDER BY t.p) AS inside FROM {heads} h
+    JOIN own_tokens t ON t.repo = h.repo AND t.path = h.path AND t.inside_of = h.p GROUP BY ALL)
+  SELECT h.repo, h.path, h.start_p, h.end_p, h.start_line, coalesce(h.last_line, s.total) AS end_line, h.is_async, h.kind, h.plain_name,
+    CASE WHEN h.plain_name = '' THEN 'anonymous_line_' || h.start_line ELSE h.plain_name END AS name,
+    CASE WHEN h.p IS NULL THEN 1 ELSE len(list_filter(string_split(coalesce({angled}, ''), ','), lambda x: regexp_matches(x, '\\S'))) END AS parameter_count,
+    row_number() OVER (PARTITION BY h.repo, h.path ORDER BY h.start_p, h.end_p) - 1 AS fn_ord
+  FROM {heads} h JOIN sizes s ON s.repo = h.repo AND s.path = h.path
+  LEFT JOIN listed l ON l.repo = h.repo AND l.path = h.path AND l.p = h.p WHERE NOT h.is_type"""
 
 
 def _script_functions(spans: str, lines: str, calls: str) -> str:
     inside = "l.repo = f.repo AND l.path = f.path AND l.n BETWEEN f.start_line AND f.end_line"
-    listed = group("head", rf"({PARENS}){RETURNS}\s*=>$", 1)
-    wrapped = group("body", rf"^[^(]*?({PARENS})", 1)
-    inner = f"substr(CASE WHEN head LIKE '%=>' THEN {listed} ELSE {wrapped} END, 2)"
-    for _ in range(3):
-        inner = swap(inner, r"\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>|\([^()]*\)", "x")
-    inner = f"regexp_replace({inner}, '\\)$', '')"
-    core = f"regexp_replace(head, {q('^' + PREFIX)}, '')"
+    quoted = r"replace(plain_name, '$', '\$')"
+    variable = rf"'^.*?(?:const|let|var)\s+' || {quoted} || '(?:\s*:(?:[^=;]|=>)*)?\s*=\s*'"
+    prop = rf"'^(?:.*?[\s{{,])?' || {quoted} || '\s*:\s*'"
     strip = swap(swap(swap("hashed", r"//[^\n\r]*", ""), r"(?s)/\*.*?\*/", ""), r"\s+", " ")
     return f"""
   WITH deaths AS (
@@ -370,22 +489,20 @@ def _script_functions(spans: str, lines: str, calls: str) -> str:
   call_sums AS (
     SELECT f.repo, f.path, f.fn_ord, count(*) FILTER (WHERE l.kind IS NOT NULL) AS api_call_count,
            count(*) FILTER (WHERE {found('l.expression', '^use[A-Z0-9]')} OR contains(l.expression, '.use')) AS hook_count
-    FROM {spans} f JOIN {calls} l ON {inside} GROUP BY ALL),
+    FROM {spans} f JOIN {calls} l ON l.repo = f.repo AND l.path = f.path AND l.p BETWEEN f.start_p AND f.end_p GROUP BY ALL),
   bodies AS (
-    SELECT f.repo, f.path, f.fn_ord, f.start_line, f.end_line, f.name, f.head, f.is_async,
+    SELECT f.repo, f.path, f.fn_ord, f.start_line, f.end_line, f.name, f.plain_name, f.kind, f.is_async, f.parameter_count,
            string_agg(l.code_line, chr(10) ORDER BY l.n) AS body,
            list(l.bare_line ORDER BY l.n) AS bare
     FROM {spans} f JOIN {lines} l ON {inside} GROUP BY ALL),
   hashing AS (
     SELECT *, array_to_string(list_concat(list_concat(
-        [CASE WHEN {core} <> head AND instr(bare[1], {core}) > 0 THEN substr(bare[1], instr(bare[1], {core})) ELSE bare[1] END],
+        [CASE kind WHEN 'variable' THEN regexp_replace(bare[1], {variable}, '') WHEN 'property' THEN regexp_replace(bare[1], {prop}, '') ELSE bare[1] END],
         bare[2:len(bare) - 1]),
         [CASE WHEN regexp_extract(bare[-1], '^\\s*\\}}') <> '' THEN regexp_extract(bare[-1], '^\\s*\\}}') ELSE bare[-1] END]),
         chr(10)) AS hashed
     FROM bodies)
-  SELECT h.repo, h.path, h.fn_ord, h.name, h.start_line, h.end_line, h.end_line - h.start_line + 1 AS line_count,
-    CASE WHEN head LIKE '%=>' AND NOT regexp_matches(head, '\\)[^)]*=>$') THEN 1
-         ELSE len(list_filter(string_split({inner}, ','), lambda p: regexp_matches(p, '\\S'))) END AS parameter_count,
+  SELECT h.repo, h.path, h.fn_ord, h.name, h.start_line, h.end_line, h.end_line - h.start_line + 1 AS line_count, h.parameter_count,
     h.is_async, {found('body', TRY)} AS has_try, CAST(coalesce(t.try_lines, 0) AS BIGINT) AS try_lines,
     {count('body', BRANCH)} + {count('body', TERNARY)} AS conditional_count, coalesce(d.max_depth, 0) AS max_depth,
     1 + {count('body', DECISION)} + {count('body', TERNARY)} + {count('body', CATCH)} + {count('body', LOGICAL)} AS complexity,
@@ -565,8 +682,15 @@ for _prefix, _table in (("", "corpus"), ("e_", "edited")):
     BLOCKS[_p + "texts"] = _script_text(_p + "sources")
     BLOCKS[_p + "script_lines"] = _script_lines(_p + "texts")
     BLOCKS[_p + "bindings"] = _bindings(_p + "texts")
-    BLOCKS[_p + "calls"] = _calls(_p + "script_lines", _p + "bindings")
-    BLOCKS[_p + "script_spans"] = _script_spans(_p + "script_lines")
+    BLOCKS[_p + "script_tokens"] = _tokens(_p + "script_lines")
+    BLOCKS[_p + "script_streams"] = f"SELECT repo, path, list(t ORDER BY p) AS texts, list(n ORDER BY p) AS numbers FROM {_p}script_tokens GROUP BY ALL"
+    BLOCKS[_p + "script_brackets"] = _brackets(_p + "script_tokens")
+    BLOCKS[_p + "script_parens"] = _parens(_p + "script_streams", _p + "script_brackets")
+    BLOCKS[_p + "script_steps"] = _steps(_p + "script_streams", _p + "script_brackets")
+    BLOCKS[_p + "script_reach"] = _reach(_p + "script_steps", _p + "script_brackets")
+    BLOCKS[_p + "script_heads"] = _heads(*(_p + f"script_{x}" for x in ("parens", "brackets", "reach", "tokens", "streams")))
+    BLOCKS[_p + "calls"] = _calls(_p + "script_parens", _p + "script_brackets", _p + "script_heads", _p + "bindings")
+    BLOCKS[_p + "script_spans"] = _script_spans(*(_p + f"script_{x}" for x in ("heads", "lines", "brackets", "tokens")))
     BLOCKS[_p + "script_functions"] = _script_functions(_p + "script_spans", _p + "script_lines", _p + "calls")
     BLOCKS[_p + "functions"] = (
         f"SELECT * FROM {_p}python_functions UNION ALL BY NAME SELECT * FROM {_p}java_functions "

@@ -124,7 +124,7 @@ FUNCTION_COLUMNS = [
 
 def _functions(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
     def found(files: DataFrame) -> DataFrame:
-        parsed = analysis.read_text(files).filter(F.col("language").isin(*languages))
+        parsed = analysis.with_parsed(analysis.read_text(files).filter(F.col("language").isin(*languages)))
         return _unnest(parsed, analysis.functions_column(), "name").select("repo", "path", *FUNCTION_COLUMNS)
 
     return _kept(spark, sf_dir, found)
@@ -148,7 +148,7 @@ def js_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def js_api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     def found(files: DataFrame) -> DataFrame:
-        calls = _unnest(analysis.read_text(files).filter("is_script"), analysis.calls_column(), "kind")
+        calls = _unnest(analysis.with_parsed(analysis.read_text(files).filter("is_script")), analysis.calls_column(), "kind")
         return calls.select("repo", "path", "expression", "kind", "line", "import_source")
 
     return _kept(spark, sf_dir, found)

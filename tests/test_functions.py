@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from codestrata.functions import blocks, paths, script, text
@@ -140,31 +142,155 @@ def test_paths(spark):
     assert (row["test"], row["prefix"], row["relative"]) == ("src/UserServiceTest.java", "src", "src/a.py")
 
 
+def parsed(spark, *contents):
+    """Calls, functions and requests of script texts."""
+    df = spark.createDataFrame(list(enumerate(contents)), "k int, content string")
+    parts = script.pieces(F.col("content"))
+    df = df.select("k", script.without_comments(parts).alias("bare"), script.code_only(parts).alias("code"))
+    df = script.with_parsed(df, F.col("code"), F.col("bare"))
+    requests = script.request_calls(F.col("parsed.calls"), script.import_bindings(F.col("bare")))
+    return [r.asDict() for r in df.select("k", "parsed.*", requests.alias("requests")).orderBy("k").collect()]
+
+
 def test_script_calls(spark):
-    """Declarations are no calls; a call on a call result has no name of its own."""
+    """Declarations are no calls; a call on a call result has the root of that call."""
     rows = {
         "export function useTodos() {": [],
-        "  async request(path) {": [],
-        "  static *items<T>(a, b): T[] {": [],
-        'getClient().fetch("")': ["getClient", ".fetch"],
+        "class A { async request(path) { } }": [],
+        "class A {  static *items<T>(a, b): T[] {} get size() { return 1; } }": [],
+        'getClient().fetch("")': ["getClient", "getClient().fetch"],
         "const a = [...fetch(1), x?.y(2)];": ["fetch", "x?.y"],
-        "if (load(x)) {": ["load"],
+        "if (load(x)) {}": ["load"],
         "list[0].get(1)": [".get"],
+        "(await x).json()": [".json"],
+        "new Thing(1).go(2)": [".go"],
+        "this.a.b(1).c()": ["this.a.b", ".c"],
         "useThing(); api.useOther<T>(1)": ["useThing", "api.useOther"],
         "function (x) { return go(x); }": ["go"],
+        "a(1)\n  .b(c(2))\n  ?.d`x`.e(3);": ["a", "a(1).b", "c", ".e"],
     }
-    df = spark.createDataFrame([(k,) for k in rows], "code string")
-    found = {r[0]: r[1] for r in df.select("code", script.call_names(F.col("code"))).collect()}
-    assert found == rows
-    hooks = {r[0]: r[1] for r in df.select("code", script.hook_count(script.call_names(F.col("code")))).collect()}
+    found = dict(zip(rows, parsed(spark, *rows), strict=True))
+    assert {k: sorted(c["expression"] for c in v["calls"]) for k, v in found.items()} == {k: sorted(v) for k, v in rows.items()}
+    df = spark.createDataFrame([(k, [c.asDict() for c in v["calls"]]) for k, v in found.items() if v["calls"]],
+                               "code string, calls array<struct<p:int,expression:string,receiver:string,method:string,dotted:boolean,line:int>>")
+    hooks = {r[0]: r[1] for r in df.select("code", script.hook_count(F.col("calls"))).collect()}
     assert {k: n for k, n in hooks.items() if n} == {"useThing(); api.useOther<T>(1)": 2}
 
 
 def test_requests_of_call_results(spark):
-    none = F.array().cast("array<struct<local:string,module:string>>")
-    lines = F.array(*[F.lit(x) for x in ('getClient().fetch("")', "  async request(path) {", "fetch(a)", "axios.get(b)")])
-    found = spark.range(1).select(script.request_calls(lines, F.lit(1), none).alias("c")).first()["c"]
-    assert [(c["expression"], c["kind"], c["line"]) for c in found] == [("fetch", "network-call", 3), ("axios.get", "network-call", 4)]
+    """By hand: a request counts when the name at the root of its chain is a client, a service or a network function."""
+    contents = [
+        'getClient().fetch("")',
+        "class A {\n  async request(path) { }\n}\nfetch(a)\naxios.get(b)",
+        "ky.get(u).json();",
+        "import { getUsers } from './services/users';\ngetUsers()\n  .filter((u) => u.ok)\n  .map(f);",
+        'supabase.from("t").select("*").eq("a", 1);',
+        "fetch(u).then((r) => r.json()).catch(e);",
+        "api.make(1).post(2); other.make(1).post(2);",
+        "new request(1); request(2)",
+        "a.b(ky.get(x).text())",
+        "ky" + ".get(x)" * 150,
+    ]
+    found = [[(c["expression"], c["kind"], c["line"]) for c in r["requests"]] for r in parsed(spark, *contents)]
+    assert found[:9] == [
+        [],
+        [("fetch", "network-call", 4), ("axios.get", "network-call", 5)],
+        [("ky.get", "network-call", 1), ("ky.get(u).json", "network-call", 1)],
+        [("getUsers", "service-call", 2), ("getUsers().filter", "service-call", 2), ("getUsers().filter((u)=>u.ok).map", "service-call", 2)],
+        [('supabase.from("").select', "client-call", 1), ('supabase.from("").select("").eq', "client-call", 1)],
+        [("fetch", "network-call", 1)],
+        [("api.make(1).post", "client-call", 1)],
+        [("request", "network-call", 1)],
+        [("ky.get", "network-call", 1), ("ky.get(x).text", "network-call", 1)],
+    ]
+    assert len(found[9]) == 150 and {k for _, k, _ in found[9]} == {"network-call"}
+
+
+SHAPES = """export async function main(a, b: Map<string, number>, { c, d }: X = {}) {
+  const mk = (a = g(h(1)), b) => {
+    return a;
+  };
+  list.map(u => u.id);
+}
+class K {
+  run(
+    first: string,
+    cb: (x: string) => Foo,
+    third = [1, [2, 3]],
+  ): Promise<{ a: string }> {
+    return 1;
+  }
+  each(cb: (x: string) => void) { return 2; }
+  static async *items<T>(a: T): AsyncGenerator<T> { yield a; }
+  get size() { return 1; }
+  constructor(private a: A) { super(a); }
+  handler = async (e) => { go(e); };
+}
+const o = { p: (x) => x + 1, async q(y) { return y; }, r: function (z) { return z }, s: async x => x };
+const t = cond ? (b) : c;
+foo(function named(a) { return 1 }, async () => 2);
+export default function () { return 1 }
+type F = (a: string) => Bar;
+interface I { f: (x: A) => B; g(y: C): void }
+const late: (x: number) => string = (x) =>
+  x.toString()
+    .padStart(2);
+let w = list.map((v) => (
+  v + 1
+)).filter(Boolean);
+function deep(a = { b: [(c) => ({ d: [1, 2], e: (f, g) => 3 }), 4], h: 5 }, ...i) { }
+"""
+
+
+def test_script_function_shapes(spark):
+    """Names, lines, parameters and async by hand."""
+    (found,) = parsed(spark, SHAPES)
+    got = [(f["name"], f["start_line"], f["end_line"], f["parameter_count"], f["is_async"]) for f in found["functions"]]
+    assert got == [
+        ("main", 1, 6, 3, True), ("mk", 2, 4, 2, False), ("anonymous_line_5", 5, 5, 1, False),
+        ("run", 8, 14, 3, False), ("each", 15, 15, 1, False), ("items", 16, 16, 1, True), ("anonymous_line_19", 19, 19, 1, True),
+        ("p", 21, 21, 1, False), ("q", 21, 21, 1, True), ("r", 21, 21, 1, False), ("s", 21, 21, 1, True),
+        ("anonymous_line_23", 23, 23, 1, False), ("anonymous_line_23", 23, 23, 0, True), ("anonymous_line_24", 24, 24, 0, False),
+        ("late", 27, 29, 1, False), ("anonymous_line_30", 30, 32, 1, False),
+        ("deep", 33, 33, 2, False), ("anonymous_line_33", 33, 33, 1, False), ("e", 33, 33, 2, False),
+    ]
+    assert [f["fn_ord"] for f in found["functions"]] == list(range(len(got)))
+
+
+def test_odd_scripts_do_not_fail(spark):
+    contents = ["", "\n", ")]}", "((([{", "=> x", "f(", "a => {", "function", "const x = (a, b) => {\n  y(", "`${", "class { m( { }"]
+    found = parsed(spark, *contents)
+    assert [len(r["functions"]) for r in found][:6] == [0, 0, 0, 0, 0, 0]
+    assert [(f["name"], f["start_line"], f["end_line"]) for f in found[8]["functions"]] == [("x", 1, 2)]
+
+
+def seconds(run) -> float:
+    times = []
+    for _ in range(2):
+        start = time.perf_counter()
+        run()
+        times.append(time.perf_counter() - start)
+    return min(times)
+
+
+def test_time_grows_with_the_file(spark):
+    """Twice the functions (or inner types) take little more than twice the time."""
+    one = {
+        "script": lambda k: f"  m{k}(a, b) {{\n    return api.get(a).then((x) => x);\n  }}\n",
+        "java": lambda k: f"  class T{k} {{\n    T{k}(int a) {{\n    }}\n    public int m{k}(int a) {{\n      return a;\n    }}\n  }}\n",
+    }
+
+    def taken(kind: str, n: int) -> float:
+        content = "class A {\n" + "".join(map(one[kind], range(n))) + "}\n"
+        if kind == "script":
+            return seconds(lambda: parsed(spark, content))
+        df = spark.createDataFrame([(content,)], "content string").select(text.lines_of(F.col("content")).alias("lines"))
+        return seconds(lambda: df.select(F.size(blocks.java_functions(F.col("lines")))).collect())
+
+    for kind, n in {"script": 2000, "java": 4000}.items():  # 4,000 functions, 4,000 inner types; and twice as many
+        taken(kind, 200)
+        small, large = taken(kind, n), taken(kind, 2 * n)
+        assert large < 2.5 * small, (kind, small, large)
 
 
 def test_export_count(spark):
