@@ -47,8 +47,11 @@ def next_unstarted(ranked: DataFrame, keys: DataFrame, runs: DataFrame) -> DataF
     ).select("repo", "best.*")
 
 
-def guard(ranked: DataFrame, changed: DataFrame, params: Params = Params()) -> DataFrame:
-    """``repo, id, error``: why an opportunity cannot be started, null if it can."""
+def guard(ranked: DataFrame, changed: DataFrame, params: Params = Params(), files_of: DataFrame | None = None) -> DataFrame:
+    """``repo, id, error``: why an opportunity cannot be started, null if it can.
+
+    With ``files_of`` the paths of all its files are guarded, else that of the first.
+    """
     dirty = changed.select("repo").distinct().withColumn("dirty", F.lit(True))
     too_many = F.concat(
         F.lit("Opportunity "), F.col("id").cast("string"), F.lit(" touches "), F.col("file_count").cast("string"),
@@ -58,8 +61,12 @@ def guard(ranked: DataFrame, changed: DataFrame, params: Params = Params()) -> D
     error = F.when(F.col("file_count") > params.max_files_per_task, too_many)
     if not params.allow_dirty:
         error = error.when(F.col("dirty"), unclean)
-    error = error.when(~paths.stays_inside(F.col("primary_path")), F.lit("Path escapes repository root."))
-    return ranked.join(dirty, "repo", "left").select("repo", "id", error.alias("error"))
+    outside = ~paths.stays_inside(F.col("primary_path"))
+    tasks = ranked.join(dirty, "repo", "left")
+    if files_of is not None:
+        escaping = files_of.filter(~paths.stays_inside(F.col("path"))).select("repo", "id", F.lit(True).alias("escapes")).distinct()
+        tasks, outside = tasks.join(escaping, ["repo", "id"], "left"), outside | F.coalesce("escapes", F.lit(False))
+    return tasks.select("repo", "id", error.when(outside, F.lit("Path escapes repository root.")).alias("error"))
 
 
 def snapshot(files_of: DataFrame, files: DataFrame, started: DataFrame) -> DataFrame:
@@ -76,15 +83,32 @@ def snapshot(files_of: DataFrame, files: DataFrame, started: DataFrame) -> DataF
     )
 
 
+def possible_targets(targets: DataFrame, listing: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows of ``listing`` that may be targets, decided where they are read.
+
+    The targets set one bit each in a bitmap of ``2**bits`` bits (8 MB, whatever their
+    number), whose pieces are broadcast; a row without its bit is no target.
+    """
+    place = F.pmod(F.xxhash64("repo", "path"), F.lit(1 << bits)) + 1
+    pieces = targets.select(F.bitmap_bucket_number(place).alias("piece"), F.bitmap_bit_position(place).alias("bit"))
+    pieces = pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("bitmap", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = listing.withColumn("piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "piece")
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(listing.columns)
+
+
 def snapshot_contents(targets: DataFrame, listing: DataFrame) -> DataFrame:
-    """Text of the target files of started runs."""
-    return listing.join(targets.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    """Text of the target files of started runs; other contents stay where they are."""
+    wanted = targets.select("repo", "path").distinct()
+    # An inner join on distinct keys: the optimizer would move a semi join below the one with the bitmap.
+    return possible_targets(wanted, listing).join(wanted, ["repo", "path"]).select(listing.columns)
 
 
 def begin(ranked: DataFrame, files_of: DataFrame, files: DataFrame, chosen: DataFrame, changed: DataFrame,
           params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Start runs for ``chosen(repo, id, run_id)``: run rows, target rows and rejected rows."""
-    errors = guard(ranked, changed, params).filter(F.col("error").isNotNull())
+    errors = guard(ranked, changed, params, files_of).filter(F.col("error").isNotNull())
     accepted = chosen.join(errors, ["repo", "id"], "left_anti")
     rejected = chosen.join(errors, ["repo", "id"])
     keys = opportunity_keys(ranked, files_of)

@@ -358,7 +358,7 @@ PLAIN_PYTHON = '''def generated(self, value):
 '''
 APP_MANIFEST = '{"name": "@r{r}/app{block}", "version": "{id}.0.0", "description": "{flat}", "dependencies": {"react": "^19.0.0"{extra}}, "devDependencies": {"zod": "^3.{g}.0"}, "scripts": {"typecheck": "tsc", "lint": "eslint .", "start": "node ."}}\n'
 BROKEN_MANIFEST = '{"name": "@r{r}/app{block}", "description": "{flat}", "dependencies": \n'
-ROOT_MANIFEST_LIST = '{"private": true, "workspaces": ["apps/*", "packages/*/"], "scripts": {"build": "tsc -b", "test": "vitest run"}, "devDependencies": {"vitest": "^3.0.0"}}\n'
+ROOT_MANIFEST_LIST = '{"private": true, "workspaces": ["./{apps,libs}/*", "packages/**/", "!apps/app*7", "!**/none"], "scripts": {"build": "tsc -b", "test": "vitest run"}, "devDependencies": {"vitest": "^3.0.0"}}\n'
 ROOT_MANIFEST_OBJECT = '{"private": true, "workspaces": {"packages": ["apps/*"]}, "dependencies": {"express": "^5.0.0"}, "devDependencies": {"jest": "^29.0.0", "zod": "^2.0.0"}, "scripts": {"lint": "eslint ."}}\n'
 IGNORE_FILE = '''# generated code
 generated/

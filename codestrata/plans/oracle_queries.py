@@ -69,9 +69,12 @@ BLOCKS["manifests"] = f"""
   SELECT repo, path, {FOLDER.format('path')} AS root_path, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS content
   FROM corpus WHERE path = 'package.json' OR path LIKE '%/package.json'"""
 BLOCKS["globs"] = """
-  SELECT repo, '^' || replace(regexp_replace(g, '/$', ''), '*', '[^/]*') || '$' AS pattern FROM (
-    SELECT repo, unnest(CAST(coalesce(json_extract(content, '$.workspaces.packages'), json_extract(content, '$.workspaces')) AS VARCHAR[])) AS g
-    FROM manifests WHERE path = 'package.json')"""
+  SELECT repo, starts_with(g, '!') AS barred, '^' || replace(replace(replace(
+      regexp_replace(regexp_replace(regexp_replace(g, '^!', ''), '^[.]/', ''), '/$', '') || '/package.json', '**/', '~'), '*', '[^/]*'), '~', '(?:.+/)?') || '$' AS pattern
+  FROM (SELECT repo, CASE WHEN item IS NULL THEN g ELSE regexp_replace(g, '\\{[^{}]*\\}', item) END AS g
+    FROM (SELECT repo, g, unnest(CASE WHEN regexp_matches(g, '\\{[^{}]*,[^{}]*\\}') THEN string_split(regexp_extract(g, '\\{([^{}]*)\\}', 1), ',') ELSE [NULL] END) AS item
+      FROM (SELECT repo, unnest(CAST(coalesce(json_extract(content, '$.workspaces.packages'), json_extract(content, '$.workspaces')) AS VARCHAR[])) AS g
+        FROM manifests WHERE path = 'package.json')))"""
 
 
 def framework(names: str, app_file: str) -> str:
@@ -88,7 +91,8 @@ BLOCKS["spaces"] = f"""
   SELECT m.repo, m.root_path, json_extract_string(m.content, '$.name') AS name, m.content,
          {framework(_keys.replace('content', 'm.content'), "EXISTS (SELECT 1 FROM corpus a WHERE a.repo = m.repo AND a.path = m.root_path || '/app.json')")} AS framework
   FROM manifests m WHERE m.path <> 'package.json'
-    AND EXISTS (SELECT 1 FROM globs g WHERE g.repo = m.repo AND regexp_matches(m.root_path, g.pattern))"""
+    AND EXISTS (SELECT 1 FROM globs g WHERE g.repo = m.repo AND NOT g.barred AND regexp_matches(m.path, g.pattern))
+    AND NOT EXISTS (SELECT 1 FROM globs g WHERE g.repo = m.repo AND g.barred AND regexp_matches(m.path, g.pattern))"""
 BLOCKS["placed"] = """
   SELECT s.repo, s.path, max_by(w.root_path, length(w.root_path)) AS workspace
   FROM sources s LEFT JOIN spaces w ON w.repo = s.repo AND starts_with(s.path, w.root_path || '/') GROUP BY s.repo, s.path"""
@@ -543,7 +547,9 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT repo, run_id, min(updated_at) AS created_at FROM run_versions GROUP BY ALL) c USING (repo, run_id))
         QUALIFY row_number() OVER (PARTITION BY repo ORDER BY updated_at DESC, created_at DESC, run_id DESC) = 1""",
     "next_unstarted": f"""SELECT repo, id, type, title, primary_path, priority FROM ranked r WHERE NOT EXISTS (
-        SELECT 1 FROM (SELECT DISTINCT 'repo' || (user_id % {21}) AS repo, user_id // {21} + 1 AS id FROM events) e
+        SELECT 1 FROM (SELECT DISTINCT t.repo, user_id // n % tasks + 1 AS id
+          FROM (SELECT DISTINCT user_id, n FROM events, (SELECT max(CAST(substr(repo, 5) AS BIGINT)) + 1 AS n FROM ranked)) u
+          JOIN (SELECT repo, max(id) AS tasks FROM ranked GROUP BY repo) t ON t.repo = 'repo' || (user_id % n)) e
         JOIN keys k ON k.repo = e.repo AND k.id = e.id
         JOIN keys mine ON mine.repo = k.repo AND mine.opportunity_key = k.opportunity_key WHERE mine.repo = r.repo AND mine.id = r.id)
         QUALIFY row_number() OVER (PARTITION BY repo ORDER BY id) = 1""",
@@ -560,6 +566,15 @@ ORACLE["check_record"] = f"""SELECT v.repo, v.run_id, 'checked' AS status, v.rec
 ORACLE["run_completion"] = f"""SELECT repo, run_id, 'completed' AS status,
         replace({q(fixed.SUMMARY_CHECKED)}, '{{verdict}}', recommendation) AS completion_summary FROM ({ORACLE["run_verdict"]})"""
 
+ORACLE["brief_versions"] = """SELECT repo, count(DISTINCT id) AS brief_count, count(*) AS line_count, count(DISTINCT id) + 1 AS version_count
+        FROM brief_rows GROUP BY repo"""
+
+ORACLE["begin_record"] = f"""SELECT t.repo, t.run_id, 'started' AS status, t.n AS target_count, b.n AS line_count, coalesce(c.n, 0) AS command_count
+        FROM (SELECT repo, run_id, count(*) AS n FROM targets GROUP BY ALL) t
+        JOIN (SELECT repo, min(id) AS id FROM chosen GROUP BY repo) x ON x.repo = t.repo AND t.run_id = x.repo || '-' || x.id
+        JOIN (SELECT repo, id, count(*) AS n FROM brief_rows GROUP BY ALL) b ON b.repo = x.repo AND b.id = x.id
+        LEFT JOIN (SELECT repo, id, count(*) AS n FROM ({ORACLE["check_commands"]}) GROUP BY ALL) c ON c.repo = x.repo AND c.id = x.id"""
+
 
 def oracle_texts() -> dict[str, str]:
     """Complete DuckDB text per query; ``compact_payload`` is checked by rows and tests only."""

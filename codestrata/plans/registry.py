@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -606,8 +607,8 @@ def _checked_store(spark: SparkSession, sf_dir: str) -> str:
 def check_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stored check leaves: the run's newest version and its comparisons."""
     store = _checked_store(spark, sf_dir)
-    compared = spark.read.parquet(f"{store}/comparisons").groupBy("repo", "run_id").agg(F.count("*").alias("comparison_count"))
-    checks = spark.read.parquet(f"{store}/checks").select("repo", "run_id", "failure_count", "warning_count")
+    compared = stores.read_table(spark, store, "comparisons").groupBy("repo", "run_id").agg(F.count("*").alias("comparison_count"))
+    checks = stores.read_table(spark, store, "checks").select("repo", "run_id", "failure_count", "warning_count")
     current = stores.current_runs(stores.read_runs(spark, store)).select("repo", "run_id", "status", "last_verdict")
     return current.join(compared, ["repo", "run_id"]).join(checks, ["repo", "run_id"])
 
@@ -678,21 +679,26 @@ def next_unstarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _scan(spark, sf_dir)
     keys = runs.opportunity_keys(result.ranked, result.files_of)
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
-    started = users.select(
-        _repo(F.col("user_id") % USER_REPOS).alias("repo"), (F.floor(F.col("user_id") / USER_REPOS) + 1).alias("id")
-    ).join(keys, ["repo", "id"])
+    tasks = result.ranked.groupBy("repo").agg(F.max("id").alias("tasks"))
+    repos = result.ranked.agg(F.max(F.substring("repo", 5, 9).cast("long")) + 1).first()[0] or 1
+    started = (
+        users.select(_repo(F.col("user_id") % repos).alias("repo"), F.floor(F.col("user_id") / repos).alias("turn"))
+        .join(tasks, "repo")
+        .select("repo", (F.col("turn") % F.col("tasks") + 1).alias("id"))
+        .join(keys, ["repo", "id"])
+    )
     return runs.next_unstarted(result.ranked, keys, started)
 
 
 @register
 def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a scan, its briefs, its settings and a run log, and read them back."""
+    """Write a scan, its briefs and its settings, and read them back."""
     store = f"{stores.shared_folder(spark)}/store-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}"
     result = _scan(spark, sf_dir)
     scan.write_outputs(result, store, "s1")
     files = stores.read_scan(spark, store, "files")
     opportunities = stores.read_scan(spark, store, "opportunities")
-    briefs = stores.read_scan(spark, store, "briefs")
+    briefs = stores.read_briefs(spark, store)
     counted = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
     return (
         counted(files, "file_rows")
@@ -700,3 +706,34 @@ def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(counted(briefs.select("repo", "id").distinct(), "brief_count"), "repo", "left")
         .na.fill(0)
     )
+
+
+@register
+def brief_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All briefs of a scan written, then those of the best tasks once more: nothing is lost, and the newest version is read."""
+    store = f"{stores.shared_folder(spark)}/briefs-{uuid.uuid4().hex}"
+    result = _scan(spark, sf_dir)
+    chosen = outputs.limited(result.ranked)
+    lines = outputs.brief_lines(chosen, result.files_of, result.members, result.files, result.workspaces, result.project)
+    stores.write_brief_lines(lines, store, "s1")
+    best = chosen.groupBy("repo").agg(F.min("id").cast("string").alias("ref"))
+    scan.write_task_brief(result, best, store, "s1")
+    versions = stores.read_scan(spark, store, "briefs").groupBy("repo").agg(F.countDistinct("id", "batch").alias("version_count"))
+    counts = stores.read_briefs(spark, store).groupBy("repo").agg(F.countDistinct("id").alias("brief_count"), F.count("*").alias("line_count"))
+    return counts.join(versions, "repo")
+
+
+@register
+def begin_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the start of the best task of every repository stores: targets, brief and check commands."""
+    store = f"{stores.shared_folder(spark)}/begun-{uuid.uuid4().hex}"
+    result = dataclasses.replace(_scan(spark, sf_dir), params=Params(check_commands=(" make check ", "")))
+    best = outputs.limited(result.ranked).groupBy("repo").agg(F.min("id").alias("id"))
+    chosen = best.select("repo", "id", F.concat("repo", F.lit("-"), F.col("id").cast("string")).alias("run_id"))
+    none = result.listing.select("repo", "path").filter(F.lit(False))
+    scan.begin_runs(result, chosen, none, store)
+    counted = stores.read_runs(spark, store).select("repo", "run_id", "status")
+    for name, count in (("targets", "target_count"), ("run_briefs", "line_count"), ("run_commands", "command_count")):
+        counts = stores.read_table(spark, store, name).groupBy("repo", "run_id").agg(F.count("*").alias(count))
+        counted = counted.join(counts, ["repo", "run_id"], "left")
+    return counted.na.fill(0)

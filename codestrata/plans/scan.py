@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import duplicates, outputs, ranking, relations, rules
+from ..operators import duplicates, outputs, ranking, relations, rules, runs
 from ..operators.analysis import file_metrics
 from ..params import Params
 from ..sources import manifests as project_sources
 from ..sources.files import candidates, drop_ignored, ignore_rules, ignored_files, settings_files
-from ..sources.stores import materialize, settings_table, write_brief_lines, write_scan, write_settings
+from ..sources.stores import (
+    append_batch, materialize, read_table, settings_table, write_brief_lines, write_scan, write_settings,
+)
 
 
 @dataclass
@@ -106,8 +108,34 @@ def write_outputs(result: Scan, store: str, scan_id: str) -> None:
 
 
 def write_task_brief(result: Scan, wanted: DataFrame, store: str, scan_id: str) -> DataFrame:
-    """Write the briefs of the tasks named by ``wanted(repo, ref)`` and return the tasks."""
+    """Write the briefs of the tasks named by ``wanted(repo, ref)`` beside the others and return the tasks."""
     found = outputs.find_tasks(result.ranked, wanted)
     lines = outputs.brief_lines(found, result.files_of, result.members, result.files, result.workspaces, result.project)
-    write_brief_lines(lines, store, scan_id)
+    write_brief_lines(lines, store, scan_id, replace=False)
     return found
+
+
+def begin_runs(result: Scan, chosen: DataFrame, changed: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
+    """Start runs for ``chosen(repo, id, run_id)``: rows stored together, and rejected ones.
+
+    A run is its first version, the state of its target files, its brief and the commands
+    that check it.
+    """
+    started, targets, rejected = runs.begin(result.ranked, result.files_of, result.files, chosen, changed, result.params)
+    accepted = materialize(chosen.join(rejected.select("repo", "id"), ["repo", "id"], "left_anti"), "accepted")
+    tasks = result.ranked.join(accepted, ["repo", "id"], "left_semi")
+    files_of = result.files_of.join(accepted, ["repo", "id"], "left_semi")
+    briefs = outputs.brief_lines(tasks, files_of, result.members, result.files, result.workspaces, result.project)
+    commands = project_sources.check_commands(
+        files_of, result.files, result.project, result.manifests, result.workspaces, result.params
+    ).select("repo", "id", "command", "spot.*")
+    append_batch(
+        {
+            "runs": started,
+            "targets": targets,
+            "run_briefs": briefs.join(accepted, ["repo", "id"]),
+            "run_commands": commands.join(accepted, ["repo", "id"]),
+        },
+        store,
+    )
+    return read_table(result.listing.sparkSession, store, "targets"), rejected

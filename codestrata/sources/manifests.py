@@ -78,22 +78,35 @@ def package_managers(listing: DataFrame) -> DataFrame:
 
 
 def glob_pattern(glob: Column) -> Column:
-    """Regular expression of a workspace glob; wildcards do not match dot folders."""
-    trimmed = F.regexp_replace(glob, "/$", "")
-    escaped = F.regexp_replace(trimmed, r"([.+^$(){}|\\])", r"\\$1")
-    deep = F.replace(escaped, F.lit("**"), F.lit("\u0001"))
-    single = F.replace(F.replace(deep, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
-    return F.concat(F.lit("^"), F.replace(single, F.lit("\u0001"), F.lit(".*")), F.lit("$"))
+    """Regular expression for the manifests of a workspace glob, without its ``!``.
+
+    ``*`` and ``?`` stay in a folder, ``**/`` is any number of folders, none included,
+    ``{a,b}`` is one of its items.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(glob, "^!", ""), r"^\./", ""), "/$", "")
+    escaped = F.regexp_replace(F.concat(bare, F.lit(f"/{MANIFEST}")), r"([.+^$()|\\])", r"\\$1")
+    for sign, by in (("**/", "\u0001"), ("**", "\u0002"), ("*", "[^/]*"), ("?", "[^/]")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(by))
+    listed = escaped
+    for sign, by in (("{", "(?:"), ("}", ")"), (",", "|")):
+        listed = F.replace(listed, F.lit(sign), F.lit(by))
+    plain = F.regexp_replace(escaped, "([{}])", r"\\$1")
+    braced = F.when(escaped.rlike(r"\{[^{}]*,[^{}]*\}"), listed).otherwise(plain)
+    whole = F.replace(F.replace(braced, F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("\u0002"), F.lit(".*"))
+    return F.concat(F.lit("^"), whole, F.lit("$"))
 
 
 def workspaces(listing: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Workspaces: manifests in folders that match a glob of the root manifest.
+    """Workspaces: manifests in folders that match a glob of the root manifest, and none that starts with ``!``.
 
     The globs of a repository are one array on one row, so each manifest meets
     exactly one row of its repository.
     """
+    negated = lambda g: g.startswith("!")
     globs = manifests.filter((F.col("path") == MANIFEST) & (F.size("workspaces") > 0)).select(
-        "repo", F.transform("workspaces", glob_pattern).alias("globs")
+        "repo",
+        F.transform(F.filter("workspaces", lambda g: ~negated(g)), glob_pattern).alias("globs"),
+        F.transform(F.filter("workspaces", negated), glob_pattern).alias("barred"),
     )
     app_files = listing.filter(paths.base_name(F.col("path")) == "app.json").select(
         "repo", paths.directory(F.col("path")).alias("root_path"), F.lit(True).alias("app_file")
@@ -102,7 +115,7 @@ def workspaces(listing: DataFrame, manifests: DataFrame) -> DataFrame:
     inner = manifests.filter((F.col("path") != MANIFEST) & ~F.col("path").rlike(hidden))
     return (
         inner.join(globs, "repo")
-        .filter(F.exists("globs", lambda g: F.regexp_like("root_path", g)))
+        .filter(F.exists("globs", lambda g: F.regexp_like("path", g)) & ~F.exists("barred", lambda g: F.regexp_like("path", g)))
         .join(app_files, ["repo", "root_path"], "left")
         .select(
             "repo",

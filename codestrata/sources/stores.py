@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,9 @@ RUN_LOG_TYPE = (
 )
 
 
+COMMIT_TYPE = "batch string, committed_at long"
+
+
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     """Folder for intermediate tables that all executors see.
 
@@ -62,12 +66,58 @@ def read_scan(spark: SparkSession, store: str, name: str, scan_id: str | None =
     return table.filter(F.col("scan_id") == scan_id).drop("scan_id")
 
 
-def write_brief_lines(lines: DataFrame, store: str, scan_id: str) -> None:
-    """Replace the briefs of a scan; lines of one brief stay together and in order."""
-    order = ["repo", "id", "section", "item"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(
-        f"{store}/briefs/scan_id={scan_id}"
-    )
+# --- batches ------------------------------------------------------------------------------
+
+
+def append_batch(tables: dict[str, DataFrame], store: str) -> str:
+    """Append rows to several tables that count together or not at all.
+
+    The rows carry the id of their batch, which counts once its record is there: one
+    row in one file, written last. What a broken attempt left is never read, so the
+    attempt can simply be made again.
+    """
+    batch = uuid.uuid4().hex
+    for name, table in tables.items():
+        table.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{store}/{name}")
+    commit(next(iter(tables.values())).sparkSession, store, batch)
+    return batch
+
+
+def commit(spark: SparkSession, store: str, batch: str) -> None:
+    record = spark.range(1).select(F.lit(batch).alias("batch"), F.lit(time.time_ns()).alias("committed_at"))
+    record.coalesce(1).write.mode("append").parquet(f"{store}/commits")
+
+
+def committed(rows: DataFrame, store: str) -> DataFrame:
+    """Rows of committed batches, with ``committed_at``."""
+    return rows.join(rows.sparkSession.read.schema(COMMIT_TYPE).parquet(f"{store}/commits"), "batch")
+
+
+def read_table(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """Committed rows of a table that is written in batches."""
+    return committed(spark.read.parquet(f"{store}/{name}"), store).drop("batch", "committed_at")
+
+
+# --- briefs -------------------------------------------------------------------------------
+
+
+def write_brief_lines(lines: DataFrame, store: str, scan_id: str, replace: bool = True) -> None:
+    """Write briefs of a scan; lines of one brief stay together and in order.
+
+    All briefs of the scan are replaced, or (``replace`` false) a new version of the
+    given ones is added beside the others.
+    """
+    order, batch = ["repo", "id", "section", "item"], uuid.uuid4().hex
+    clustered = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("batch", F.lit(batch))
+    clustered.write.mode("overwrite" if replace else "append").parquet(f"{store}/briefs/scan_id={scan_id}")
+    commit(lines.sparkSession, store, batch)
+
+
+def read_briefs(spark: SparkSession, store: str, scan_id: str | None = None) -> DataFrame:
+    """Lines of the newest version of every brief of a scan, the latest by default."""
+    rows = committed(read_scan(spark, store, "briefs", scan_id), store)
+    newest = rows.groupBy("repo", "id").agg(F.max_by("batch", F.struct("committed_at", "batch")).alias("batch"))
+    return rows.join(newest, ["repo", "id", "batch"], "left_semi").drop("batch", "committed_at")
 
 
 # --- output settings --------------------------------------------------------------------
@@ -102,22 +152,17 @@ def effective_settings(repos: DataFrame, stored: DataFrame, fallback: OutputSett
 
 def append_runs(versions: DataFrame, store: str) -> None:
     """Append new versions of run rows; earlier versions are never changed."""
-    versions.write.mode("append").parquet(f"{store}/runs")
-
-
-def append_table(table: DataFrame, store: str, name: str) -> None:
-    table.write.mode("append").parquet(f"{store}/{name}")
+    append_batch({"runs": versions}, store)
 
 
 def store_check(comparisons: DataFrame, verdict: DataFrame, checked: DataFrame, store: str) -> None:
-    """Append the rows of a check; the new version of the run comes last."""
-    append_table(comparisons, store, "comparisons")
-    append_table(verdict, store, "checks")
-    append_runs(checked, store)
+    """Append the rows of a check and the new version of the run, which count together."""
+    append_batch({"comparisons": comparisons, "checks": verdict, "runs": checked}, store)
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG_TYPE).parquet(f"{store}/runs")
+    rows = spark.read.schema(f"{RUN_LOG_TYPE}, batch string").parquet(f"{store}/runs")
+    return committed(rows, store).drop("batch", "committed_at")
 
 
 def current_runs(versions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from codestrata.functions import blocks, paths, script, text
+from codestrata.sources import manifests
 
 PARCELS = '''import httpx
 from pydantic import BaseModel
@@ -306,3 +307,15 @@ def test_export_count(spark):
     }
     df = spark.createDataFrame([(k,) for k in rows], "code string")
     assert {r[0]: r[1] for r in df.select("code", script.export_count(F.col("code"))).collect()} == rows
+
+
+def test_workspace_globs(spark):
+    rows = {
+        ("apps/*", "apps/a"): True, ("apps/*", "apps/a/b"): False, ("apps/*/", "apps/a"): True, ("./apps/*", "apps/a"): True,
+        ("packages/**", "packages"): True, ("packages/**", "packages/a/b"): True, ("packages/**", "packagesx/a"): False,
+        ("{a,b}/*", "a/x"): True, ("{a,b}/*", "b/x"): True, ("{a,b}/*", "c/x"): False, ("{a}/*", "{a}/x"): True,
+        ("**/ui", "ui"): True, ("**/ui", "x/y/ui"): True, ("a?c/(x)+", "abc/(x)+"): True, ("!apps/old", "apps/old"): True, ("a.b", "axb"): False,
+    }
+    df = spark.createDataFrame([(*k, f"{k[1]}/package.json") for k in rows], "glob string, folder string, path string")
+    matched = df.select("glob", "folder", F.regexp_like("path", manifests.glob_pattern(F.col("glob"))).alias("m"))
+    assert {(r[0], r[1]): r[2] for r in matched.collect()} == rows

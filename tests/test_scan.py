@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from codestrata.operators import advice, analysis, duplicates, outputs, ranking, relations, rules, runs
 from codestrata.params import OutputSettings, Params, Thresholds
@@ -376,7 +377,7 @@ def test_store_roundtrip_and_run_log(monorepo, spark, tmp_path):
     scan.write_outputs(monorepo, store, "s1")
     scan.write_outputs(monorepo, store, "s2")
     assert stores.read_scan(spark, store, "opportunities").count() == monorepo.ranked.count()
-    briefs = stores.read_scan(spark, store, "briefs").select("repo", "id").distinct().count()
+    briefs = stores.read_briefs(spark, store).select("repo", "id").distinct().count()
     assert briefs == outputs.limited(monorepo.ranked, LOW.output).count()
     log = [("repo", "r1", "k", "started", 1), ("repo", "r1", "k", "checked", 2), ("repo", "r2", "k", "started", 1)]
     versions = spark.createDataFrame(log, "repo string, run_id string, opportunity_key string, status string, t int").select(
@@ -391,3 +392,73 @@ def test_store_roundtrip_and_run_log(monorepo, spark, tmp_path):
     stores.append_runs(done, store)
     final = stores.current_runs(stores.read_runs(spark, store)).filter("run_id = 'r1'").first()
     assert (final["status"], final["completion_summary"]) == ("completed", "Completed without a recorded check result.")
+
+
+def test_writing_one_brief_keeps_the_others(monorepo, spark, tmp_path):
+    store = str(tmp_path)
+    scan.write_outputs(monorepo, store, "s1")
+    before = sorted(map(tuple, stores.read_briefs(spark, store).collect()))
+    wanted = spark.createDataFrame([("repo", "1"), ("repo", "none")], "repo string, ref string")
+    changed = replace(monorepo, ranked=monorepo.ranked.withColumn("title", F.concat("title", F.lit(" (new)"))))
+    assert scan.write_task_brief(changed, wanted, store, "s1").count() == 1
+    after = sorted(map(tuple, stores.read_briefs(spark, store).collect()))
+    other = lambda rows: [r for r in rows if r[1] != 1]
+    assert other(after) == other(before) and len(other(after)) > 0
+    assert after != before and any("(new)" in str(r) for r in after)
+    scan.write_outputs(monorepo, store, "s1")
+    assert sorted(map(tuple, stores.read_briefs(spark, store).collect())) == before
+
+
+@pytest.mark.parametrize("broken", ["checks", "runs", "commits"])
+def test_a_check_that_breaks_off_does_not_count(spark, tmp_path, monkeypatch, broken):
+    store = str(tmp_path)
+    names = "repo string, run_id string, opportunity_key string, status string"
+    run = lambda status, at: spark.createDataFrame([("r", "1", "k", status)], names).select(
+        "*", F.lit(0).cast("timestamp").alias("created_at"), F.timestamp_seconds(F.lit(at)).alias("updated_at"),
+        F.lit("ok").alias("last_verdict"), F.lit(None).cast("string").alias("completion_summary"),
+    )
+    stores.append_runs(run("started", 1), store)
+    comparisons = spark.createDataFrame([("r", "1", f"f{k}") for k in range(3)], "repo string, run_id string, path string")
+    verdict = spark.createDataFrame([("r", "1", 0, 1)], "repo string, run_id string, failure_count int, warning_count int")
+    written = DataFrameWriter.parquet
+
+    def failing(self, path, *arguments, **named):
+        if path.endswith(f"/{broken}"):
+            raise OSError("lost")
+        return written(self, path, *arguments, **named)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", failing)
+        with pytest.raises(OSError, match="lost"):
+            stores.store_check(comparisons, verdict, run("checked", 2), store)
+    assert stores.read_table(spark, store, "comparisons").count() == 0
+    assert [r["status"] for r in stores.current_runs(stores.read_runs(spark, store)).collect()] == ["started"]
+    stores.store_check(comparisons, verdict, run("checked", 2), store)
+    assert stores.read_table(spark, store, "comparisons").count() == 3
+    assert stores.read_table(spark, store, "checks").count() == 1
+    assert [r["status"] for r in stores.current_runs(stores.read_runs(spark, store)).collect()] == ["checked"]
+
+
+def test_only_contents_of_targets_are_shuffled(spark):
+    listing = spark.range(3000).select(F.concat(F.lit("r"), F.col("id") % 7).alias("repo"), F.concat(F.lit("f"), "id").alias("path"), F.lit("x").alias("content"))
+    targets = listing.filter("path like '%5'").select("repo", "path", F.lit("run").alias("run_id"))
+    assert sorted(map(tuple, runs.possible_targets(targets, listing, bits=24).collect())) == sorted(map(tuple, listing.filter("path like '%5'").collect()))
+    assert runs.possible_targets(targets, listing, bits=4).count() > 300  # a small bitmap lets others pass, and loses none
+    assert runs.snapshot_contents(targets, listing).count() == 300
+    assert runs.snapshot_contents(targets.limit(0), listing).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = runs.snapshot_contents(targets, listing)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    before_exchange = plan[plan.index("Exchange hashpartitioning(repo") :]
+    assert "bitmap" in before_exchange and "BroadcastHashJoin" in before_exchange
+
+
+def test_every_path_of_a_task_is_guarded(spark):
+    ranked = spark.createDataFrame([("r", 1, 2, "a.py"), ("r", 2, 1, "a.py"), ("r", 3, 1, "../a.py")], "repo string, id long, file_count int, primary_path string")
+    files_of = spark.createDataFrame([("r", 1, "a.py"), ("r", 1, "x/../../b.py"), ("r", 2, "y/../a.py"), ("r", 3, "../a.py")], "repo string, id long, path string")
+    none = spark.createDataFrame([], "repo string, path string")
+    found = {r["id"]: r["error"] is None for r in runs.guard(ranked, none, Params(), files_of).collect()}
+    assert found == {1: False, 2: True, 3: False}
+    assert {r["id"]: r["error"] is None for r in runs.guard(ranked, none).collect()} == {1: True, 2: True, 3: False}
