@@ -56,7 +56,7 @@ class WordTokenizer:
     ODD = re.compile("[^\u0000-˿]|[\x1c-\x1f\x85ª²³¹º¼-¾İ]")
     END = "</w>"
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
