@@ -7,9 +7,10 @@ vertices enter in batches, get exponentially distributed levels, search their
 neighbours from the top layer down and keep diverse ones. Then every block of
 vertices of a label queries every shard of it. A query widens its beam as long as
 its last entry is still a link, and a block widens all beams until an audit against
-a full scan of the shard for a few of its queries reaches ``recall``; where beams as
-wide as the shard do not pass, the block scans the shard. So there is no cap on the
-number of links. Found pairs are verified in double precision and united by
+a full scan of the shard for a few of its queries passes: ``recall`` of their links and
+``near_recall`` of their ten nearest vertices, links or not, so there is always something
+to find. Where beams as wide as the shard do not pass, the block scans the shard. So there
+is no cap on the number of links. Found pairs are verified in double precision and united by
 ``components.connected``.
 
 Shards and query blocks bound every task; both sides of the block-shard join are
@@ -51,6 +52,8 @@ class Settings:
     beam: int = 64
     audits: int = 32
     recall: float = 0.995
+    near: int = 10
+    near_recall: float = 0.9
     seed: int = 3
 
 
@@ -176,6 +179,13 @@ class Graph:
         ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
         return np.where(near > -np.inf, ids, NONE), near
 
+    def nearest(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Vertices that a beam ends with, nearest first."""
+        entry = np.zeros((len(queries), 1), np.int32)
+        for layer in range(len(self.links) - 1, 0, -1):
+            entry = self.search_layer(layer, queries, entry, 8)[0]
+        return self.search_layer(0, queries, entry, min(beam, len(self.vectors)))[0]
+
     def links_of(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, vertex) pairs of similarity ``least`` or more; full beams of links are widened."""
         n = len(self.vectors)
@@ -207,7 +217,11 @@ def block_links(graph: Graph, ids: np.ndarray, exact: np.ndarray, query_ids: np.
     loose = s.threshold - 1e-4
     single = queries.astype(np.float32)
     sample = np.linspace(0, len(queries) - 1, min(s.audits, len(queries))).astype(int)
-    true = set(map(tuple, np.argwhere(single[sample] @ graph.vectors.T >= loose).tolist()))
+    scores = single[sample] @ graph.vectors.T
+    true = set(map(tuple, np.argwhere(scores >= loose).tolist()))
+    close = np.argsort(-scores, axis=1, kind="stable")[:, : s.near]
+    # What is as near as the last of them may stand in its place.
+    last = np.take_along_axis(scores, close[:, -1:], 1)
     beam, recall = s.beam, 0.0
     while True:
         a, b = graph.links_of(single, loose, beam)
@@ -215,7 +229,10 @@ def block_links(graph: Graph, ids: np.ndarray, exact: np.ndarray, query_ids: np.
         place[sample] = np.arange(len(sample))
         hit = place[a] != NONE
         recall = len(true & set(zip(place[a[hit]].tolist(), b[hit].tolist(), strict=True))) / len(true) if true else 1.0
-        if recall >= s.recall:
+        seen = graph.nearest(single[sample], beam)
+        as_near = (np.take_along_axis(scores, np.maximum(seen, 0), 1) >= last - 1e-6) & (seen != NONE)
+        reached = np.minimum(as_near.sum(axis=1), close.shape[1]).sum() / max(close.size, 1)
+        if recall >= s.recall and reached >= s.near_recall:
             break
         if beam >= len(ids):
             parts = [np.nonzero(single[k : k + 256] @ graph.vectors.T >= loose) for k in range(0, len(single), 256)]

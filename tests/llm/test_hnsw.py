@@ -88,3 +88,17 @@ def test_query_recall_on_the_small_table(spark):
     expected = brute([(r["vec_id"], list(r["embedding"]), r["label"]) for r in table], 0.93)
     found = queries.QUERIES["op1_hnsw_near_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=repr) == expected
+
+
+def test_a_graph_without_edges_fails_the_audit_without_links_in_the_sample():
+    rng = np.random.default_rng(4)
+    shard, asking = rng.normal(size=(600, 24)), rng.normal(size=(300, 24))
+    asking[7] = shard[450] + 1e-3  # the only link; the audit samples four other queries
+    ids, query_ids = np.arange(600), np.arange(1000, 1300)
+    settings = hnsw.Settings(threshold=0.93, audits=4)
+    graph = hnsw.Graph(hnsw.unit(shard).astype(np.float32), settings)
+    a, b, beam, _ = hnsw.block_links(graph, ids, hnsw.unit(shard), query_ids, hnsw.unit(asking))
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1007, 450)] and beam > 0
+    graph.links = [np.full_like(layer, hnsw.NONE) for layer in graph.links]
+    a, b, beam, _ = hnsw.block_links(graph, ids, hnsw.unit(shard), query_ids, hnsw.unit(asking))
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1007, 450)] and beam == 0
