@@ -112,14 +112,13 @@ def host_rates(measured: DataFrame, rules: dict[str, str]) -> DataFrame:
         # 1 / (alpha + beta + 1): 0 if chance explains all variation, 1 if every host fails as a whole or not at all
         tie = F.when(F.col("hosts") == 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(excess / F.nullif(room, F.lit(0.0)), F.lit(0.0)))))
         prior = prior.withColumns({f"mean_{name}": mean, f"tie_{name}": tie})
-    prior = prior.select(*[f"{kind}_{name}" for name in rules for kind in ("mean", "tie")])
+    prior = prior.first()  # one row, whatever the number of hosts
 
     def shrunk(name: str) -> Column:
-        mean, tie = F.col(f"mean_{name}"), F.col(f"tie_{name}")
+        mean, tie = (F.lit(prior[f"{kind}_{name}"]).cast("double") for kind in ("mean", "tie"))
         return (tie * F.col(f"failed_{name}") + (1 - tie) * mean) / (tie * F.col("n") + (1 - tie))
 
-    # The prior is one row.
-    return counts.join(F.broadcast(prior)).select("host", "n", *[shrunk(name).alias(name) for name in rules])
+    return counts.select("host", "n", *[shrunk(name).alias(name) for name in rules])
 
 
 def judge(

@@ -1,9 +1,13 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 
 import corpus_pipeline as pipeline
-from codestrata.llm import packing, simhash
+from codestrata.llm import langid, packing, simhash
 from llm.test_simhash import brute_components
 from llm.test_suffix_dedup import brute_spans
 
@@ -78,3 +82,42 @@ def test_extra_columns_with_clashing_names(spark):
         docs = spark.createDataFrame((out := stage(spark, docs, "")).collect(), out.schema)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "key", "fp"], name
     assert pipeline.pack(spark, docs, "").count() > 0
+
+
+def test_without_labels_every_text_with_a_letter_stays(spark):
+    rows = [(k, t, None, "s", len(t or "")) for k, t in enumerate(["words here", "½ 12", None, "", "你", "x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in pipeline.language_id(spark, docs, "").collect()) == [0, 4, 5]
+
+
+def test_texts_that_are_far_from_a_learned_language_leave(spark):
+    """The best label has to score more than an even share; clean texts do."""
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, settings=langid.Settings(window=32, per_label=40, epochs=8))
+    for k in model.weights:
+        model.weights[k][:] = 0  # every label now scores a third
+    assert langid.drop_unknown(docs, model).count() == 0
+    assert langid.drop_unknown(docs, model, excess=0.0).count() == docs.where("text rlike '[a-z]'").count()
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+    .config("spark.checkpoint.dir", {shared!r}).getOrCreate())
+print("pieces", corpus_pipeline.run(spark, {data!r}).count())
+"""
+
+
+def test_runs_from_another_folder(spark, tmp_path):
+    """Workers that cannot import the package get it from the driver."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(documents(5)[:40], schema).write.parquet(str(tmp_path / "data" / "documents.parquet"))
+    root = str(Path(pipeline.__file__).resolve().parent)
+    environment = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    code = SCRIPT.format(root=root, shared=str(tmp_path / "shared"), data=str(tmp_path / "data"))
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("pieces")[-1]) > 0
