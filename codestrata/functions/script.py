@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from . import paths, tokens
 from .blocks import line_slice
-from .text import bind, body_hash, keywords, lines_of, matches, occurrences, whole_words, word_starts
+from .text import bind, body_hash, built_once, keywords, lines_of, matches, occurrences, whole_words, word_starts
 
 NAME = r"[A-Za-z_$][\w$]*"
 # Every character of a file belongs to exactly one piece. The possessive loops
@@ -259,7 +259,11 @@ def heads(x: Column, last: Column, known: Column | None = None) -> Column:
 
     def expression_end(arrow: Column, following: Column, last: Column) -> Column:
         """Place of the last token of an arrow's body; following: place of the next bracket among the brackets."""
-        b = F.get(found, following)
+        return bind(
+            F.struct(F.get(found, following).alias("b"), arrow.alias("arrow")), lambda y: body_end(y["arrow"], y["b"], last)
+        )
+
+    def body_end(arrow: Column, b: Column, last: Column) -> Column:
         between = F.slice(texts, arrow + 2, F.greatest(b["p"] - arrow - 1, F.lit(0)))
         reaches = b["opens"] & b["partner"].isNotNull() & ~F.arrays_overlap(between, F.array(F.lit(","), F.lit(";")))
         block = (b["sign"] == "{") & (b["p"] == arrow + 1)
@@ -268,11 +272,22 @@ def heads(x: Column, last: Column, known: Column | None = None) -> Column:
         return F.when(open_end, F.lit(None).cast("int")).otherwise(F.coalesce(F.get(found, end)["p"], F.least(arrow + 1, total - 1)))
 
     def of_paren(paren: Column, last: Column) -> Column:
+        """A head, if a body, an arrow or a type follows or a function word stands before; most parentheses have neither."""
         before, after = paren["before"], paren["after"]
-        to_arrow, to_block = F.regexp_extract(after, TO_ARROW, 0), F.regexp_extract(after, TO_BLOCK, 0)
-        function, method = F.regexp_extract(before, FUNCTION, 0), F.regexp_extract(before, METHOD, 0)
+        read = F.struct(
+            F.regexp_extract(after, TO_ARROW, 0).alias("to_arrow"), F.regexp_extract(after, TO_BLOCK, 0).alias("to_block"),
+            F.regexp_extract(before, FUNCTION, 0).alias("function"), F.regexp_extract(before, METHOD, 0).alias("method"),
+            F.regexp_extract(before, METHOD, 1).alias("modifiers"), F.regexp_extract(before, METHOD, 2).alias("method_name"),
+            F.regexp_extract(before, ASYNC_ARROW, 0).alias("tail"),
+        )
+        possible = after.startswith("=>") | after.startswith("{") | after.startswith(":") | before.rlike(FUNCTION)
+        return F.when(possible, bind(read, lambda words: of_words(paren, words, last)))
+
+    def of_words(paren: Column, words: Column, last: Column) -> Column:
+        before = paren["before"]
+        to_arrow, to_block, function, method = (words[c] for c in ("to_arrow", "to_block", "function", "method"))
         close = F.get(found, paren["i"])["partner"]
-        signs = lambda words: F.length(F.regexp_replace(words, r"[^(){}\[\]]", ""))
+        signs = lambda text: F.length(F.regexp_replace(text, r"[^(){}\[\]]", ""))
         block_end = F.get(found, F.get(found, close + signs(to_block))["partner"])["p"]
         up = F.get(x["parents"], paren["i"])
         arrow = paren["q"] + tokens.word_count(to_arrow)
@@ -283,23 +298,23 @@ def heads(x: Column, last: Column, known: Column | None = None) -> Column:
             F.rtrim(F.regexp_replace(before, FUNCTION, "")), F.regexp_extract(before, FUNCTION, 1),
             function.startswith("async"), paren["i"], F.lit(False),
         )
-        tail = F.regexp_extract(before, ASYNC_ARROW, 0)
+        tail = words["tail"]
         of_arrow = spanned(
             paren["p"] - tokens.word_count(F.trim(tail)), expression_end(arrow, close + signs(to_arrow) + 1, last),
             F.rtrim(F.regexp_replace(before, ASYNC_ARROW, "")), F.lit(""), tail.startswith("async"), paren["i"], F.lit(True),
         )
         of_method = spanned(
-            paren["p"] - tokens.word_count(method), block_end, F.lit(""), F.regexp_extract(before, METHOD, 2),
-            F.regexp_extract(before, METHOD, 1).rlike(r"(?<!\w)async(?!\w)"), paren["i"], F.lit(False),
+            paren["p"] - tokens.word_count(method), block_end, F.lit(""), words["method_name"],
+            words["modifiers"].rlike(r"(?<!\w)async(?!\w)"), paren["i"], F.lit(False),
         )
         is_method = (
-            (to_block != "") & (method != "") & ~F.regexp_extract(before, METHOD, 2).isin(NOT_METHODS)
+            (to_block != "") & (method != "") & ~words["method_name"].isin(NOT_METHODS)
             & ~before.rlike(ACCESSOR) & (F.get(found, up)["sign"] == "{")
         )
         # Function types are found, too, and keep their arrows from being read as those of a single name.
         return (
             F.when(function != "", of_function)
-            .when(to_arrow != "", F.when(_type_arrow(x, paren, arrow, up), of_arrow.withField("kind", F.lit("type"))).otherwise(of_arrow))
+            .when(to_arrow != "", bind(of_arrow, lambda h: h.withField("kind", F.when(_type_arrow(x, paren, arrow, up), "type").otherwise(h["kind"]))))
             .when(is_method, of_method)
         )
 
@@ -363,12 +378,16 @@ def call_roots(found: Column, named: Column, places: Column) -> Column:
     def state(c: Column) -> Column:
         before = F.get(found, c["i"] - 1)
         linked = _on_result(c) & (before["sign"] == ")") & (before["p"] == c["start"] - 2) & before["partner"].isNotNull()
-        place = tokens.first_at_least(places, before["partner"])
+        place = F.when(F.coalesce(linked, F.lit(False)), tokens.first_at_least(places, before["partner"]))
         first = F.substring_index(c["chain"], " ", 1)
         no_root = _on_result(c) | first.isin("this", "super") | F.coalesce(c["previous"] == "new", F.lit(False))
         root = F.struct(F.when(no_root, "").otherwise(first).alias("name"), c["start"].alias("start"))
-        link = F.when(F.coalesce(linked, F.lit(False)) & (F.get(places, place) == before["partner"]), place)
-        return F.struct(F.when(link.isNull(), root).alias("value"), link.alias("link"))
+
+        def placed(at: Column) -> Column:
+            link = F.when(F.get(places, at) == before["partner"], at)
+            return F.struct(F.when(link.isNull(), root).alias("value"), link.alias("link"))
+
+        return bind(place, placed)
 
     return F.transform(named, state)
 
@@ -548,8 +567,11 @@ def functions(
 
     def body_of(h: Column, i: Column) -> Column:
         end = F.coalesce(h["end"], F.size(code_lines))
-        first = tokens.first_at_least(places, h["start_p"])
-        own = F.slice(called, first + 1, F.greatest(tokens.first_at_least(places, h["end_p"] + 1) - first, F.lit(0)))
+        place = lambda p: tokens.first_at_least(places, p)
+        own = bind(
+            F.struct(place(h["start_p"]).alias("a"), place(h["end_p"] + 1).alias("b")),
+            lambda y: F.slice(called, y["a"] + 1, F.greatest(y["b"] - y["a"], F.lit(0))),
+        )
         return bind(
             F.struct(
                 line_slice(code_lines, h["start"], end).alias("lines"), line_slice(facts, h["start"], end).alias("facts"),
@@ -601,19 +623,18 @@ def functions(
     return F.transform(F.filter(found, lambda h: h["kind"] != "type"), body_of)
 
 
-def with_parsed(files: DataFrame, code: Column, bare: Column) -> DataFrame:
-    """``files`` with ``parsed``: calls and functions of a script, ``struct<calls, functions>``.
+@built_once
+def _steps() -> list[tuple[str, Column]]:
+    """Columns from the lines of a file to its calls and functions, each made of earlier ones.
 
-    One step after the other is a column, handed on as a whole, so every step is evaluated once.
+    What a step reads is handed on as a whole, so every step is evaluated once.
     """
+    out: list[tuple[str, Column]] = []
 
     def step(name: str, inputs: list[str], make: Callable[..., Column]) -> None:
-        nonlocal files
         given = F.struct(*[F.col(f"_{c}").alias(c) for c in inputs])
-        files = files.withColumn(f"_{name}", bind(given, lambda y: make(*[y[c] for c in inputs])))
+        out.append((f"_{name}", bind(given, lambda y: make(*[y[c] for c in inputs]))))
 
-    kept = files.columns
-    files = files.withColumns({"_code": lines_of(code), "_bare": lines_of(bare), "_bindings": import_bindings(bare)})
     step("stream", ["code"], tokens.tokens)
     step("signs", ["stream"], tokens.signs)
     step("depths", ["signs"], tokens.depths)
@@ -621,11 +642,12 @@ def with_parsed(files: DataFrame, code: Column, bare: Column) -> DataFrame:
     step("partners", ["ordered"], tokens.partners)
     step("brackets", ["signs", "partners"], tokens.brackets)
     step("parents", ["brackets"], tokens.parents)
+    step("places", ["brackets"], lambda b: F.transform(b, lambda s: s["p"]))
     step("texts", ["stream"], lambda s: F.transform(s, lambda t: t["t"]))
     step("numbers", ["stream"], lambda s: F.transform(s, lambda t: t["n"]))
     step("parens", ["texts", "brackets"], parens)
-    step("places", ["brackets"], lambda b: F.transform(b, lambda s: s["p"]))
-    files = files.withColumn("_x", F.struct(*[F.col(f"_{c}").alias(c) for c in ("texts", "numbers", "brackets", "parents", "parens", "places")]))
+    index = ("texts", "numbers", "brackets", "parents", "parens", "places")
+    out.append(("_x", F.struct(*[F.col(f"_{c}").alias(c) for c in index])))
     step("ends", ["x"], _chains)
     step("last", ["ends"], tokens.inherited)
     step("known", ["x", "last"], heads)
@@ -638,6 +660,15 @@ def with_parsed(files: DataFrame, code: Column, bare: Column) -> DataFrame:
     step("call_places", ["calls"], lambda k: F.transform(k, lambda c: c["p"]))
     step("facts", ["code"], line_facts)
     step("functions", ["x", "heads", "calls", "call_places", "facts", "code", "bare", "bindings"], functions)
+    return out
+
+
+def with_parsed(files: DataFrame, code: Column, bare: Column) -> DataFrame:
+    """``files`` with ``parsed``: calls and functions of a script, ``struct<calls, functions>``."""
+    kept = files.columns
+    files = files.withColumns({"_code": lines_of(code), "_bare": lines_of(bare), "_bindings": import_bindings(bare)})
+    for name, column in _steps():
+        files = files.withColumn(name, column)
     return files.select(*kept, F.struct(F.col("_calls").alias("calls"), F.col("_functions").alias("functions")).alias("parsed"))
 
 
