@@ -56,7 +56,7 @@ class WordTokenizer:
     ODD = re.compile("[^\u0000-˿]|[\x1c-\x1f\x85ª²³¹º¼-¾İ]")
     END = "</w>"
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,16 +65,17 @@ class WordTokenizer:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith(self.END)]] = True
+        # Of words and of units those asked for lately, and those before them.
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.older_known: dict[str, bytes] = {}
+        self.older_units: dict[str, bytes] = {}
         self.remembered = remembered
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
         ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         ids = np.array(ids, dtype=np.int32)
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -86,15 +87,27 @@ class WordTokenizer:
 
     def _add(self, units: list[str]) -> None:
         """Ids of units that are not known, from those of their words."""
-        split = [self.WORDS.findall(u) for u in units]
-        missing = {w for words in split for w in words if w not in self.known}
+        half = self.remembered // 2
+        if len(self.units) + len(units) > half:
+            self.older_units, self.units = self.units, {}
+        if len(self.known) > half:
+            self.older_known, self.known = self.known, {}
+        before = self.older_units.get
+        new = []
+        for u in units:
+            ids = before(u)
+            if ids is None:
+                new.append(u)
+            else:
+                self.units[u] = ids
+        split = [self.WORDS.findall(u) for u in new]
+        known, older = self.known, self.older_known
+        missing = {w for words in split for w in words if w not in known}
+        known.update((w, older[w]) for w in missing if w in older)
+        missing = [w for w in missing if w not in known]
         if missing:
-            if len(self.known) + len(missing) > self.remembered:
-                missing = {w for words in split for w in words}
-            self._learn(list(missing))
-        if len(self.units) + len(units) > self.remembered:
-            self.units.clear()
-        self.units.update((u, b"".join([self.known[w] for w in words])) for u, words in zip(units, split, strict=True))
+            self._learn(missing)
+        self.units.update((u, b"".join([known[w] for w in words])) for u, words in zip(new, split, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
