@@ -56,7 +56,7 @@ class WordTokenizer:
     ODD = re.compile("[^\u0000-˿]|[\x1c-\x1f\x85ª²³¹º¼-¾İ]")
     END = "</w>"
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,13 +135,15 @@ class WordTokenizer:
         return text.lower().split()
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+#: Words and units that a worker keeps, each: some 400 MB, which spare looking up rare words again.
+REMEMBERED = 1_200_000
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer_of(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
+    if (path, remembered) not in _TOKENIZERS:
+        _TOKENIZERS[path, remembered] = WordTokenizer(path, remembered)
+    return _TOKENIZERS[path, remembered]
 
 
 # --- packing ------------------------------------------------------------------------------
@@ -198,9 +200,9 @@ class Packer:
 
 
 def _packed(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, linear: float, quadratic: float, end: int, block: int
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, linear: float, quadratic: float, end: int, block: int, remembered: int
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer, packer = tokenizer_of(path), Packer(capacity, linear, quadratic)
+    tokenizer, packer = tokenizer_of(path, remembered), Packer(capacity, linear, quadratic)
     base = TaskContext.get().partitionId() << 33
     ids: list[np.ndarray] = []
     names: list = []
@@ -250,12 +252,13 @@ def _packed(
 def pack(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None,
     capacity: int = 2048, end: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 20,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Pieces ``id, start, length, doc_tokens, sequence_id, offset, ids`` (ids: little-endian unsigned 32-bit)."""
     path = tokenizer or default_tokenizer()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = dict(plain.dtypes)["id"]
     return plain.mapInArrow(
-        lambda batches: _packed(batches, path, capacity, linear, quadratic, end, block_tokens),
+        lambda batches: _packed(batches, path, capacity, linear, quadratic, end, block_tokens, remembered),
         f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",
     )
