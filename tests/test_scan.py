@@ -240,12 +240,12 @@ def test_brief_of_duplicate(monorepo):
 
 
 def test_python_duplicates(listing):
-    result = scan.scan(listing({"src/billing/invoices.py": SHIPPING, "src/billing/payments.py": SHIPPING}), LOW)
+    result = scan.scan(listing({"src/parcels/quotes.py": SHIPPING, "src/parcels/returns.py": SHIPPING}), LOW)
     row = result.ranked.filter("is_duplicate").first()
     assert (row["title"], row["impact"], row["risk"], row["confidence"], row["priority"], row["priority_label"]) == (
         "Deduplicate shipping_fee Logic", 4, 3, 5, 17, "Low",
     )
-    assert row["helper_path"] == "src/billing/extract_shipping_fee_helper.py"
+    assert row["helper_path"] == "src/parcels/extract_shipping_fee_helper.py"
     assert row["file_count"] == 2
 
 
