@@ -23,6 +23,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +114,13 @@ class WordTokenizer:
         out: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
             split = [self._split(t or "") for t in texts[at : at + 64]]
-            units = [u for own in split if own for u in own]
+            units = list(chain.from_iterable(own for own in split if own))
             found = list(map(self.units.get, units))
-            if None in found:
-                new = {u for u, ids in zip(units, found, strict=True) if ids is None}
-                self._add(list(new))  # after this the new ones are known; others may be forgotten
-                found = [self.units[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+            new = [k for k, ids in enumerate(found) if ids is None]
+            if new:
+                self._add(list({units[k] for k in new}))  # after this the new ones are known; others may be forgotten
+                for k in new:
+                    found[k] = self.units[units[k]]
             end = 0
             for text, own in zip(texts[at : at + 64], split, strict=True):
                 if own is None:
