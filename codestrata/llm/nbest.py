@@ -26,9 +26,12 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -62,12 +65,10 @@ class Way(NamedTuple):
         return tuple(np.frombuffer(self.data, "<u4").tolist())
 
 
-class Best(NamedTuple):
-    """The best way through a small lattice, and what the second one costs more."""
-
-    score: float
-    data: bytes
-    more: float
+#: The best way through a small lattice and what the second one costs more: score, ids, cost.
+#: Plain tuples of plain values; the garbage collector does not go through the many remembered ones.
+Best = tuple[float, bytes, float]
+SCORE, IDS, COST = map(itemgetter, range(3))
 
 
 class Memory(dict):
@@ -106,15 +107,21 @@ class Lattice:
         self.openings = {p[:k]: self.packed.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.units = FINE if all(FINE.findall(p) == [p] for p in self.pieces) else COARSE
-        #: Pieces by their signs: what follows, score and id if the beginning is a piece itself.
-        self.trie: dict = {}
+        #: Pieces by their signs: the lookup of what follows, score and id if the beginning is a piece itself.
+        #: A first sign that is no piece stands for its bytes.
+        trie: dict = {}
         for piece, (score, data) in self.packed.items():
-            node, children = None, self.trie
+            node, children = None, trie
             for sign in piece:
                 if node is not None:
-                    node[0] = children = node[0] or {}
+                    node[0] = node[0] or {}.get
+                    children = node[0].__self__
                 node = children.setdefault(sign, [None, None, None])
             node[1:] = score, data
+        for sign, node in trie.items():
+            if node[2] is None:
+                node[1:] = self._unknown(sign)
+        self.trie = trie.get
         #: What an id stands for by itself, as UTF-8: pieces and ASCII bytes; others (length 0) depend on their neighbours.
         signs = {i: p.replace(BLANK, " ") for p, (i, _) in self.pieces.items()} | {i: chr(b) for b, i in self.bytes.items() if b < 128}
         signs = [signs.get(i, "").encode() for i in range(m.get_piece_size())]
@@ -150,35 +157,36 @@ class Lattice:
         size = len(text)
         first, second = [0.0] + [low] * size, [low] * (size + 1)
         back, by = [0] * (size + 1), [b""] * (size + 1)
-        root = self.trie.get
+        root = self.trie
         for start in range(size):
             one, two = first[start], second[start]
-            further, score, data = root(text[start]) or (None, None, None)
-            if data is None:
-                score, data = self._unknown(text[start])
-            end = start + 1
-            while True:
+            further, end = root, start
+            for sign in text[start : start + self.longest]:
+                node = further(sign)
+                if node is None:
+                    if end > start:
+                        break
+                    node = (None, *self._unknown(sign))
+                further, score, data = node
+                end += 1
                 if data is not None:
                     total, other, best = one + score, two + score, first[end]
                     if total > best:
-                        first[end], back[end], by[end] = total, start, data
+                        first[end] = total
+                        back[end] = start
+                        by[end] = data
                         total = best
                     if total > other:
                         other = total
                     if other > second[end]:
                         second[end] = other
-                if end == size or further is None:
-                    break
-                node = further.get(text[end])
-                if node is None:
+                if further is None:
                     break
-                further, score, data = node
-                end += 1
         out, place = [], size
         while place:
             out.append(by[place])
             place = back[place]
-        return Best(first[size], b"".join(out[::-1]), first[size] - second[size])
+        return first[size], b"".join(out[::-1]), first[size] - second[size]
 
     def solve(self, text: str) -> list[Way]:
         """The n best ways, best first: A-star search from the end."""
@@ -206,7 +214,7 @@ class Lattice:
         if len(parts) == 1:
             return parts[0]
         scores, data, more = zip(*parts, strict=True)
-        return Best(sum(scores), b"".join(data), min(more))
+        return sum(scores), b"".join(data), min(more)
 
     def _split(self, text: str) -> list[str]:
         """Wide units of a text."""
@@ -230,9 +238,9 @@ class Lattice:
         else:
             units = self.units.findall(BLANK + text.replace(" ", BLANK))
             parts = list(map(self.known.__getitem__, units))
-        data = [p[1] for p in parts]
-        total = sum([p[0] for p in parts])
-        more = np.array([p[2] for p in parts])
+        data = list(map(IDS, parts))
+        total = sum(map(SCORE, parts))
+        more = np.fromiter(map(COST, parts), float, len(parts))
         several = np.arange(len(parts))
         if len(parts) >= self.n:
             several = np.flatnonzero(more <= np.partition(more, self.n - 2)[self.n - 2]) if self.n > 1 else several[:0]
@@ -244,7 +252,7 @@ class Lattice:
             merged = sorted((a + b, (*choice, (k, j))) for a, choice in merged for b, j in lost)[: self.n]
         # Ways differ in few places from the best one.
         whole = b"".join(data)
-        ends = {k: sum(map(len, data[:k])) for k in lists}
+        ends = {k: len(b"".join(data[:k])) for k in lists}
         out = []
         for less, choice in merged:
             at, changed = 0, []
@@ -279,19 +287,37 @@ def _decoded(lattice: Lattice, data: bytes) -> str:
     return lattice.decode(np.frombuffer(data, "<u4"))
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without cyclic garbage collection: nothing here is cyclic, and a collection goes through all that is remembered."""
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collects:
+            gc.enable()
+
+
+@_uncollected()
+def _segments_of(lattice: Lattice, part: pa.RecordBatch, types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Segmentations of some texts, decoded if ``types`` has ``text``."""
+    rows: list[tuple] = []
+    for row, text in enumerate(part.column(1).to_pylist()):
+        for rank, way in enumerate(lattice.ways(text), 1):
+            decoded = [_decoded(lattice, way.data)] if "text" in types else []
+            rows.append((row, rank, way.score, len(way.data) // 4, way.data, *decoded))
+    columns = dict(zip(("row", *types), zip(*rows, strict=True), strict=True))
+    names = part.column(0).take(pa.array(columns["row"], pa.int64()))
+    return pa.RecordBatch.from_arrays([names, *(pa.array(columns[k], t) for k, t in types.items())], names=["id", *types])
+
+
 def _segmented(batches: Iterator[pa.RecordBatch], path: str, n: int, decoded: bool) -> Iterator[pa.RecordBatch]:
     lattice = lattice_of(path, n)
     types = {"rank": pa.int64(), "score": pa.float64(), "n_pieces": pa.int64(), "ids": pa.binary()} | ({"text": pa.string()} if decoded else {})
     for batch in batches:
         for at in range(0, batch.num_rows, 32):
-            part = batch.slice(at, 32)
-            rows: list[tuple] = []
-            for row, text in enumerate(part.column(1).to_pylist()):
-                for rank, way in enumerate(lattice.ways(text), 1):
-                    rows.append((row, rank, way.score, len(way.data) // 4, way.data, *([_decoded(lattice, way.data)] if decoded else [])))
-            columns = dict(zip(("row", *types), zip(*rows, strict=True), strict=True))
-            names = part.column(0).take(pa.array(columns["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([names, *(pa.array(columns[k], t) for k, t in types.items())], names=["id", *types])
+            yield _segments_of(lattice, batch.slice(at, 32), types)
 
 
 @shipped

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import zlib
@@ -115,3 +116,11 @@ def test_wide_units_are_made_of_fine_ones(lattice):
         units = lattice._split(text)
         assert units == nbest.WIDE.findall(whole) and "".join(units) == whole
         assert [u for x in units for u in nbest.FINE.findall(x)] == nbest.FINE.findall(whole)
+
+
+def test_remembered_ways_stay_out_of_garbage_collection():
+    small = nbest.Lattice(nbest.default_model(), n=2)
+    small.ways("Many words, some of them new: zwirbelig, quorxle.")
+    gc.collect()
+    assert small.known and small.joined
+    assert not any(gc.is_tracked(found) for found in [*small.known.values(), *small.joined.values()])
