@@ -117,3 +117,40 @@ def test_only_parentheses_of_functions_keep_what_is_around(spark):
     found = rows.select(script.parens(F.col("s")["t"], F.col("b")).alias("p")).first().p
     assert [bool(p.after) for p in found] == [False, True, True, False, False]
     assert found[1].before.endswith("x =") and found[2].before.endswith("async function * g < T >")
+
+
+def test_cases_in_lambdas_are_nested_ifs(spark):
+    rows = spark.createDataFrame([([1, 2, 3, None],)], "v array<int>")
+    cases = text.when(F.lit(None).cast("boolean"), 0, F.col("v")[0] == 2, 1, F.col("v")[0] == 1, 2)
+    assert rows.select(cases).first()[0] == 2
+    spoken = rows.select(F.transform("v", lambda v: text.when(v == 1, "one", v > 2, F.lit("many"), None)))
+    assert spoken.first()[0] == ["one", None, "many", None]
+    assert "CASE" not in spoken._jdf.queryExecution().optimizedPlan().toString()
+    steps = "".join(c._jc.toString() for _, c in script._steps())
+    assert "CASE" not in steps
+
+
+def test_statements_are_no_heads(spark):
+    """What stands around the parentheses of statements is not joined; a function named like one is found as before."""
+    line = "if (a) { while (b) { } } function if (c) { } class K { constructor (d) { } m (e) { } } x = (f) => { }; if (g) => h"
+    rows = spark.createDataFrame([([line],)], "code array<string>").withColumn("s", tokens.tokens(F.col("code")))
+    rows = rows.withColumn("found", tokens.signs(F.col("s"))).withColumn("o", tokens.by_level(F.col("found"), tokens.depths(F.col("found"))))
+    rows = rows.withColumn("b", tokens.brackets(F.col("found"), tokens.partners(F.col("o"))))
+    found = rows.select(script.parens(F.col("s")["t"], F.col("b")).alias("p")).first().p
+    assert [bool(p.after) for p in found] == [False, False, True, False, True, True, True]
+
+
+def test_methods_with_any_number_of_modifiers(spark):
+    long = "public static override async readonly abstract private protected "
+    for content, name, is_async in (
+        (f"class K {{\n  {long}m(a) {{\n  }}\n}}\n", "m", True),
+        ("class K {\n  static m<A, B>(a) {\n  }\n}\n", "m", False),
+        ("class K {\n  x = 1;\n  async n(a) {\n  }\n}\n", "n", True),
+    ):
+        df = spark.createDataFrame([("r", "a.ts", content)], "repo string, path string, content string")
+        found = analysis.with_parsed(analysis.read_text(df)).select("parsed.functions").first()[0]
+        assert [(f.name, f.is_async) for f in found] == [(name, is_async)]
+
+
+def test_every_client_has_its_quick_test():
+    assert all(any(part in client for part in blocks.HTTP_PARTS) for client in fixed.HTTP_CLIENTS)
